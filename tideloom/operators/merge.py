@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import conform_to, merged_schema
-from ..functions.ordering import is_later
+from ..functions.ordering import is_later, ordering_columns
 from .keyspec import KeySpec
 from .precombine import precombine
 
@@ -46,33 +46,63 @@ def surviving(current: DataFrame, keys: DataFrame, spec: KeySpec) -> DataFrame:
     return current.join(keys, spec.same_scope(_IN), "left_anti")
 
 
-def winners(current: DataFrame, incoming: DataFrame, spec: KeySpec) -> DataFrame:
+def _hinted(side: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(side) if small else side
+
+
+def winners(current: DataFrame, incoming: DataFrame, spec: KeySpec, small_incoming: bool = False) -> DataFrame:
     """The incoming rows (one per key) that an upsert stores."""
     if not spec.event_time or not spec.ordering:
         return incoming
     narrow = [F.col(name) for name in dict.fromkeys((*spec.scope, *spec.ordering))]
+    side = _hinted(keyed_side(incoming, spec, with_ordering=True), small_incoming)
     beaten = (
         current.select(*narrow)
-        .join(keyed_side(incoming, spec, with_ordering=True), spec.same_scope(_IN) & beats_incoming(spec), "left_semi")
+        .join(side, spec.same_scope(_IN) & beats_incoming(spec), "left_semi")
         .select(*spec.scope)
         .distinct()
     )
-    return surviving(incoming, keyed_side(beaten, spec), spec)
+    return surviving(incoming, _hinted(keyed_side(beaten, spec), small_incoming), spec)
 
 
 def merge_upsert(
-    current: DataFrame, incoming: DataFrame, spec: KeySpec, unique_incoming: bool = False
+    current: DataFrame,
+    incoming: DataFrame,
+    spec: KeySpec,
+    *,
+    unique_incoming: bool = False,
+    unique_current: bool = False,
+    small_incoming: bool = False,
 ) -> DataFrame:
     """Update the rows whose key exists, insert the others.
 
     A stored incoming row replaces every current row of its key; an incoming
     row that loses in event-time order changes nothing. Rows with other keys
     pass through unchanged.
+
+    What the caller knows picks the plan, never the result: ``small_incoming``
+    (its keys were measured to fit a broadcast) leaves the current rows where
+    they are; ``unique_current`` (no key occurs twice) needs a single join.
     """
     current, incoming = _aligned(current, incoming)
     batch = incoming if unique_incoming else precombine(incoming, spec)
-    stored = winners(current, batch, spec)
-    return surviving(current, keyed_side(stored, spec), spec).unionByName(stored)
+    if unique_current and not small_incoming:
+        return _one_to_one(current, batch, spec)
+    stored = winners(current, batch, spec, small_incoming)
+    replaced = _hinted(keyed_side(stored, spec), small_incoming)
+    return surviving(current, replaced, spec).unionByName(stored)
+
+
+def _one_to_one(current: DataFrame, incoming: DataFrame, spec: KeySpec) -> DataFrame:
+    """Upsert of sides that both have each key once: one full join decides every row."""
+    names = current.columns
+    right = incoming.select(*[F.col(f"`{n}`").alias(_IN + n) for n in names], F.lit(True).alias(f"{_IN}arrived"))
+    joined = current.withColumn("__held", F.lit(True)).join(right, spec.same_scope(_IN), "full_outer")
+    take = F.col(f"{_IN}arrived").isNotNull()
+    if spec.event_time and spec.ordering:
+        theirs = ordering_columns([_IN + n for n in spec.ordering], spec.ordering_as_timestamp)
+        take &= F.col("__held").isNull() | ~is_later(spec.ordering_values(), theirs)
+    return joined.select(*[F.when(take, F.col(f"`{_IN}{n}`")).otherwise(F.col(f"`{n}`")).alias(n) for n in names])
 
 
 def insert(current: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from ..sources.files import read_batch
 from ..workspace import fresh_path
 from .config import IngestConfig
 
+LINE_COLUMN = "_line"
+
 
 @dataclass(frozen=True)
 class IngestResult:
@@ -91,7 +93,11 @@ def ingest_frame(
 
 
 def _set_aside(bad: DataFrame, config: IngestConfig, batch_id: int | None, label: str) -> None:
-    """Write rejected rows as JSON; a replayed micro-batch replaces its own earlier output."""
+    """Write rejected rows as JSON; a replayed micro-batch replaces its own earlier output.
+
+    The unreadable line goes under a name that the JSON reader does not use itself.
+    """
+    bad = bad.withColumnRenamed(CORRUPT_COLUMN, LINE_COLUMN)
     root = config.quarantine_path or f"{config.target_path.rstrip('/')}/_quarantine"
     if batch_id is None:
         bad.write.mode("append").json(f"{root}/{label}")

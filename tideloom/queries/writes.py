@@ -57,7 +57,7 @@ def precombine_tie_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _upsert(spark: SparkSession, sf_dir: str, spec: KeySpec) -> DataFrame:
     current, incoming = current_and_incoming(spark, sf_dir)
-    return merge_upsert(precombine(current, spec), incoming, spec)
+    return merge_upsert(precombine(current, spec), incoming, spec, unique_current=True)
 
 
 @register(
@@ -180,7 +180,7 @@ def composite_key_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two key columns; returned lines arrive as the batch."""
     lines = table(spark, sf_dir, "lineitem")
     returned = F.col("l_returnflag") == "R"
-    return merge_upsert(precombine(lines.where(~returned), _LINES), lines.where(returned), _LINES)
+    return merge_upsert(precombine(lines.where(~returned), _LINES), lines.where(returned), _LINES, unique_current=True)
 
 
 @register(

@@ -50,6 +50,8 @@ OPERATIONS = (
     "insert_overwrite_table",
     "delete_partition",
 )
+# Operations after which a key may occur more than once.
+MAY_REPEAT_KEYS = ("insert", "bulk_insert", "insert_overwrite", "insert_overwrite_table")
 MAX_FILE_BYTES = 512 * 1024 * 1024
 SMALL_FILE_BYTES = 104857600
 
@@ -59,6 +61,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 # row-group statistics and bloom filters can then use.
 LISTED_KEYS = 500
 
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 COMMIT_COLUMN = "_commit"
 _FILE = "__file"
 
@@ -115,6 +118,7 @@ class Version:
     seq: int = 0
     schema: T.StructType | None = None
     files: list[DataFile] = field(default_factory=list)
+    unique_keys: bool = True  # only operations that keep keys unique so far
 
     def of(self, kind: str) -> list[DataFile]:
         return [f for f in self.files if f.kind == kind]
@@ -160,49 +164,40 @@ class VersionedTable:
 
     def file_lives(self, as_of: int | None = None) -> DataFrame:
         """One row per data file: the commits that added, removed and expired it."""
-        at = lambda action: F.max(F.when(F.col("action") == action, F.col("seq")))
-        return (
-            self.manifest(as_of)
-            .where(F.col("kind") != "commit")
-            .groupBy("folder", "file", "kind")
-            .agg(
-                F.max("part_key").alias("part_key"),
-                F.max("rows").alias("rows"),
-                F.max("bytes").alias("bytes"),
-                at("add").alias("added"),
-                at("remove").alias("removed"),
-                at("expire").alias("expired"),
-            )
-        )
+        return _lives(self.manifest(as_of).where(F.col("kind") != "commit"))
 
     def version(self, as_of: int | None = None) -> Version:
         if not self.exists():
             return Version()
-        headers = (
-            self.manifest(as_of)
-            .where(F.col("kind") == "commit")
-            .select("seq", "table_schema")
-            .orderBy(F.col("seq").desc())
-            .take(2)
-        )
-        if not headers:
-            return Version()
-        if len(headers) == 2 and headers[0].seq == headers[1].seq:
-            raise ConcurrentWrite(f"{self.root}: two commits have number {headers[0].seq}")
+        # One shuffle by folder serves the file lives, the check for whole
+        # folders, and (their folder being null) the commit rows.
+        entries = self.manifest(as_of).repartition("folder")
+        latest = F.max_by(F.struct("seq", "table_schema"), "seq")
+        repeats = F.max(F.col("operation").isin(*MAY_REPEAT_KEYS)).alias("repeats")
+        seqs = F.size(F.collect_set("seq")).alias("seqs")
         gone = F.col("removed").isNotNull()
-        lives = self.file_lives(as_of).withColumn(
-            "whole", ~F.max(gone).over(Window.partitionBy("folder"))
+        lives = (
+            _lives(entries, latest.alias("latest"), F.count("*").alias("entries"), seqs, repeats)
+            .withColumn("whole", ~F.max(gone).over(Window.partitionBy("folder")))
+            .where((F.col("kind") == "commit") | ~gone)
+            .collect()
         )
-        live = lives.where(~gone).select("folder", "file", "kind", "part_key", "rows", "bytes", "whole").collect()
+        header = next((r for r in lives if r.kind == "commit"), None)
+        if header is None:
+            return Version()
+        if header.entries != header.seqs:
+            raise ConcurrentWrite(f"{self.root}: two commits have the same number")
         files = [
-            DataFile(f"{r.folder}/{r.file}", r.folder, r.kind, r.part_key, r.rows, r.bytes, r.whole) for r in live
+            DataFile(f"{r.folder}/{r.file}", r.folder, r.kind, r.part_key, r.rows, r.bytes, r.whole)
+            for r in lives
+            if r.kind != "commit"
         ]
         if as_of is not None:
-            lost = self.file_lives().where(F.col("expired").isNotNull() & (F.col("added") <= as_of))
-            lost = lost.where(F.col("removed") > as_of)
-            if not lost.isEmpty():
+            expired = self.file_lives().where(F.col("expired").isNotNull())
+            if not expired.where((F.col("added") <= as_of) & (F.col("removed") > as_of)).isEmpty():
                 raise VersionExpired(f"{self.root}: version {as_of} is no longer retained")
-        return Version(headers[0].seq, T.StructType.fromJson(json.loads(headers[0].table_schema)), files)
+        schema = T.StructType.fromJson(json.loads(header.latest.table_schema))
+        return Version(header.latest.seq, schema, files, not header.repeats)
 
     def has_batch(self, stream_id: str | None, batch_id: int | None) -> bool:
         if stream_id is None or batch_id is None:
@@ -219,7 +214,14 @@ class VersionedTable:
         log = version.of("log")
         if not log:
             return base
-        return merge_upsert(base, self._latest_changes(version, log), self.key, unique_incoming=True)
+        return merge_upsert(
+            base,
+            self._latest_changes(version, log),
+            self.key,
+            unique_incoming=True,
+            unique_current=version.unique_keys,
+            small_incoming=self._fits_broadcast(version, log),
+        )
 
     def read_optimized(self, as_of: int | None = None) -> DataFrame:
         """The rows as of the last compaction: base files only."""
@@ -260,6 +262,14 @@ class VersionedTable:
             latest = precombine(changes, self.key, leading=[number], tiebreak=[])
         return latest.select(*[F.col(f"`{name}`") for name in version.schema.names])
 
+    def _fits_broadcast(self, version: Version, log: Sequence[DataFile]) -> bool:
+        """Whether the log's key columns fit a broadcast: by its row count, or measured if keys are text."""
+        schema = self._schema_of(version)
+        names = list(dict.fromkeys((*self.key.scope, *self.key.ordering)))
+        if all(isinstance(schema[n].dataType, FIXED_WIDTH) for n in names):
+            return sum(f.rows for f in log) * (32 + 16 * len(names)) <= BROADCAST_BYTES
+        return self._measure(self._rows(version, log)).bytes <= BROADCAST_BYTES
+
     def _schema_of(self, version: Version) -> T.StructType:
         if version.schema is None:
             raise ValueError(f"{self.root}: no such table")
@@ -392,7 +402,10 @@ class VersionedTable:
             for r in listed.select("folder", "file", "kind", "part_key", "rows", "bytes").collect()
         ]
         if gone:
-            self._storage.remove_all(f"{self.data_root}/{f.path}" for f in gone)
+            staying = lives.join(listed.select("folder", "file"), ["folder", "file"], "left_anti")
+            in_use = {r.folder for r in staying.select("folder").distinct().collect()}
+            paths = {f.path if f.folder in in_use else f.folder for f in gone}
+            self._storage.remove_all(f"{self.data_root}/{path}" for path in sorted(paths))
             with _Work(self.spark, self._storage) as work:
                 self._commit(self.version(), None, removed=gone, action="expire", **work.identity("expire"))
         return len(gone)
@@ -552,13 +565,14 @@ class VersionedTable:
         if rows is not None and cluster:
             # Splits large partitions over tasks and gathers small ones.
             rows = rows.hint("rebalance", *parts) if parts else rows.hint("rebalance")
-        out = rows if kept is None else kept if rows is None else kept.unionByName(rows)
+        out = rows if kept is None else kept if rows is None else rows.unionByName(kept)
         writer = out.write.option("compression", self.spec.codec)
         held_rows = sum(f.rows for f in version.files)
         held_bytes = sum(f.bytes for f in version.files)
         if held_rows and held_bytes:
             writer = writer.option("maxRecordsPerFile", max(1, self.spec.max_file_bytes * held_rows // held_bytes))
         if self.spec.key_bloom:
+            writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
             for name in self.key.keys:
                 if name not in parts:
                     writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
@@ -623,6 +637,19 @@ class _Work:
         return self._spark.read.schema(df.schema).parquet(path)
 
 
+def _lives(entries: DataFrame, *more) -> DataFrame:
+    at = lambda action: F.max(F.when(F.col("action") == action, F.col("seq")))
+    return entries.groupBy("folder", "file", "kind").agg(
+        F.max("part_key").alias("part_key"),
+        F.max("rows").alias("rows"),
+        F.max("bytes").alias("bytes"),
+        at("add").alias("added"),
+        at("remove").alias("removed"),
+        at("expire").alias("expired"),
+        *more,
+    )
+
+
 def _singly(files: Sequence[DataFile]) -> list[DataFile]:
     """A chosen subset of a version's files must not be widened to whole folders."""
     return [DataFile(f.path, f.folder, f.kind, f.part_key, f.rows, f.bytes, False) for f in files]
@@ -634,10 +661,9 @@ def _seq_of(folder: str) -> int:
 
 def _row_bytes(schema: T.StructType):
     """An upper estimate of the memory a row takes: a fixed part and its text lengths."""
-    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
     size = F.lit(32 + 16 * len(schema.fields)).cast("long")
     for f in schema.fields:
-        if not isinstance(f.dataType, fixed):
+        if not isinstance(f.dataType, FIXED_WIDTH):
             size = size + F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0))
     return size
 
