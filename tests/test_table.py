@@ -220,6 +220,29 @@ def test_expired_files_go_and_old_versions_say_so(spark, path):
         table.expire()
 
 
+def test_folded_manifests_read_the_same(spark, path):
+    table = VersionedTable(spark, path, spec(parts=(), table_type=MERGE_ON_READ))
+    for o in range(3):
+        table.upsert(frame(spark, [(1, o, "a", f"v{o}"), (o, 1, "a", "w")]))
+    table.compact_log()
+    rows, seen = sorted_rows(table.snapshot()), sorted_rows(table.snapshot(as_of=3))
+    assert table.fold_manifests() == 0
+    assert table.fold_manifests(at_least=2) == 4
+    assert os.listdir(f"{path}/_manifest") == []
+    assert sorted_rows(table.snapshot()) == rows and sorted_rows(table.snapshot(as_of=3)) == seen
+    (ro, rt) = register_table(table, "views_db", "folded")
+    assert sorted_rows(spark.table(ro)) == sorted_rows(spark.table(rt)) == rows
+    table.insert(frame(spark, [(9, 9, "a", "x")]), stream_id="s", batch_id=1)
+    table.expire(versions=1)
+    assert table.fold_manifests(at_least=2) == 2
+    assert table.has_batch("s", 1) and not table.has_batch("s", 2)
+    assert table.snapshot().count() == len(rows) + 1
+    assert sorted(r.seq for r in table.history().collect()) == [1, 2, 3, 4, 5, 6]
+    with pytest.raises(VersionExpired):
+        table.snapshot(as_of=3)
+    assert sorted_rows(table.snapshot(as_of=4)) == rows
+
+
 def test_small_files_are_packed(spark, path):
     table = VersionedTable(spark, path, spec())
     for i in range(4):

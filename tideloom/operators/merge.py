@@ -1,9 +1,10 @@
 """Keyed merges of a current table and an incoming batch.
 
-None of them groups the current table: every operator is a semi or anti join
-that streams the current rows past at most one incoming row per key. A key that
-holds a large share of the table is therefore never gathered in one place, and
-adaptive execution can split its shuffle partition freely.
+None of them gathers the rows of a key. Most are a semi or anti join that
+streams the current rows past at most one incoming row per key, so adaptive
+execution can split the shuffle partition of a key that holds a large share of
+the table. Where only the latest row of a key counts, each task keeps one row
+per key before the shuffle.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import conform_to, merged_schema
-from ..functions.ordering import is_later, ordering_columns
+from ..functions.columns import conform_to, content_order, merged_schema
+from ..functions.ordering import is_later
 from .keyspec import KeySpec
 from .precombine import precombine
 
 _IN = "__in_"
+_ARRIVED = "__arrived"
 
 
 def _aligned(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,27 +84,25 @@ def merge_upsert(
 
     What the caller knows picks the plan, never the result: ``small_incoming``
     (its keys were measured to fit a broadcast) leaves the current rows where
-    they are; ``unique_current`` (no key occurs twice) needs a single join.
+    they are; ``unique_current`` (no key occurs twice) needs a single shuffle.
     """
     current, incoming = _aligned(current, incoming)
-    batch = incoming if unique_incoming else precombine(incoming, spec)
     if unique_current and not small_incoming:
-        return _one_to_one(current, batch, spec)
+        return _latest_of_both(current, incoming, spec)
+    batch = incoming if unique_incoming else precombine(incoming, spec)
     stored = winners(current, batch, spec, small_incoming)
     replaced = _hinted(keyed_side(stored, spec), small_incoming)
     return surviving(current, replaced, spec).unionByName(stored)
 
 
-def _one_to_one(current: DataFrame, incoming: DataFrame, spec: KeySpec) -> DataFrame:
-    """Upsert of sides that both have each key once: one full join decides every row."""
-    names = current.columns
-    right = incoming.select(*[F.col(f"`{n}`").alias(_IN + n) for n in names], F.lit(True).alias(f"{_IN}arrived"))
-    joined = current.withColumn("__held", F.lit(True)).join(right, spec.same_scope(_IN), "full_outer")
-    take = F.col(f"{_IN}arrived").isNotNull()
+def _latest_of_both(current: DataFrame, incoming: DataFrame, spec: KeySpec) -> DataFrame:
+    """Upsert into rows that have each key once: the latest row of both sides, in one shuffle."""
+    arrived = F.col(_ARRIVED).desc()
+    both = current.withColumn(_ARRIVED, F.lit(False)).unionByName(incoming.withColumn(_ARRIVED, F.lit(True)))
     if spec.event_time and spec.ordering:
-        theirs = ordering_columns([_IN + n for n in spec.ordering], spec.ordering_as_timestamp)
-        take &= F.col("__held").isNull() | ~is_later(spec.ordering_values(), theirs)
-    return joined.select(*[F.when(take, F.col(f"`{_IN}{n}`")).otherwise(F.col(f"`{n}`")).alias(n) for n in names])
+        content = content_order(current.schema, skip=(*spec.scope, *spec.ordering))
+        return precombine(both, spec, tiebreak=[arrived, *content]).drop(_ARRIVED)
+    return precombine(both, spec, leading=[arrived]).drop(_ARRIVED)
 
 
 def insert(current: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,41 +52,43 @@ def ingest_frame(
         return IngestResult(None)
     clean = sanitize_columns(batch)
 
-    corrupt, raw_path = None, None
-    transformed = config.sql_query is not None or function is not None
-    if transformed and CORRUPT_COLUMN in clean.columns:
-        # Unreadable lines carry no fields a transform could work on; they leave before it.
-        raw_path = fresh_path(spark, "raw")
-        clean.write.parquet(raw_path)
-        clean = spark.read.schema(clean.schema).parquet(raw_path)
-        corrupt = clean.where(F.col(CORRUPT_COLUMN).isNotNull())
-        corrupt = corrupt.withColumn(REASON_COLUMN, F.lit("corrupt record"))
-        clean = clean.where(F.col(CORRUPT_COLUMN).isNull()).drop(CORRUPT_COLUMN)
-    shaped = sql_transform(clean, config.sql_query, function, required)
-    marked = mark_invalid(shaped, config.record_key, config.partitions, config.timestamps)
-    marked = conform_to(marked, merged_schema(T.StructType([]), marked.schema))
-
-    staged_path = fresh_path(spark, "batch")
-    marked.write.parquet(staged_path)
-    staged = spark.read.schema(marked.schema).parquet(staged_path)
+    working: list[str] = []
+
+    def staged(df: DataFrame, *metrics) -> tuple[DataFrame, dict]:
+        path = fresh_path(spark, "batch")
+        seen = Observation()
+        working.append(path)
+        df.observe(seen, *metrics).write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), seen.get
+
     try:
-        counted = staged.agg(F.count("*").alias("n"), F.count(REASON_COLUMN).alias("bad")).first()
-        rejected = counted.bad
-        if counted.bad:
-            _set_aside(staged.where(F.col(REASON_COLUMN).isNotNull()), config, batch_id, "rows")
-        if corrupt is not None and not corrupt.isEmpty():
-            rejected += corrupt.count()
-            _set_aside(corrupt, config, batch_id, "lines")
-        rows = counted.n - counted.bad
+        rejected = 0
+        if (config.sql_query is not None or function is not None) and CORRUPT_COLUMN in clean.columns:
+            # Unreadable lines carry no fields a transform could work on; they leave before it.
+            clean, seen = staged(clean, F.count(CORRUPT_COLUMN).alias("corrupt"))
+            rejected = seen["corrupt"]
+            if rejected:
+                lines = clean.where(F.col(CORRUPT_COLUMN).isNotNull())
+                _set_aside(lines.withColumn(REASON_COLUMN, F.lit("corrupt record")), config, batch_id, "lines")
+            clean = clean.where(F.col(CORRUPT_COLUMN).isNull()).drop(CORRUPT_COLUMN)
+        shaped = sql_transform(clean, config.sql_query, function, required)
+        marked = mark_invalid(shaped, config.record_key, config.partitions, config.timestamps)
+        marked = conform_to(marked, merged_schema(T.StructType([]), marked.schema))
+        ready, seen = staged(marked, F.count(F.lit(1)).alias("rows"), F.count(REASON_COLUMN).alias("bad"))
+        if seen["bad"]:
+            rejected += seen["bad"]
+            _set_aside(ready.where(F.col(REASON_COLUMN).isNotNull()), config, batch_id, "rows")
+        rows = seen["rows"] - seen["bad"]
         seq = None
         if rows:
-            kept = staged.where(F.col(REASON_COLUMN).isNull()).drop(REASON_COLUMN, CORRUPT_COLUMN)
+            kept = ready.where(F.col(REASON_COLUMN).isNull()).drop(REASON_COLUMN, CORRUPT_COLUMN)
             seq = table.write(kept, config.operation, stream_id=stream_id, batch_id=batch_id)
     finally:
-        storage.remove_all(path for path in (staged_path, raw_path) if path)
+        storage.remove_all(working)
     if seq is not None:
         if config.enable_cleaner:
             table.expire(**config.retention)
+            table.fold_manifests()
         if config.enable_catalog and config.database:
             register_table(table, config.database, config.table_name)
     return IngestResult(seq, rows, rejected)

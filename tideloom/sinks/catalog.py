@@ -57,6 +57,13 @@ def register_table(table: VersionedTable, database: str, name: str) -> list[str]
     manifest = f"{_quoted(database)}.{_quoted(name + '_manifest')}"
     _create(spark, manifest, MANIFEST_SCHEMA, "json", table.manifest_root, "OPTIONS (recursiveFileLookup 'true')")
 
+    upto, folded = table.folded()
+    entries = f"SELECT kind, action, folder, file FROM {manifest} WHERE seq > {upto}"
+    if folded:
+        older = f"{_quoted(database)}.{_quoted(name + '_folded')}"
+        _create(spark, older, MANIFEST_SCHEMA, "parquet", folded)
+        entries += f" UNION ALL SELECT kind, action, folder, file FROM {older}"
+
     columns = ", ".join(_quoted(n) for n in schema.names)
     below = (
         f"element_at(split(url_decode(replace(f._metadata.file_path, '+', '%2B')), '/data/{COMMIT_COLUMN}='), -1)"
@@ -68,7 +75,7 @@ def register_table(table: VersionedTable, database: str, name: str) -> list[str]
             FROM {files} f JOIN (
                 SELECT substring_index(substring(folder, {len(COMMIT_COLUMN) + 2}), '/', 1) AS commit,
                        substring(concat(folder, '/', file), {len(COMMIT_COLUMN) + 2}) AS path
-                FROM {manifest} WHERE kind = '{kind}'
+                FROM ({entries}) WHERE kind = '{kind}'
                 GROUP BY folder, file HAVING max(action = 'remove') = false
             ) l ON f.{COMMIT_COLUMN} = l.commit AND {below} = l.path"""
 

@@ -26,6 +26,11 @@ class Storage:
         fs, at = self._at(path)
         return fs.exists(at)
 
+    def children(self, path: str) -> list[str]:
+        """Names of the entries of a folder, none if it does not exist."""
+        fs, at = self._at(path)
+        return sorted(entry.getPath().getName() for entry in fs.listStatus(at)) if fs.exists(at) else []
+
     def remove(self, path: str) -> bool:
         fs, at = self._at(path)
         return fs.delete(at, True)

@@ -4,6 +4,7 @@ Layout under the table's root::
 
     data/_commit=<seq>-<attempt>/<partition>=<value>/part-*.parquet
     _manifest/commit=<seq>-<attempt>/part-*.json
+    _folded/upto=<seq>-<attempt>/part-*.parquet
 
 A commit first writes data files into a folder of its own and then one manifest
 file, whose appearance is the atomic point: data that no manifest names is
@@ -11,6 +12,8 @@ invisible. A manifest has a ``commit`` row (operation, schema, batch identity)
 and one row per data file added or removed. A file belongs to a version if it
 was added at or before it and not removed by then.
 
+Manifests of old commits are folded into one set of files from time to time.
+
 An upsert rewrites only the files that hold a replaced row. What reaches the
 driver is file addresses, never table rows. One writer at a time is assumed.
 """
@@ -25,7 +28,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,14 +64,18 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 # row-group statistics and bloom filters can then use.
 LISTED_KEYS = 500
 
+# How many separate manifests are read before they are folded.
+FOLD_AFTER = 100
 FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+# Key types whose values can stand in a filter exactly as read.
+PRUNABLE = (T.IntegralType, T.DecimalType, T.StringType, T.DateType)
 COMMIT_COLUMN = "_commit"
 _FILE = "__file"
 
 MANIFEST_SCHEMA = T.StructType(
     [
         T.StructField("seq", T.LongType()),
-        T.StructField("kind", T.StringType()),  # commit, base, log
+        T.StructField("kind", T.StringType()),  # commit, base, log, horizon
         T.StructField("action", T.StringType()),  # add, remove, expire
         T.StructField("part_key", T.StringType()),  # partition values as JSON
         T.StructField("folder", T.StringType()),
@@ -119,11 +126,24 @@ class Version:
     schema: T.StructType | None = None
     files: list[DataFile] = field(default_factory=list)
     unique_keys: bool = True  # only operations that keep keys unique so far
+    has_batch: bool = False  # the batch asked about has been applied
 
     def of(self, kind: str) -> list[DataFile]:
         return [f for f in self.files if f.kind == kind]
 
 
+@dataclass(frozen=True)
+class Batch:
+    """A staged batch and what was observed while it was written."""
+
+    data: DataFrame
+    rows: int
+    bytes: int  # memory need of the key and ordering columns, at most
+    low: object
+    high: object
+    part_keys: frozenset[str | None]
+
+
 class ConcurrentWrite(RuntimeError):
     """Two commits carry the same sequence number."""
 
@@ -157,18 +177,33 @@ class VersionedTable:
         if not self.exists():
             return self.spark.createDataFrame([], MANIFEST_SCHEMA)
         rows = self.spark.read.schema(MANIFEST_SCHEMA).json(self.manifest_root).select(*MANIFEST_SCHEMA.names)
+        upto, path = self.folded()
+        if path:
+            older = self.spark.read.schema(MANIFEST_SCHEMA).parquet(path)
+            rows = rows.where(F.col("seq") > upto).unionByName(older)
         return rows if as_of is None else rows.where(F.col("seq") <= as_of)
 
+    def folded(self) -> tuple[int, str | None]:
+        """Up to which commit manifests have been folded, and where they are."""
+        root = f"{self.root}/_folded"
+        for name in reversed(self._storage.children(root)):
+            if name.startswith("upto=") and self._storage.exists(f"{root}/{name}/_SUCCESS"):
+                return _seq_of(name), f"{root}/{name}"
+        return 0, None
+
     def history(self) -> DataFrame:
         return self.manifest().where(F.col("kind") == "commit").drop("kind", "action", "part_key", "folder", "file")
 
     def file_lives(self, as_of: int | None = None) -> DataFrame:
         """One row per data file: the commits that added, removed and expired it."""
-        return _lives(self.manifest(as_of).where(F.col("kind") != "commit"))
+        return _lives(self.manifest(as_of).where(F.col("kind").isin("base", "log")))
 
-    def version(self, as_of: int | None = None) -> Version:
+    def version(
+        self, as_of: int | None = None, stream_id: str | None = None, batch_id: int | None = None
+    ) -> Version:
         if not self.exists():
             return Version()
+        asked = (F.col("stream_id") == F.lit(stream_id)) & (F.col("batch_id") == F.lit(batch_id).cast("long"))
         # One shuffle by folder serves the file lives, the check for whole
         # folders, and (their folder being null) the commit rows.
         entries = self.manifest(as_of).repartition("folder")
@@ -177,9 +212,9 @@ class VersionedTable:
         seqs = F.size(F.collect_set("seq")).alias("seqs")
         gone = F.col("removed").isNotNull()
         lives = (
-            _lives(entries, latest.alias("latest"), F.count("*").alias("entries"), seqs, repeats)
+            _lives(entries, latest.alias("latest"), F.count("*").alias("entries"), seqs, repeats, F.max(asked).alias("asked"))
             .withColumn("whole", ~F.max(gone).over(Window.partitionBy("folder")))
-            .where((F.col("kind") == "commit") | ~gone)
+            .where(F.col("kind").isin("commit", "horizon") | ~gone)
             .collect()
         )
         header = next((r for r in lives if r.kind == "commit"), None)
@@ -190,20 +225,21 @@ class VersionedTable:
         files = [
             DataFile(f"{r.folder}/{r.file}", r.folder, r.kind, r.part_key, r.rows, r.bytes, r.whole)
             for r in lives
-            if r.kind != "commit"
+            if r.kind in ("base", "log")
         ]
         if as_of is not None:
+            if not self.manifest().where((F.col("kind") == "horizon") & (F.col("seq") > as_of)).isEmpty():
+                raise VersionExpired(f"{self.root}: version {as_of} is no longer retained")
             expired = self.file_lives().where(F.col("expired").isNotNull())
             if not expired.where((F.col("added") <= as_of) & (F.col("removed") > as_of)).isEmpty():
                 raise VersionExpired(f"{self.root}: version {as_of} is no longer retained")
         schema = T.StructType.fromJson(json.loads(header.latest.table_schema))
-        return Version(header.latest.seq, schema, files, not header.repeats)
+        return Version(header.latest.seq, schema, files, not header.repeats, bool(header.asked))
 
     def has_batch(self, stream_id: str | None, batch_id: int | None) -> bool:
         if stream_id is None or batch_id is None:
             return False
-        seen = (F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)
-        return not self.history().where(seen).isEmpty()
+        return self.version(stream_id=stream_id, batch_id=batch_id).has_batch
 
     # ---- reads ----------------------------------------------------------
 
@@ -268,7 +304,8 @@ class VersionedTable:
         names = list(dict.fromkeys((*self.key.scope, *self.key.ordering)))
         if all(isinstance(schema[n].dataType, FIXED_WIDTH) for n in names):
             return sum(f.rows for f in log) * (32 + 16 * len(names)) <= BROADCAST_BYTES
-        return self._measure(self._rows(version, log)).bytes <= BROADCAST_BYTES
+        need = _row_bytes([schema[n] for n in names])
+        return (self._rows(version, log).agg(F.sum(need)).first()[0] or 0) <= BROADCAST_BYTES
 
     def _schema_of(self, version: Version) -> T.StructType:
         if version.schema is None:
@@ -290,8 +327,7 @@ class VersionedTable:
                 return self._commit(version, precombine(rows, self.key), **work.identity("upsert"))
             if self.spec.table_type == MERGE_ON_READ:
                 return self._commit(version, precombine(rows, self.key), kind="log", **work.identity("upsert"))
-            staged = work.stage(precombine(rows, self.key))
-            return self._merge(version, staged, work, "upsert")
+            return self._merge(version, self._staged(work, precombine(rows, self.key)), work, "upsert")
 
         return self._apply(df, plan, batch)
 
@@ -316,11 +352,10 @@ class VersionedTable:
             rows = precombine(rows, self.key)
             files = version.of("base")
             if files:
-                rows = work.stage(rows)
-                size = self._measure(rows)
-                keys = self._key_side(rows, size)
-                held = self._lookup(version, files, rows, size).join(keys, self.key.same_scope(_IN), "left_semi")
-                rows = surviving(rows, keyed_side(held.select(*self.key.scope).distinct(), self.key), self.key)
+                batch = self._staged(work, rows)
+                keys = self._key_side(batch.data, batch)
+                held = self._lookup(version, files, batch).join(keys, self.key.same_scope(_IN), "left_semi")
+                rows = surviving(batch.data, keyed_side(held.select(*self.key.scope).distinct(), self.key), self.key)
             return self._commit(version, rows, **work.identity("insert_if_absent"))
 
         return self._apply(df, plan, batch)
@@ -330,17 +365,17 @@ class VersionedTable:
             version = self._without_log(version)
             if not version.files:
                 return self._commit(version, None, **work.identity("delete"))
-            staged = work.stage(rows.select(*self.key.scope).distinct())
-            return self._merge(version, staged, work, "delete", store=False)
+            keys = self._staged(work, rows.select(*self.key.scope).distinct())
+            return self._merge(version, keys, work, "delete", store=False)
 
         return self._apply(df, plan, batch, evolve=False)
 
     def insert_overwrite(self, df: DataFrame, **batch) -> int | None:
         def plan(version: Version, rows: DataFrame, work: _Work):
             version = self._without_log(version)
-            rows = work.stage(rows)
-            replaced = self._files_of_partitions(version, rows)
-            return self._commit(version, rows, removed=replaced, **work.identity("insert_overwrite"))
+            batch = self._staged(work, rows)
+            replaced = [f for f in version.files if f.part_key in batch.part_keys]
+            return self._commit(version, batch.data, removed=replaced, **work.identity("insert_overwrite"))
 
         return self._apply(df, plan, batch)
 
@@ -355,7 +390,8 @@ class VersionedTable:
 
         def plan(version: Version, rows: DataFrame, work: _Work):
             version = self._without_log(version)
-            dropped = self._files_of_partitions(version, rows)
+            listed = {r[0] for r in rows.select(self._part_key()).distinct().collect()}
+            dropped = [f for f in version.files if f.part_key in listed]
             return self._commit(version, None, removed=dropped, **work.identity("delete_partition"))
 
         return self._apply(df, plan, batch, evolve=False)
@@ -367,8 +403,8 @@ class VersionedTable:
         if not log:
             return None
         with _Work(self.spark, self._storage) as work:
-            staged = work.stage(self._latest_changes(version, log))
-            return self._merge(version, staged, work, "compact", also_removed=log)
+            changes = self._staged(work, self._latest_changes(version, log))
+            return self._merge(version, changes, work, "compact", also_removed=log)
 
     def compact_small_files(self) -> int | None:
         """Rewrite the small files of each partition that has several; the rows stay the same."""
@@ -410,12 +446,36 @@ class VersionedTable:
                 self._commit(self.version(), None, removed=gone, action="expire", **work.identity("expire"))
         return len(gone)
 
+    def fold_manifests(self, at_least: int = FOLD_AFTER) -> int:
+        """Fold the manifests of past commits into one set of files, once there are enough of them.
+
+        Entries of expired files are left out; the versions that needed them
+        are marked as no longer readable. Returns how many commits were folded.
+        """
+        names = [n for n in self._storage.children(self.manifest_root) if n.startswith("commit=")]
+        if len(names) < at_least:
+            return 0
+        entries = self.manifest()
+        expired = self.file_lives().where(F.col("expired").isNotNull())
+        kept = entries.join(expired.select("folder", "file"), ["folder", "file"], "left_anti")
+        horizon = (
+            expired.agg(F.max("removed").alias("seq"))
+            .where(F.col("seq").isNotNull())
+            .withColumn("kind", F.lit("horizon"))
+        )
+        upto = max(_seq_of(name) for name in names)
+        folded = kept.unionByName(horizon, allowMissingColumns=True).select(*MANIFEST_SCHEMA.names)
+        _, before = self.folded()
+        folded.write.parquet(f"{self.root}/_folded/upto={upto:010d}-{uuid.uuid4().hex[:8]}")
+        self._storage.remove_all([f"{self.manifest_root}/{name}" for name in names] + ([before] if before else []))
+        return len(names)
+
     # ---- the steps of a write -------------------------------------------
 
     def _apply(self, df: DataFrame, plan: Callable, batch: dict, evolve: bool = True) -> int | None:
-        if self.has_batch(batch.get("stream_id"), batch.get("batch_id")):
+        version = self.version(**batch)
+        if version.has_batch:
             return None
-        version = self.version()
         if version.schema is None:
             rows = conform_to(df, merged_schema(T.StructType([]), df.schema))
         elif evolve:
@@ -440,84 +500,81 @@ class VersionedTable:
     def _merge(
         self,
         version: Version,
-        staged: DataFrame,
+        batch: Batch,
         work: "_Work",
         operation: str,
         store: bool = True,
         also_removed: Sequence[DataFile] = (),
     ) -> int:
-        """Rewrite the files holding rows that ``staged`` (one row per key) replaces."""
-        base = version.of("base")
-        candidates = base if self.key.global_keys else self._files_of_partitions(version, staged, base)
-        stored = staged if store else None
-        files: list[DataFile] = []
-        size = self._measure(staged)
-        if candidates and size.rows:
-            found = self._lookup(version, candidates, staged, size)
+        """Rewrite the files holding rows that the batch (one row per key) replaces."""
+        candidates = version.of("base")
+        if not self.key.global_keys:
+            candidates = [f for f in candidates if f.part_key in batch.part_keys]
+        replacing, hit_paths = batch.data, set()
+        if candidates and batch.rows:
+            found = self._lookup(version, candidates, batch)
             if store and self.key.event_time and self.key.ordering:
-                side = self._key_side(staged, size, with_ordering=True)
-                hits = work.stage(
-                    found.join(side, self.key.same_scope(_IN), "inner").select(
-                        *self.key.scope, _FILE, beats_incoming(self.key).alias("__beats")
-                    )
+                side = self._key_side(batch.data, batch, with_ordering=True)
+                hits = found.join(side, self.key.same_scope(_IN), "inner").select(
+                    *self.key.scope, _FILE, beats_incoming(self.key).alias("__beats")
                 )
+                # A file is touched if it has a row that does not beat its incoming row.
+                hits, seen = work.stage(hits, F.collect_set(F.when(~F.col("__beats"), F.col(_FILE))).alias("files"))
                 beaten = keyed_side(hits.where("__beats").select(*self.key.scope).distinct(), self.key)
-                stored = surviving(staged, beaten, self.key)
-                hits = surviving(hits, beaten, self.key)
+                replacing = surviving(batch.data, beaten, self.key)
+                hit_paths = set(seen["files"])
             else:
-                hits = found.join(self._key_side(staged, size), self.key.same_scope(_IN), "left_semi")
-            files = self._named(hits.select(_FILE).distinct(), candidates)
-        replacing = stored if store else staged
+                hits = found.join(self._key_side(batch.data, batch), self.key.same_scope(_IN), "left_semi")
+                hit_paths = {r[0] for r in hits.select(_FILE).distinct().collect()}
+        files = self._named(hit_paths, candidates)
         # One scan of the touched files, past a side that has one row per key.
         kept = None
         if files:
-            kept = surviving(self._rows(version, _singly(files)), self._key_side(replacing, size), self.key)
-        return self._commit(
-            version, stored, kept=kept, removed=[*files, *also_removed], **work.identity(operation)
+            kept = surviving(self._rows(version, _singly(files)), self._key_side(replacing, batch), self.key)
+        stored = replacing if store else None
+        return self._commit(version, stored, kept=kept, removed=[*files, *also_removed], **work.identity(operation))
+
+    def _staged(self, work: "_Work", rows: DataFrame) -> Batch:
+        lead = self.key.keys[0]
+        narrow = [f for f in rows.schema.fields if f.name in self.key.scope or f.name in self.key.ordering]
+        # Keys to delete table-wide come without their partition.
+        part_key = self._part_key() if set(self.key.parts) <= set(rows.columns) else F.lit(None).cast("string")
+        data, seen = work.stage(
+            rows,
+            F.count(F.lit(1)).alias("rows"),
+            F.coalesce(F.sum(_row_bytes(narrow)), F.lit(0)).alias("bytes"),
+            F.min(lead).alias("low"),
+            F.max(lead).alias("high"),
+            F.collect_set(part_key).alias("part_keys"),
         )
+        return Batch(data, **{**seen, "part_keys": frozenset(seen["part_keys"])})
 
-    def _lookup(self, version: Version, files: Sequence[DataFile], staged: DataFrame, size) -> DataFrame:
+    def _lookup(self, version: Version, files: Sequence[DataFile], batch: Batch) -> DataFrame:
         """Key and ordering columns of the files' rows with their file, pruned to the batch's keys."""
         lead = self.key.keys[0]
         scan = self._scan(version, _singly(files))
-        if 0 < size.rows <= LISTED_KEYS:
-            listed = [row[0] for row in staged.select(lead).distinct().limit(LISTED_KEYS).collect()]
-            scan = scan.where(F.col(lead).isin(listed))
-        elif size.low is not None:
-            scan = scan.where(F.col(lead).between(F.lit(size.low), F.lit(size.high)))
+        if isinstance(version.schema[lead].dataType, PRUNABLE) and batch.low is not None:
+            if batch.rows <= LISTED_KEYS:
+                listed = [row[0] for row in batch.data.select(lead).distinct().limit(LISTED_KEYS).collect()]
+                scan = scan.where(F.col(lead).isin(listed))
+            else:
+                scan = scan.where(F.col(lead).between(F.lit(batch.low), F.lit(batch.high)))
         narrow = dict.fromkeys((*self.key.scope, *self.key.ordering))
         return scan.select(*[F.col(name) for name in narrow], F.col("_metadata.file_path").alias(_FILE))
 
-    def _measure(self, staged: DataFrame):
-        """Number of rows, key range and memory need of a staged batch's key columns."""
-        lead = self.key.keys[0]
-        narrow = staged.select(*dict.fromkeys((*self.key.scope, *(o for o in self.key.ordering if o in staged.columns))))
-        return narrow.agg(
-            F.count("*").alias("rows"),
-            F.min(lead).alias("low"),
-            F.max(lead).alias("high"),
-            F.coalesce(F.sum(_row_bytes(narrow.schema)), F.lit(0)).alias("bytes"),
-        ).first()
-
-    def _key_side(self, staged: DataFrame, size, with_ordering: bool = False) -> DataFrame:
+    def _key_side(self, rows: DataFrame, batch: Batch, with_ordering: bool = False) -> DataFrame:
         """The batch's keys as a right side, broadcast only if they measured small enough."""
-        side = keyed_side(staged, self.key, with_ordering)
-        return F.broadcast(side) if size.bytes <= BROADCAST_BYTES else side
-
-    def _files_of_partitions(
-        self, version: Version, rows: DataFrame, among: Sequence[DataFile] | None = None
-    ) -> list[DataFile]:
-        listed = {r[0] for r in rows.select(self._part_key().alias("k")).distinct().collect()}
-        return [f for f in (version.files if among is None else among) if f.part_key in listed]
+        side = keyed_side(rows, self.key, with_ordering)
+        return F.broadcast(side) if batch.bytes <= BROADCAST_BYTES else side
 
     def _part_key(self):
         if not self.key.parts:
             return F.lit("{}")
         return F.to_json(F.struct(*self.key.parts), {"ignoreNullFields": "false"})
 
-    def _named(self, hit_paths: DataFrame, candidates: Sequence[DataFile]) -> list[DataFile]:
+    def _named(self, hit_paths: set[str], candidates: Sequence[DataFile]) -> list[DataFile]:
         marker = f"/data/{COMMIT_COLUMN}="
-        found = {unquote(r[0]).rsplit(marker, 1)[1] for r in hit_paths.collect()}
+        found = {unquote(path).rsplit(marker, 1)[1] for path in hit_paths}
         return [f for f in candidates if f.path[len(COMMIT_COLUMN) + 1 :] in found]
 
     def _commit(
@@ -629,12 +686,16 @@ class _Work:
     def identity(self, operation: str) -> dict:
         return {"operation": operation, **self._batch}
 
-    def stage(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` to shared storage and read it back: later steps need not recompute it."""
+    def stage(self, df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
+        """Write ``df`` to shared storage and read it back: later steps need not recompute it.
+
+        The metrics are taken while it is written, in the stage that writes.
+        """
         path = fresh_path(self._spark, "stage")
-        df.write.parquet(path)
+        seen = Observation()
+        df.observe(seen, *metrics).write.parquet(path)
         self._staged.append(path)
-        return self._spark.read.schema(df.schema).parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path), seen.get
 
 
 def _lives(entries: DataFrame, *more) -> DataFrame:
@@ -659,10 +720,10 @@ def _seq_of(folder: str) -> int:
     return int(folder.split("=", 1)[1].split("-", 1)[0])
 
 
-def _row_bytes(schema: T.StructType):
-    """An upper estimate of the memory a row takes: a fixed part and its text lengths."""
-    size = F.lit(32 + 16 * len(schema.fields)).cast("long")
-    for f in schema.fields:
+def _row_bytes(fields: Sequence[T.StructField]):
+    """An upper estimate of the memory a row's columns take: a fixed part and its text lengths."""
+    size = F.lit(32 + 16 * len(fields)).cast("long")
+    for f in fields:
         if not isinstance(f.dataType, FIXED_WIDTH):
             size = size + F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0))
     return size
