@@ -321,3 +321,26 @@ def test_unknown_operation_and_type(spark, path):
         VersionedTable(spark, path, spec()).write(frame(spark, []), "merge")
     with pytest.raises(ValueError):
         spec(table_type="OTHER")
+
+
+def test_rows_that_could_not_be_read_back_are_refused(spark, path):
+    table = VersionedTable(spark, path, spec())
+    for row in ((None, 1, "a", "x"), (1, 1, "", "x")):
+        with pytest.raises(Exception, match="null key|empty partition"):
+            table.upsert(frame(spark, [row]))
+    with pytest.raises(ValueError, match="lacks"):
+        table.upsert(frame(spark, []).drop("o"))
+    assert not table.exists()
+
+
+def test_partition_values_keep_their_type_and_spelling(spark, path):
+    day = __import__("datetime").date(2024, 2, 1)
+    rows = [(1, 1, "007", day), (2, 1, "1e3", day), (3, 1, None, None)]
+    key = KeySpec(("k",), ("o",), ("p", "d"))
+    table = VersionedTable(spark, path, TableSpec(key))
+    make = lambda r: spark.createDataFrame(r, "k int, o int, p string, d date")
+    table.upsert(make(rows))
+    table.upsert(make([(1, 2, "007", day), (3, 2, None, None)]))
+    assert sorted_rows(table.snapshot()) == sorted([(1, 2, "007", day), (2, 1, "1e3", day), (3, 2, None, None)], key=repr)
+    table.delete_partition(make([(0, 0, "1e3", day), (0, 0, None, None)]))
+    assert sorted_rows(table.snapshot()) == [(1, 2, "007", day)]

@@ -477,10 +477,10 @@ class VersionedTable:
         if version.has_batch:
             return None
         if version.schema is None:
-            rows = conform_to(df, merged_schema(T.StructType([]), df.schema))
+            rows = self._guarded(conform_to(df, merged_schema(T.StructType([]), df.schema)))
         elif evolve:
             version.schema = merged_schema(version.schema, df.schema)
-            rows = conform_to(df, version.schema)
+            rows = self._guarded(conform_to(df, version.schema))
         else:
             held = {name.lower() for name in df.columns}
             known = T.StructType([f for f in version.schema.fields if f.name.lower() in held])
@@ -488,6 +488,22 @@ class VersionedTable:
         with _Work(self.spark, self._storage, batch) as work:
             return plan(version, rows, work)
 
+    def _guarded(self, rows: DataFrame) -> DataFrame:
+        """Fail on rows the table could not give back: a null key, or a partition value that reads as null."""
+        named = dict.fromkeys((*self.key.scope, *self.key.ordering, *self.key.parts))
+        lost = [name for name in named if name not in rows.columns]
+        if lost:
+            raise ValueError(f"the batch lacks the columns {lost} (has {rows.columns})")
+        checks = {}
+        for name in self.key.keys:
+            checks[name] = F.coalesce(F.col(name), F.raise_error(F.lit(f"null key: {name}")).cast(rows.schema[name].dataType))
+        for name in self.key.parts:
+            if isinstance(rows.schema[name].dataType, T.StringType):
+                value = checks.get(name, F.col(name))
+                refuse = F.raise_error(F.lit(f"empty partition value: {name}")).cast("string")
+                checks[name] = F.when(value == "", refuse).otherwise(value)
+        return rows.withColumns(checks)
+
     def _without_log(self, version: Version) -> Version:
         """Changes that are not keyed by upsert need their effect ordered after the log."""
         if not version.of("log"):
