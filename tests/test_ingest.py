@@ -126,6 +126,15 @@ def test_operations_by_name(spark, path):
         assert target(spark, c).snapshot().count() == left, operation
 
 
+def test_another_sink_gets_the_cleaned_rows(spark, path):
+    rows = [{"customer_id$": "1", "name": "x", "ts": "2024-01-05T00:00:00"}, {"name": "y", "ts": "2024-01-05T00:00:00"}]
+    f = put(path, "raw/a.json", rows)
+    c = config(path, sink="parquet", sink_options={"compression": "snappy"})
+    for _ in range(2):
+        assert ingest_batch(spark, c, [f]).rejected == 1
+    assert [(r.customer_id, r.year) for r in spark.read.parquet(c.target_path).collect()] == [("1", 2024)] * 2
+
+
 def test_formats(spark, path):
     with pytest.raises(ValueError):
         read_batch(spark, ["x"], "csv")

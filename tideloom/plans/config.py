@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from ..functions.columns import ON_SPELLINGS
 from ..functions.maps import ARGUMENT_PREFIX
@@ -92,6 +92,9 @@ class IngestConfig:
     small_file_bytes: int = SMALL_FILE_BYTES
     quarantine_path: str | None = None
     timestamps: tuple[str, ...] = ()
+    # A format of an installed connector to append to, instead of the versioned table.
+    sink: str | None = None
+    sink_options: Mapping[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
         if not self.target_path:

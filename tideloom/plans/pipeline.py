@@ -80,7 +80,10 @@ def ingest_frame(
             _set_aside(ready.where(F.col(REASON_COLUMN).isNotNull()), config, batch_id, "rows")
         rows = seen["rows"] - seen["bad"]
         seq = None
-        if rows:
+        if rows and config.sink:
+            kept = ready.where(F.col(REASON_COLUMN).isNull()).drop(REASON_COLUMN, CORRUPT_COLUMN)
+            kept.write.format(config.sink).options(**config.sink_options).mode("append").save(config.target_path)
+        elif rows:
             kept = ready.where(F.col(REASON_COLUMN).isNull()).drop(REASON_COLUMN, CORRUPT_COLUMN)
             seq = table.write(kept, config.operation, stream_id=stream_id, batch_id=batch_id)
     finally:

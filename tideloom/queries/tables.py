@@ -24,6 +24,7 @@ from .fixtures import (
     table,
 )
 from .registered import Query, register
+from .writes import HOT
 from .writes import QUERIES as PLAIN
 
 QUERIES: dict[str, Query] = {}
@@ -77,6 +78,15 @@ def table_unpartitioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.snapshot()
 
 
+@register(QUERIES, PLAIN["upsert_hot_keys"].sql)
+def table_upsert_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    held = _table(spark, replace(HOT, parts=("l_linestatus",)))
+    held.insert(lines)
+    held.upsert(lines.where("l_returnflag = 'R'"))
+    return held.snapshot()
+
+
 @register(QUERIES, PLAIN["insert_append"].sql)
 def table_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, incoming = _filled(spark, sf_dir, LOCAL_COMMIT)
@@ -146,6 +156,15 @@ def time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.snapshot(as_of=1)
 
 
+@register(QUERIES, f"{ORDERS_SQL} SELECT {ORDER_COLUMNS} FROM incoming_rows")
+def changes_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows appended after the first commit, read from folded manifests."""
+    held, incoming = _filled(spark, sf_dir, LOCAL_COMMIT)
+    held.insert(incoming)
+    held.fold_manifests(at_least=1)
+    return held.changes_since(1)
+
+
 def _logged(spark: SparkSession, sf_dir: str, key: KeySpec) -> VersionedTable:
     """A merge-on-read table with one change-log commit per priority."""
     held, incoming = _filled(spark, sf_dir, key, table_type=MERGE_ON_READ)

@@ -196,3 +196,27 @@ def schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     current, incoming = current_and_incoming(spark, sf_dir)
     evolved = incoming.withColumn("new_col", F.concat_ws("/", "o_orderstatus", "o_orderpriority"))
     return merge_upsert(precombine(current, GLOBAL_COMMIT), evolved, GLOBAL_COMMIT)
+
+
+# Three keys that each hold a third of all lines.
+HOT = KeySpec(("l_returnflag",), ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"), global_keys=True)
+LATEST_LINES_SQL = f"""
+    SELECT {_LINE_COLUMNS} FROM (
+        SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY {', '.join(c + ' DESC' for c in HOT.ordering)}) AS rn
+        FROM lineitem) r WHERE rn = 1"""
+
+
+@register(QUERIES, LATEST_LINES_SQL)
+def precombine_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return precombine(table(spark, sf_dir, "lineitem"), HOT)
+
+
+@register(
+    QUERIES,
+    f"""SELECT {_LINE_COLUMNS} FROM lineitem WHERE l_returnflag <> 'R'
+    UNION ALL SELECT * FROM ({LATEST_LINES_SQL}) h WHERE l_returnflag = 'R'""",
+)
+def upsert_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every current row of a key that holds a third of the table is replaced by one incoming row."""
+    lines = table(spark, sf_dir, "lineitem")
+    return merge_upsert(lines, lines.where("l_returnflag = 'R'"), replace(HOT, event_time=True))

@@ -28,9 +28,11 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import conform_to, merged_schema
 from ..operators.keyspec import KeySpec
@@ -615,16 +617,29 @@ class VersionedTable:
         if rows is not None or kept is not None:
             self._write_files(rows, kept, folder, version, cluster)
 
-        header = (
-            seq, "commit", None, None, None, None, None, None, operation, stream_id, batch_id,
-            dt.datetime.now(dt.timezone.utc).isoformat(), schema.json() if schema is not None else None,
-        )
+        header = {
+            "seq": seq,
+            "kind": "commit",
+            "operation": operation,
+            "stream_id": stream_id,
+            "batch_id": batch_id,
+            "committed_at": dt.datetime.now(dt.timezone.utc).isoformat(),
+            "table_schema": schema.json() if schema is not None else None,
+        }
         leaving = [
-            (seq, f.kind, action, f.part_key, f.folder, f.path[len(f.folder) + 1 :], f.rows, f.bytes)
-            + (None,) * 5
+            {
+                "seq": seq,
+                "kind": f.kind,
+                "action": action,
+                "part_key": f.part_key,
+                "folder": f.folder,
+                "file": f.path[len(f.folder) + 1 :],
+                "rows": f.rows,
+                "bytes": f.bytes,
+            }
             for f in removed
         ]
-        manifest = self.spark.createDataFrame([header, *leaving], MANIFEST_SCHEMA)
+        manifest = self.spark.createDataFrame(pa.Table.from_pylist([header, *leaving], to_arrow_schema(MANIFEST_SCHEMA)))
         if rows is not None or kept is not None:
             manifest = manifest.unionByName(self._added(folder, schema, seq, kind), allowMissingColumns=True)
         # A manifest is file addresses only; one output file makes its appearance atomic.
