@@ -265,6 +265,7 @@ def test_file_size_limit_bounds_rows_per_file(spark, path):
 def test_empty_batches(spark, path):
     table = VersionedTable(spark, path, spec(event_time=True))
     none = frame(spark, [])
+    assert table.delete_keys(none) is None and table.delete_partition(none) is None and not table.exists()
     table.upsert(none)
     assert table.snapshot().count() == 0
     table.upsert(frame(spark, [(1, 1, "a", "x")]))

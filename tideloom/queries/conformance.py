@@ -129,7 +129,7 @@ _PROBES: dict[str, tuple[str, tuple[str, ...], str, str | None]] = {
         "events",
         (),
         """SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, upper(event_type) AS kind,
-                  date_trunc('HOUR', ts) AS hour FROM temp""",
+                  CAST(date_trunc('HOUR', ts) AS TIMESTAMP_NTZ) AS hour FROM temp""",
         """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, upper(event_type) AS kind,
                   date_trunc('hour', ts) AS hour FROM events""",
     ),

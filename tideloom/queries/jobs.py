@@ -164,7 +164,7 @@ def resolve_runs_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _default_sql(name: str) -> str:
     default = DEFAULTS[name]
-    return "NULL" if default is None else f"'{default}'"
+    return "CAST(NULL AS VARCHAR)" if default is None else f"'{default}'"
 
 
 @register(

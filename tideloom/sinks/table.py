@@ -352,12 +352,13 @@ class VersionedTable:
         def plan(version: Version, rows: DataFrame, work: _Work):
             version = self._without_log(version)
             rows = precombine(rows, self.key)
-            files = version.of("base")
-            if files:
+            if version.files:
                 batch = self._staged(work, rows)
-                keys = self._key_side(batch.data, batch)
-                held = self._lookup(version, files, batch).join(keys, self.key.same_scope(_IN), "left_semi")
-                rows = surviving(batch.data, keyed_side(held.select(*self.key.scope).distinct(), self.key), self.key)
+                rows, files = batch.data, self._candidates(version, batch)
+                if files and batch.rows:
+                    keys = self._key_side(rows, batch)
+                    held = self._lookup(version, files, batch).join(keys, self.key.same_scope(_IN), "left_semi")
+                    rows = surviving(rows, keyed_side(held.select(*self.key.scope).distinct(), self.key), self.key)
             return self._commit(version, rows, **work.identity("insert_if_absent"))
 
         return self._apply(df, plan, batch)
@@ -476,8 +477,8 @@ class VersionedTable:
 
     def _apply(self, df: DataFrame, plan: Callable, batch: dict, evolve: bool = True) -> int | None:
         version = self.version(**batch)
-        if version.has_batch:
-            return None
+        if version.has_batch or (version.schema is None and not evolve):
+            return None  # applied before, or nothing there to remove from
         if version.schema is None:
             rows = self._guarded(conform_to(df, merged_schema(T.StructType([]), df.schema)))
         elif evolve:
@@ -525,9 +526,7 @@ class VersionedTable:
         also_removed: Sequence[DataFile] = (),
     ) -> int:
         """Rewrite the files holding rows that the batch (one row per key) replaces."""
-        candidates = version.of("base")
-        if not self.key.global_keys:
-            candidates = [f for f in candidates if f.part_key in batch.part_keys]
+        candidates = self._candidates(version, batch)
         replacing, hit_paths = batch.data, set()
         if candidates and batch.rows:
             found = self._lookup(version, candidates, batch)
@@ -552,6 +551,11 @@ class VersionedTable:
         stored = replacing if store else None
         return self._commit(version, stored, kept=kept, removed=[*files, *also_removed], **work.identity(operation))
 
+    def _candidates(self, version: Version, batch: Batch) -> list[DataFile]:
+        """Base files that may hold a key of the batch."""
+        base = version.of("base")
+        return base if self.key.global_keys else [f for f in base if f.part_key in batch.part_keys]
+
     def _staged(self, work: "_Work", rows: DataFrame) -> Batch:
         lead = self.key.keys[0]
         narrow = [f for f in rows.schema.fields if f.name in self.key.scope or f.name in self.key.ordering]
