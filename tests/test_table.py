@@ -262,6 +262,16 @@ def test_file_size_limit_bounds_rows_per_file(spark, path):
     assert table.snapshot().count() == 1100
 
 
+def test_bulk_insert_clusters_by_key(spark, path):
+    table = VersionedTable(spark, path, spec(parts=(), max_file_bytes=4000))
+    table.bulk_insert(frame(spark, [(0 if i % 3 == 0 else i, i, "a", f"{i:09d}" * 5) for i in range(3000)]))
+    files = table.version().files
+    assert len(files) > 4 and max(f.rows for f in files) < 1500  # the frequent key spreads over files
+    table.upsert(frame(spark, [(2999, 1, "a", "new")]))
+    assert table.manifest().where("seq = 2 AND action = 'remove'").count() == 1
+    assert table.snapshot().count() == 3000
+
+
 def test_empty_batches(spark, path):
     table = VersionedTable(spark, path, spec(event_time=True))
     none = frame(spark, [])

@@ -343,7 +343,9 @@ class VersionedTable:
     def bulk_insert(self, df: DataFrame, **batch) -> int | None:
         def plan(version: Version, rows: DataFrame, work: _Work):
             version = self._without_log(version)
-            rows = bulk_insert(rows, self.key)
+            # Finding the ranges reads the rows a second time, so they are staged; that also tells their size.
+            staged, _ = work.stage(rows, F.count(F.lit(1)).alias("rows"))
+            rows = bulk_insert(staged, self.key, self._ranges(staged))
             return self._commit(version, rows, cluster=False, **work.identity("bulk_insert"))
 
         return self._apply(df, plan, batch)
@@ -589,6 +591,12 @@ class VersionedTable:
         side = keyed_side(rows, self.key, with_ordering)
         return F.broadcast(side) if batch.bytes <= BROADCAST_BYTES else side
 
+    def _ranges(self, staged: DataFrame) -> int | None:
+        """Number of ranges that keeps files below their limit, if the session's default would not."""
+        stored_bytes = int(staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        wanted = -(-stored_bytes // self.spec.max_file_bytes)
+        return wanted if wanted > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else None
+
     def _part_key(self):
         if not self.key.parts:
             return F.lit("{}")
@@ -658,6 +666,9 @@ class VersionedTable:
             # Splits large partitions over tasks and gathers small ones.
             rows = rows.hint("rebalance", *parts) if parts else rows.hint("rebalance")
         out = rows if kept is None else kept if rows is None else rows.unionByName(kept)
+        # The writer needs its tasks sorted by partition anyway; sorted by key
+        # too, a file's row groups cover narrow key ranges that lookups can skip.
+        out = out.sortWithinPartitions(*parts, *(k for k in self.key.keys if k not in parts))
         writer = out.write.option("compression", self.spec.codec)
         held_rows = sum(f.rows for f in version.files)
         held_bytes = sum(f.bytes for f in version.files)
