@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideloom.llm import language, mixing, packing, simhash
+from tideloom.llm import language, mixing, packing, privacy, simhash
 from tideloom.llm.common import staged, table
 from tideloom.llm.queries import public_tokenizer
 
@@ -28,6 +28,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.deduplicated(docs)
 
 
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with surrogates for personal data."""
+    return privacy.surrogated(docs, into="__entities").select(docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents the mix takes, as often as it takes them."""
     return mixing.mixed(docs)
@@ -41,6 +46,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("language_id", identify_language),
     ("near_duplicates", drop_near_duplicates),
+    ("surrogates", replace_personal_data),
     ("mix_sources", mix_sources),
     ("pack_sequences", pack_sequences),
 ]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.registered import Query, register
-from . import language, mixing, packing, simhash
+from . import language, mixing, packing, privacy, secrets, simhash
 from .common import table
 
 QUERIES: dict[str, Query] = {}
@@ -23,6 +23,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.words_taken(table(spark, sf_dir, "documents"))
 
 
+@register(QUERIES)
+def op2_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @register(QUERIES)
 def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -35,6 +40,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.drop("lang"), learned).drop("text")
 
 
+@register(QUERIES)
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.surrogated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")
+
+
 @register(QUERIES)
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizer())

@@ -1,0 +1,165 @@
+"""Secret scans, by DataFrame functions alone: known forms, and a battery of randomness tests for the rest.
+
+Long runs of key-like characters that are no known form get an encoding from the characters
+they use. Under it, three tests ask whether the symbols could be drawn at random: chi-squared
+for a uniform alphabet, the number of runs above and below the alphabet's middle, and the
+serial correlation of neighbours. The least of their p-values (times three) is a run's p.
+Random runs have p spread evenly, words have p near zero: from the counts of p over the whole
+corpus, for each encoding and band of lengths, follows the share of words among the runs above
+any p, and the least p is taken that holds this share to the rate asked for.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+KINDS = ("assign", "access", "hex", "random")
+# The known forms.
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN_LEAST = 6
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
+
+# Every known form but ``assign`` lies within such a run.
+RUN = r"[A-Za-z0-9+/_=-]{20,}"
+
+ALPHABETS = {
+    "hex": ("^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
+    "base32": ("^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    "base64": ("^[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    "base64url": ("^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+}
+BANDS = (20, 28, 40, 64, 128)
+BINS = 40
+#: Share of words admitted among reported runs; the p asked of a run where its band has too few runs to estimate.
+RATE, LONE_P, FEW = 0.05, 0.05, 20
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+_NONE = "cast(array() AS array<struct<start:bigint,end:bigint,m:string>>)"
+
+
+def _found(text: str, pattern: str, offset: str = "0L") -> str:
+    """SQL for ``start, end, m`` of the pattern's matches, from the matches and the gaps between them."""
+    step = (
+        "named_struct('at', acc.at + length(gp[n - 1]) + length(fd[n - 1]), 'out', concat(acc.out, array(named_struct("
+        "'start', acc.at + length(gp[n - 1]), 'end', acc.at + length(gp[n - 1]) + length(fd[n - 1]), 'm', fd[n - 1]))))"
+    )
+    walk = f"aggregate(sequence(1, size(fd)), named_struct('at', {offset}, 'out', {_NONE}), (acc, n) -> {step}, acc -> acc.out)"
+    gaps = _let("gp", f"split({text}, {_text(pattern)}, -1)", walk)
+    return _let("fd", f"regexp_extract_all({text}, {_text(pattern)}, 0)", f"IF(size(fd) = 0, {_NONE}, {gaps})")
+
+
+def _tail(z: str) -> str:
+    """Upper tail of the standard normal distribution, to seven digits (Abramowitz and Stegun 7.1.26)."""
+    poly = "(((((1.061405429 * kk - 1.453152027) * kk) + 1.421413741) * kk - 0.284496736) * kk + 0.254829592) * kk"
+    upper = _let("az", f"abs(zz) / {math.sqrt(2)!r}D", _let("kk", "1D / (1D + 0.3275911D * az)", f"0.5D * {poly} * exp(-az * az)"))
+    return _let("zz", z, f"IF(zz >= 0, {upper}, 1D - {upper})")
+
+
+def _battery(alphabet: str) -> str:
+    """SQL for the p-value of the symbols ``s`` (a string over the alphabet)."""
+    size = len(alphabet)
+    letters = f"filter(split('{alphabet}', ''), c -> c <> '')"
+    squares = f"aggregate(transform({letters}, c -> cast(length(s) - length(replace(s, c, '')) AS double)), 0D, (a, x) -> a + x * x)"
+    df = size - 1
+    chi = f"({size}D / n * {squares} - n)"
+    chi_z = f"(pow({chi} / {df}D, 1D / 3) - {1 - 2 / (9 * df)!r}D) / {math.sqrt(2 / (9 * df))!r}D"
+    values = f"transform(filter(split(s, ''), c -> c <> ''), c -> cast(instr('{alphabet}', c) - 1 AS double))"
+    above = f"size(filter(v, x -> x >= {size // 2}))"
+    changes = f"size(filter(sequence(1, size(v) - 1), i -> (v[i] >= {size // 2}) <> (v[i - 1] >= {size // 2})))"
+    # Mean and variance of the runs of a fair coin's n tosses.
+    runs_z = f"(1D + {changes} - (n + 1D) / 2) / sqrt((n - 1D) / 4)"
+    mean = f"{(size - 1) / 2!r}D"
+    cover = f"aggregate(sequence(1, size(v) - 1), 0D, (a, i) -> a + (v[i] - {mean}) * (v[i - 1] - {mean}))"
+    serial_z = f"{cover} / ({(size * size - 1) / 12!r}D * sqrt(n - 1D))"
+    balance_z = f"(2D * {above} - n) / sqrt(n)"
+    tests = f"array({_tail(chi_z)}, 2D * {_tail(f'abs({runs_z})')}, 2D * {_tail(f'abs({serial_z})')}, 2D * {_tail(f'abs({balance_z})')})"
+    return _let("n", "cast(length(s) AS double)", _let("v", values, f"least(1D, 4D * array_min({tests}))"))
+
+
+def _judged(run: str) -> str:
+    """SQL for ``encoding, band, p`` of a run; a null encoding if it has none of the alphabets or only digits."""
+    cases = " ".join(f"WHEN rn RLIKE '{form}' THEN '{name}'" for name, (form, _) in ALPHABETS.items())
+    kind = f"CASE WHEN rn RLIKE '^[0-9=]+$' THEN NULL {cases} END"
+    bare = "regexp_replace(rn, '=+$', '')"
+    ps = " ".join(
+        f"WHEN en = '{name}' THEN {_let('s', f'lower({bare})' if name == 'hex' else bare, _battery(alphabet))}" for name, (_, alphabet) in ALPHABETS.items()
+    )
+    band = " + ".join(f"IF(length(rn) >= {b}, 1, 0)" for b in BANDS)
+    return _let("rn", run, _let("en", kind, f"named_struct('encoding', en, 'band', {band}, 'p', CASE {ps} END)"))
+
+
+def _scanned(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with the base spans and, judged, the runs that no base span touches."""
+    value = f"regexp_extract(x.m, {_text(ASSIGN)}, 2)"
+    out = docs.withColumn("__t", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    out = out.withColumn("__assign", F.expr(f"filter({_found('__t', ASSIGN)}, x -> length({value}) >= {ASSIGN_LEAST})"))
+    out = out.withColumn("__runs", F.expr(_found("__t", RUN)))
+    for name, pattern in (("__access", ACCESS), ("__hex", HEX)):
+        out = out.withColumn(name, F.expr(f"flatten(transform(__runs, r -> {_found('r.m', pattern, 'r.start')}))"))
+    base = "concat(__assign, __access, __hex)"
+    free = f"filter(__runs, r -> NOT exists({base}, b -> b.start < r.end AND r.start < b.end))"
+    judged = f"transform({free}, r -> named_struct('start', r.start, 'end', r.end, 'how', {_judged('r.m')}))"
+    return out.withColumn("__judged", F.expr(f"filter({judged}, j -> j.how.encoding IS NOT NULL)"))
+
+
+def thresholds(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[tuple[str, int], float]:
+    """The least p to report for each encoding and band of lengths, from the p of all runs of the corpus."""
+    runs = _scanned(docs.select(F.col(f"`{text}`").alias("text")), "text").select(F.explode("__judged").alias("j"))
+    counts = runs.groupBy(
+        F.col("j.how.encoding").alias("encoding"), F.col("j.how.band").alias("band"), F.least(F.floor(F.col("j.how.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
+    ).count()
+    bins: dict[tuple[str, int], list[int]] = {}
+    for row in counts.collect():  # at most one row for each encoding, band and bin
+        bins.setdefault((row.encoding, row.band), [0] * BINS)[row.bin] = row["count"]
+    found = {}
+    for cell, seen in bins.items():
+        if sum(seen) < FEW:
+            found[cell] = LONE_P
+            continue
+        per_bin = sum(seen[BINS // 2 :]) / (BINS - BINS // 2)  # random runs expected in each bin
+        found[cell] = 2.0
+        for first in range(BINS):
+            above = sum(seen[first:])
+            if above and 1 - min(1.0, per_bin * (BINS - first) / above) <= rate:
+                found[cell] = max(first / BINS, 0.01)
+                break
+    return found
+
+
+def scan(docs: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
+    """``docs`` with ``secrets``: an array of ``start, kind, end`` in order (code points, end exclusive).
+
+    Base kinds come first among equal starts, as in ``KINDS``; runs found by the battery never
+    touch a base span. A null text counts as empty and has none. Repeated rows get equal
+    results; a column already named ``secrets`` is replaced.
+    """
+    least = thresholds(docs, text, rate)
+    cases = " ".join(f"WHEN j.how.encoding = '{e}' AND j.how.band = {b} THEN j.how.p >= {p!r}D" for (e, b), p in sorted(least.items()))
+    kept = f"filter(__judged, j -> CASE {cases} ELSE false END)" if cases else "filter(__judged, j -> false)"
+    named = ", ".join(
+        f"transform({array}, x -> named_struct('start', x.start, 'place', {i}, 'kind', '{kind}', 'end', x.end))"
+        for i, (kind, array) in enumerate(zip(KINDS, ("__assign", "__access", "__hex", kept), strict=True))
+    )
+    columns = [c for c in docs.columns if c != "secrets"]
+    spans = f"transform(array_sort(concat({named})), x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end))"
+    return _scanned(docs.select(*[f"`{c}`" for c in columns]), text).select(*[F.col(f"`{c}`") for c in columns], F.expr(spans).alias("secrets"))
+
+
+def digest(scanned: DataFrame) -> DataFrame:
+    """Counts by kind, the hash of the base spans' text, and all spans as text."""
+    count = lambda kind: F.expr(f"cast(size(filter(secrets, x -> x.kind = '{kind}')) AS bigint)").alias(f"n_{kind}")
+    written = lambda spans: f"array_join(transform({spans}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
+    base = written("filter(secrets, x -> x.kind <> 'random')")
+    return scanned.select("doc_id", *[count(k) for k in KINDS], F.expr(f"sha2({base}, 256)").alias("base_sha256"), F.expr(written("secrets")).alias("spans"))
