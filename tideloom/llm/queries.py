@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.registered import Query, register
-from . import language, mixing, packing, privacy, secrets, simhash
+from . import hashing, language, mixing, packing, pivots, privacy, secret_scan, simhash
 from .common import table
 
 QUERIES: dict[str, Query] = {}
@@ -25,7 +25,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(QUERIES)
 def op2_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @register(QUERIES)
@@ -33,6 +33,11 @@ def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register(QUERIES)
+def op4_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.search(table(spark, sf_dir, "embeddings"))
+
+
 @register(QUERIES)
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language.held_out(F.col("doc_id")).alias("held_out"))
@@ -49,3 +54,8 @@ def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(QUERIES)
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizer())
+
+
+@register(QUERIES)
+def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashing.search(table(spark, sf_dir, "embeddings"))
