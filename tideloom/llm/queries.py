@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.registered import Query, register
-from . import hashing, language, mixing, packing, pivots, privacy, secret_scan, simhash
+from . import hashing, language, mixing, packing, pivots, privacy, quotations, secret_scan, severity, simhash
 from .common import table
 
 QUERIES: dict[str, Query] = {}
@@ -45,6 +45,22 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.drop("lang"), learned).drop("text")
 
 
+@register(QUERIES)
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.conversations(quotations.as_quoting_mail(table(spark, sf_dir, "conversations")))
+
+
+@register(QUERIES)
+def op7_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades from labels: 0 not toxic, 1 toxic, 2 toxic and of low quality; a quarter of the ids is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", language.held_out(F.col("doc_id")).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL")
+    graded = labels.select("doc_id", (F.col("toxic") * (2 - F.coalesce("quality", F.lit(1)))).alias("grade"))
+    model = severity.learn(docs.where("NOT held_out"), graded, 3)
+    found = severity.score(docs, model).drop("text")
+    return found.withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 @register(QUERIES)
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = privacy.surrogated(table(spark, sf_dir, "documents").select("doc_id", "text"))
