@@ -75,18 +75,17 @@ def conversations(messages: DataFrame, message_id: str = "message_id", text: str
     doubling: a chain of n replies takes about log2(n) joins.
     """
     linked = staged(link(messages, message_id, text), "linked")
-    reach = staged(
-        linked.where("message_id IS NOT NULL").groupBy(F.col("message_id").alias("id")).agg(F.min("parent_id").alias("up")).withColumn("depth", F.col("up").isNotNull().cast("int")),
-        "reach",
-    )
-    reach = reach.withColumn("up", F.coalesce("up", "id"))
+    start = linked.where("message_id IS NOT NULL").groupBy(F.col("message_id").alias("id")).agg(F.min("parent_id").alias("up"))
+    first = F.col("up").isNull()
+    reach = staged(start.select("id", F.coalesce("up", "id").alias("up"), F.when(first, 0).otherwise(1).alias("depth"), first.alias("done")), "reach")
     while True:
-        above = reach.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        further = reach.join(above, "up").select("id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
-        further = staged(further, "reach")
-        reach = further.drop("moved")
-        if further.where("moved").isEmpty():
+        # Only messages that have not come to the start of their conversation are joined again.
+        open_ends = reach.where("NOT done")
+        if open_ends.isEmpty():
             break
+        above = reach.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("done").alias("there"))
+        further = open_ends.join(above, "up").select("id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("done"))
+        reach = staged(reach.where("done").unionByName(further), "reach")
     named = reach.select(F.col("id").alias("message_id"), F.col("up").alias("conversation_id"), "depth")
     return linked.join(named, "message_id", "left").select(
         "message_id", "conversation_id", F.coalesce("depth", F.lit(0)).alias("depth"), "parent_id", "quote_level", "own_text"
