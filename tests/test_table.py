@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tideloom.functions.columns import SchemaConflict
 from tideloom.operators import KeySpec
 from tideloom.sinks import TableSpec, VersionedTable, register_table
-from tideloom.sinks.table import MERGE_ON_READ, ConcurrentWrite, VersionExpired
+from tideloom.sinks.table import MERGE_ON_READ, ConcurrentWrite, TableMismatch, VersionExpired
 
 COLUMNS = "k int, o int, p string, v string"
 
@@ -318,6 +318,18 @@ def test_catalog_views_follow_the_table(spark, path):
     cow.upsert(frame(spark, [(1, 2, "a", "y"), (2, 2, "b", "z")]))
     (view,) = register_table(cow, "views_db", "c")
     assert sorted_rows(spark.table(view)) == [(1, 2, "a", "y"), (2, 2, "b", "z")]
+    held = {r.partition for r in spark.sql("SHOW PARTITIONS views_db.c_base").collect()}
+    assert held == {f.folder for f in cow.version().files} and not spark.catalog.tableExists("views_db.c_base_partly")
+
+
+def test_catalog_view_of_partly_live_folders(spark, path):
+    table = VersionedTable(spark, path, spec(parts=(), max_file_bytes=4000))
+    table.bulk_insert(frame(spark, [(i, i, None, f"{i:09d}" * 5) for i in range(3000)]))
+    table.upsert(frame(spark, [(5, 9999, None, "new")]))
+    register_table(table, "views_db", "partly")
+    (view,) = register_table(table, "views_db", "partly")
+    assert spark.catalog.tableExists("views_db.partly_base_partly")
+    assert sorted_rows(spark.table(view)) == sorted_rows(table.snapshot())
 
 
 def test_changes_since(spark, path):
@@ -325,6 +337,99 @@ def test_changes_since(spark, path):
     table.insert(frame(spark, [(1, 1, "a", "x")]))
     table.insert(frame(spark, [(2, 1, "a", "y")]))
     assert [r.k for r in table.changes_since(1).collect()] == [2]
+    table.upsert(frame(spark, [(1, 2, "a", "z")]))
+    with pytest.raises(ValueError, match="replaced"):
+        table.changes_since(1)
+
+
+def test_partitions_are_told_apart_to_the_microsecond_in_any_zone(spark, path):
+    key = KeySpec(("k",), ("o",), ("t",))
+    make = lambda rows: spark.createDataFrame(rows, "k int, o int, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    table = VersionedTable(spark, path, TableSpec(key))
+    table.upsert(make([(1, 1, "2024-01-01 00:00:00.001"), (2, 1, "2024-01-01 00:00:00.001001")]))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Lima")
+        table.upsert(make([(1, 2, "2024-01-01 00:00:00.001")]))
+        table.insert_overwrite(make([(3, 1, "2024-01-01 00:00:00.001")]))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted((r.k, r.t.microsecond) for r in table.snapshot().collect()) == [(2, 1001), (3, 1000)]
+    for kind in ("timestamp", "double"):
+        with pytest.raises(ValueError, match="partitioned by"):
+            VersionedTable(spark, path + kind, TableSpec(key)).upsert(make([]).withColumn("t", F.lit(None).cast(kind)))
+
+
+def test_layout_does_not_depend_on_the_broadcast(spark, path, monkeypatch):
+    held = {n: spark.conf.get(n) for n in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    counts = []
+    try:
+        for limit in (64 << 20, 0):
+            monkeypatch.setattr("tideloom.sinks.table.BROADCAST_BYTES", limit)
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            spark.conf.set("spark.sql.shuffle.partitions", "64")
+            table = VersionedTable(spark, f"{path}{limit}", spec())
+            rows = [(i, 1, f"p{i % 20}", "x") for i in range(2000)]
+            table.upsert(frame(spark, rows))
+            table.upsert(frame(spark, [(i, 2, f"p{i % 20}", "y") for i in range(0, 2000, 3)]))
+            counts.append(len(table.version().files))
+            assert sorted(map(tuple, table.snapshot().collect())) == [(k, 2 if k % 3 == 0 else 1, p, "y" if k % 3 == 0 else "x") for k, _, p, _ in rows]
+    finally:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+    assert counts == [20, 20]
+
+
+def test_another_identity_is_refused(spark, path):
+    VersionedTable(spark, path, spec()).upsert(frame(spark, [(1, 1, "a", "x")]))
+    for other in (spec(global_keys=True), spec(parts=()), spec(table_type=MERGE_ON_READ)):
+        with pytest.raises(TableMismatch):
+            VersionedTable(spark, path, other).upsert(frame(spark, [(1, 1, "a", "x")]))
+
+
+def test_second_writer_of_a_number_fails_and_the_table_lives(spark, path):
+    table = VersionedTable(spark, path, spec())
+    table.upsert(frame(spark, [(1, 1, "a", "x")]))
+    stale = table.version()
+    table.insert(frame(spark, [(2, 1, "a", "y")]))
+    with pytest.raises(ConcurrentWrite):
+        table.insert(frame(spark, [(3, 1, "a", "late")]), version=stale)
+    os.makedirs(f"{path}/_claims", exist_ok=True)
+    open(f"{path}/_claims/0000000003", "w").close()
+    with pytest.raises(ConcurrentWrite):
+        table.insert(frame(spark, [(3, 1, "a", "held")]))
+    os.utime(f"{path}/_claims/0000000003", (0, 0))
+    table.insert(frame(spark, [(3, 1, "a", "z")]))
+    assert [r[0] for r in sorted_rows(table.snapshot())] == [1, 2, 3]
+    assert table.remove_orphans(hours=24) == 0 and table.remove_orphans(hours=0) == 2
+    assert [r[0] for r in sorted_rows(table.snapshot())] == [1, 2, 3]
+
+
+def test_expiry_is_published_before_files_go(spark, path, monkeypatch):
+    table = VersionedTable(spark, path, spec())
+    for i in range(3):
+        table.insert_overwrite_table(frame(spark, [(i, 1, "a", "x")]))
+    monkeypatch.setattr(table._storage, "remove_all", lambda paths: (_ for _ in ()).throw(OSError("gone")) if list(paths) else 0)
+    with pytest.raises(OSError):
+        table.expire(versions=1)
+    with pytest.raises(VersionExpired):
+        table.snapshot(as_of=1)
+    assert [r.k for r in table.snapshot().collect()] == [2]
+
+
+def test_codec_and_sorted_ranges_of_bulk_insert(spark, path):
+    import pyarrow.parquet as pq
+
+    table = VersionedTable(spark, path, TableSpec(KeySpec(("k",), ("o",), ()), codec="gzip"))
+    table.bulk_insert(frame(spark, [(i * 7 % 1000, 1, "a", "x") for i in range(1000)]).repartition(8))
+    ranges = []
+    for name in glob.glob(f"{path}/data/*/*.parquet"):
+        file = pq.ParquetFile(name)
+        assert file.metadata.row_group(0).column(0).compression == "GZIP"
+        keys = file.read(["k"]).column(0).to_pylist()
+        ranges.append((min(keys), max(keys)))
+    ranges.sort()
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
 
 
 def test_unknown_operation_and_type(spark, path):

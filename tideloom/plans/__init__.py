@@ -1,6 +1,6 @@
 from .config import DEFAULTS, IngestConfig
 from .pipeline import IngestResult, ingest_batch, ingest_frame, ingest_messages
-from .registry import activation_state, effective_config, prepare_jobs, register_jobs, resolve_runs
+from .registry import activation_state, effective_config, prepare_jobs, register_jobs, reject_runs, resolve_runs
 
 __all__ = [
     "DEFAULTS",
@@ -13,5 +13,6 @@ __all__ = [
     "ingest_messages",
     "prepare_jobs",
     "register_jobs",
+    "reject_runs",
     "resolve_runs",
 ]

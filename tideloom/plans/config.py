@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from ..functions.columns import ON_SPELLINGS
 from ..functions.maps import ARGUMENT_PREFIX
 from ..operators.keyspec import KeySpec
-from ..sinks.table import COPY_ON_WRITE, MAX_FILE_BYTES, OPERATIONS, SMALL_FILE_BYTES, TableSpec
+from ..sinks.table import COPY_ON_WRITE, LOG_COMMITS, MAX_FILE_BYTES, OPERATIONS, SMALL_FILE_BYTES, TableSpec
 
 # Argument names as jobs pass them (one of them misspelt) and their
 # defaults; None marks an argument without a default.
@@ -90,6 +90,8 @@ class IngestConfig:
     codec: str = "gzip"
     max_file_bytes: int = MAX_FILE_BYTES
     small_file_bytes: int = SMALL_FILE_BYTES
+    # Change-log commits of a merge-on-read table after which a run folds them into the base files.
+    log_commits: int = LOG_COMMITS
     quarantine_path: str | None = None
     timestamps: tuple[str, ...] = ()
     # A format of an installed connector to append to, instead of the versioned table.

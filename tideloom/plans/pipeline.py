@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -14,12 +16,13 @@ from ..operators.notifications import PATH_TEMPLATE, expand_messages, filter_eve
 from ..operators.transform import CORRUPT_COLUMN, REASON_COLUMN, mark_invalid, sql_transform
 from ..sinks.catalog import register_table
 from ..sinks.storage import Storage
-from ..sinks.table import VersionedTable
+from ..sinks.table import MERGE_ON_READ, VersionedTable
 from ..sources.files import read_batch
 from ..workspace import fresh_path
 from .config import IngestConfig
 
 LINE_COLUMN = "_line"
+GONE = "object not found"
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,8 @@ def ingest_frame(
     spark = batch.sparkSession
     storage = Storage(spark)
     table = VersionedTable(spark, config.target_path, config.table)
-    if table.has_batch(stream_id, batch_id):
+    version = table.version(stream_id=stream_id, batch_id=batch_id)
+    if version.has_batch:
         return IngestResult(None)
     required = (*config.record_key, *config.ordering, *config.partitions)
     if not batch.columns:
@@ -69,7 +73,7 @@ def ingest_frame(
             rejected = seen["corrupt"]
             if rejected:
                 lines = clean.where(F.col(CORRUPT_COLUMN).isNotNull())
-                _set_aside(lines.withColumn(REASON_COLUMN, F.lit("corrupt record")), config, batch_id, "lines")
+                _set_aside(lines.withColumn(REASON_COLUMN, F.lit("corrupt record")), config, (stream_id, batch_id), "lines")
             clean = clean.where(F.col(CORRUPT_COLUMN).isNull()).drop(CORRUPT_COLUMN)
         shaped = sql_transform(clean, config.sql_query, function, required)
         marked = mark_invalid(shaped, config.record_key, config.partitions, config.timestamps)
@@ -77,7 +81,7 @@ def ingest_frame(
         ready, seen = staged(marked, F.count(F.lit(1)).alias("rows"), F.count(REASON_COLUMN).alias("bad"))
         if seen["bad"]:
             rejected += seen["bad"]
-            _set_aside(ready.where(F.col(REASON_COLUMN).isNotNull()), config, batch_id, "rows")
+            _set_aside(ready.where(F.col(REASON_COLUMN).isNotNull()), config, (stream_id, batch_id), "rows")
         rows = seen["rows"] - seen["bad"]
         seq = None
         if rows and config.sink:
@@ -85,29 +89,33 @@ def ingest_frame(
             kept.write.format(config.sink).options(**config.sink_options).mode("append").save(config.target_path)
         elif rows:
             kept = ready.where(F.col(REASON_COLUMN).isNull()).drop(REASON_COLUMN, CORRUPT_COLUMN)
-            seq = table.write(kept, config.operation, stream_id=stream_id, batch_id=batch_id)
+            seq = table.write(kept, config.operation, stream_id=stream_id, batch_id=batch_id, version=version)
     finally:
         storage.remove_all(working)
     if seq is not None:
+        if config.table_type == MERGE_ON_READ:
+            table.compact_log(at_least=config.log_commits)
         if config.enable_cleaner:
             table.expire(**config.retention)
-            table.fold_manifests()
+            table.remove_orphans()
+        table.fold_manifests()
         if config.enable_catalog and config.database:
             register_table(table, config.database, config.table_name)
     return IngestResult(seq, rows, rejected)
 
 
-def _set_aside(bad: DataFrame, config: IngestConfig, batch_id: int | None, label: str) -> None:
-    """Write rejected rows as JSON; a replayed micro-batch replaces its own earlier output.
+def _set_aside(bad: DataFrame, config: IngestConfig, batch: tuple[str | None, int | None], label: str) -> None:
+    """Write rejected rows as JSON; a replayed micro-batch replaces its own earlier output and no other.
 
-    The unreadable line goes under a name that the JSON reader does not use itself.
+    The folder is named by the stream and its batch, or by the run outside of streams. The
+    unreadable line goes under a name that the JSON reader does not use itself.
     """
     bad = bad.withColumnRenamed(CORRUPT_COLUMN, LINE_COLUMN)
     root = config.quarantine_path or f"{config.target_path.rstrip('/')}/_quarantine"
-    if batch_id is None:
-        bad.write.mode("append").json(f"{root}/{label}")
-    else:
-        bad.write.mode("overwrite").json(f"{root}/{label}/batch={batch_id}")
+    stream_id, batch_id = batch
+    stream = "none" if stream_id is None else f"s{hashlib.sha256(stream_id.encode()).hexdigest()[:16]}"
+    number = f"run-{uuid.uuid4().hex[:12]}" if batch_id is None else f"n{batch_id}"
+    bad.write.mode("overwrite").json(f"{root}/{label}/stream={stream}/batch={number}")
 
 
 def ingest_batch(
@@ -118,9 +126,12 @@ def ingest_batch(
     schema: T.StructType | None = None,
     **options,
 ) -> IngestResult:
-    """Ingest the objects at the given paths; objects that are gone are reported, not fatal."""
+    """Ingest the objects at the given paths; those that are gone go to the quarantine and the result, and are not fatal."""
     gone = set(Storage(spark).missing(dict.fromkeys(paths)))
     there = [path for path in dict.fromkeys(paths) if path not in gone]
+    if gone:
+        rows = spark.createDataFrame([(path, GONE) for path in sorted(gone)], f"path string, {REASON_COLUMN} string")
+        _set_aside(rows, config, (options.get("stream_id"), options.get("batch_id")), "objects")
     if not there:
         return IngestResult(None, missing_objects=tuple(sorted(gone)))
     done = ingest_frame(read_batch(spark, there, fmt, schema), config, **options)
@@ -135,6 +146,7 @@ def ingest_messages(
     path_template: str = PATH_TEMPLATE,
     fmt: str = "json",
     schema: T.StructType | None = None,
+    decode_keys: bool = True,
     **options,
 ) -> IngestResult:
     """Ingest the objects that a batch of notifications names.
@@ -142,8 +154,16 @@ def ingest_messages(
     The object paths of one batch reach the driver, as Spark's file listing
     requires; the number of messages per batch bounds them.
     """
-    objects, rejected = expand_messages(messages, body, path_template)
-    if not rejected.isEmpty():
-        _set_aside(rejected, config, options.get("batch_id"), "messages")
-    paths = [r[0] for r in filter_events(objects, prefix).select("path").distinct().collect()]
-    return ingest_batch(messages.sparkSession, config, sorted(paths), fmt, schema, **options)
+    spark = messages.sparkSession
+    path = fresh_path(spark, "messages")
+    try:
+        # Staged once: a queue that is read again may give other messages.
+        messages.write.parquet(path)
+        staged = spark.read.schema(messages.schema).parquet(path)
+        objects, rejected = expand_messages(staged, body, path_template, decode_keys)
+        if not rejected.isEmpty():
+            _set_aside(rejected, config, (options.get("stream_id"), options.get("batch_id")), "messages")
+        paths = [r[0] for r in filter_events(objects, prefix).select("path").distinct().collect()]
+    finally:
+        Storage(spark).remove(path)
+    return ingest_batch(spark, config, sorted(paths), fmt, schema, **options)

@@ -48,7 +48,8 @@ def prepare_jobs(
     A definition has ``job_name, table_name, active, created_by, cron_schedule``
     and the maps ``s3_ingestion_config`` and ``glue_payload``. The resource names
     that follow from the table name are added to the ingestion config, the
-    queue addresses to ``sqs``.
+    queue names to ``sqs``; so are the addresses of queues that exist, where the
+    definition has them as ``queue_url`` and ``dead_letter_url``.
     """
     config = F.col("s3_ingestion_config")
     source = F.try_element_at(config, F.lit("s3_ingestion_path"))
@@ -72,6 +73,9 @@ def prepare_jobs(
         F.lit("QUEUE_ARN"), arn(queue),
         F.lit("DLQ_QUEUE_ARN"), arn(dead_letter_name(queue)),
     )
+    given = {"QUEUE_URL": "queue_url", "DLQ_QUEUE_URL": "dead_letter_url"}
+    known = [x for name, column in given.items() if column in definitions.columns for x in (F.lit(name), F.col(column))]
+    addresses = F.map_filter(F.create_map(*known).cast(MAP), lambda _, address: address.isNotNull())
     rows = judged.where(F.col("reason").isNull()).select(
         "job_name",
         "table_name",
@@ -80,7 +84,7 @@ def prepare_jobs(
         F.coalesce(F.col("created_by"), F.lit(DEFAULT_CREATOR)).alias("created_by"),
         F.coalesce(F.col("cron_schedule"), F.lit(DEFAULT_SCHEDULE)).alias("cron_schedule"),
         F.to_json(merge_maps(config, derived)).alias("s3_ingestion_config"),
-        F.to_json(queues).alias("sqs"),
+        F.to_json(merge_maps(queues, addresses)).alias("sqs"),
         F.to_json(F.coalesce(F.col("glue_payload"), F.create_map().cast(MAP))).alias("glue_payload"),
     )
     return rows, judged.where(F.col("reason").isNotNull())
@@ -105,27 +109,39 @@ def activation_state(registry: DataFrame) -> DataFrame:
     )
 
 
-def resolve_runs(requests: DataFrame, registry: DataFrame, match: Sequence[str] = JOB_KEY) -> DataFrame:
-    """Run arguments for each request whose job is registered.
-
-    Payload and queue settings are merged, queue settings winning, and every
-    name gets the argument prefix. Matching on the table name alone takes the
-    job of that table registered last.
-    """
+def _matched(requests: DataFrame, registry: DataFrame, match: Sequence[str]) -> DataFrame:
+    """Requests with the merged settings of their job, and what is wrong with those."""
     if "table_name" not in match:
         raise ValueError("requests are matched on the table name at least")
     jobs = registry.select(*JOB_KEY, "created_at", "glue_payload", "sqs")
     if set(match) != set(JOB_KEY):
         newest = Window.partitionBy(*match).orderBy(F.col("created_at").desc_nulls_last(), F.col("job_name").desc())
         jobs = jobs.withColumn("__rank", F.row_number().over(newest)).where(F.col("__rank") == 1)
+    broken = lambda name: F.col(name).isNotNull() & ~F.coalesce(F.schema_of_variant(F.try_parse_json(name)).startswith("OBJECT"), F.lit(False))
     jobs = jobs.select(
         *[F.col(name).alias(f"__job_{name}") for name in match],
+        F.when(broken("glue_payload"), "unreadable payload").when(broken("sqs"), "unreadable queue settings").alias("__reason"),
         merge_maps(F.from_json("glue_payload", MAP), F.from_json("sqs", MAP)).alias("__merged"),
     )
-    on = [F.col(name) == F.col(f"__job_{name}") for name in match]
-    return requests.join(jobs, on, "inner").select(
-        *[F.col(name) for name in requests.columns], prefix_keys(F.col("__merged")).alias("arguments")
-    )
+    return requests.join(jobs, [F.col(name) == F.col(f"__job_{name}") for name in match], "inner")
+
+
+def resolve_runs(requests: DataFrame, registry: DataFrame, match: Sequence[str] = JOB_KEY) -> DataFrame:
+    """Run arguments for each request whose job is registered.
+
+    Payload and queue settings are merged, queue settings winning, and every
+    name gets the argument prefix. Matching on the table name alone takes the
+    job of that table registered last. A job whose settings cannot be read does
+    not run; see ``reject_runs``.
+    """
+    runs = _matched(requests, registry, match).where(F.col("__reason").isNull())
+    return runs.select(*[F.col(name) for name in requests.columns], prefix_keys(F.col("__merged")).alias("arguments"))
+
+
+def reject_runs(requests: DataFrame, registry: DataFrame, match: Sequence[str] = JOB_KEY) -> DataFrame:
+    """Requests whose job is registered with settings that are no JSON object, with the reason."""
+    runs = _matched(requests, registry, match).where(F.col("__reason").isNotNull())
+    return runs.select(*[F.col(name) for name in requests.columns], F.col("__reason").alias("reason"))
 
 
 def effective_config(runs: DataFrame) -> DataFrame:

@@ -69,10 +69,10 @@ def latest_event_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return precombine(shaped, KeySpec(("user_id",), ("ts",), ("year", "month"), global_keys=True))
 
 
-@register(QUERIES)
+@register(QUERIES, f"SELECT {_EVENT_COLUMNS} FROM events ORDER BY event_id LIMIT 20")
 def batch_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Any twenty rows of a batch; which ones is not defined."""
-    return preview(table(spark, sf_dir, "events"), 20)
+    """The first twenty rows of an ordered batch."""
+    return preview(table(spark, sf_dir, "events").orderBy("event_id"), 20)
 
 
 # ---- notifications ------------------------------------------------------------
@@ -186,6 +186,13 @@ def read_json_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_batch(spark, [path]).select("event_id", "user_id", "event_type", "value", "props")
 
 
+@register(QUERIES, "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts, value FROM events")
+def read_json_inferred_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a schema a time stays the text it is."""
+    path = _write_json(table(spark, sf_dir, "events"), spark, "event_type")
+    return read_batch(spark, [path]).select("event_id", "ts", "value")
+
+
 @register(QUERIES, f"SELECT {_EVENT_COLUMNS} FROM events")
 def read_parquet_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "raw")
@@ -222,6 +229,22 @@ def object_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    QUERIES,
+    """SELECT 'arrival=' || source || '/value=' || doc_id AS folder, source LIKE 'src1%' AS has_prefix, CAST(1 AS BIGINT) AS objects
+    FROM documents WHERE lang = 'es'""",
+)
+def list_object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of every object, and of every object below a prefix."""
+    path = fresh_path(spark, "raw")
+    few = table(spark, sf_dir, "documents").where("lang = 'es'").select("source", "doc_id", F.lit(1).alias("one"))
+    few.select(F.col("source").alias("arrival"), F.col("doc_id").alias("value"), "one").repartition(8, "arrival", "value").write.partitionBy("arrival", "value").json(path)
+    folder = F.regexp_extract("key", "^(.*)/[^/]*[.]json$", 1).alias("folder")
+    found = list_objects(spark, path).where(F.col("key").endswith(".json")).groupBy(folder).agg(F.count("*").alias("objects"))
+    below = list_objects(spark, path, "arrival=src1").where(F.col("key").endswith(".json")).select(folder.alias("listed")).distinct()
+    return found.join(below, F.col("folder") == F.col("listed"), "left").select("folder", F.col("listed").isNotNull().alias("has_prefix"), "objects")
+
+
 @register(
     QUERIES,
     """SELECT event_id, 'null key: user_id' AS reason, NULL AS line FROM events WHERE event_type = 'signup'
@@ -339,3 +362,59 @@ def notification_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
         schema=orders.schema,
     )
     return VersionedTable(spark, config.target_path, config.table).snapshot()
+
+
+@register(QUERIES, "SELECT CAST(3 AS BIGINT) AS batches, CAST(2 AS BIGINT) AS largest, count(*) AS n FROM orders")
+def stream_batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five files, two per micro-batch, make three commits."""
+    orders = all_orders(spark, sf_dir)
+    path = _write_json(orders.repartition(1), spark, "o_orderpriority")
+    config = _order_config(spark, operation="insert")
+    drain_files(spark, config, path, orders.schema, fresh_path(spark, "progress"), max_files=2)
+    held = VersionedTable(spark, config.target_path, config.table)
+    commit = F.regexp_extract("_metadata.file_path", "_commit(?:=|%3D)([0-9]+)", 1).alias("batch")
+    stored = spark.read.parquet(held.data_root).select(commit, "o_orderpriority")
+    batches = stored.groupBy("batch").agg(F.countDistinct("o_orderpriority").alias("files"), F.count("*").alias("n"))
+    return batches.agg(F.count("*").alias("batches"), F.max("files").alias("largest"), F.sum("n").alias("n"))
+
+
+@register(
+    QUERIES,
+    """SELECT 'null key: o_custkey' AS reason, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')
+    UNION ALL SELECT 'stored', count(*) FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')""",
+)
+def quarantine_two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams into one table; what either sets aside stays."""
+    orders = all_orders(spark, sf_dir)
+    bad = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    keyless = orders.withColumn("o_custkey", F.when(~bad, F.col("o_custkey")))
+    config = _order_config(spark, operation="insert")
+    for own in ("1-URGENT", "2-HIGH"):
+        other = {"1-URGENT": ("3-MEDIUM",), "2-HIGH": ("4-NOT SPECIFIED", "5-LOW")}[own]
+        path = _write_json(keyless.where(F.col("o_orderpriority").isin(own, *other)), spark, "o_orderpriority")
+        drain_files(spark, config, path, orders.schema, fresh_path(spark, "progress"))
+    rejected = spark.read.json(f"{config.target_path}/_quarantine/rows").groupBy(F.col(REASON_COLUMN).alias("reason")).agg(F.count("*").alias("n"))
+    stored = VersionedTable(spark, config.target_path, config.table).snapshot().agg(F.count("*").alias("n"))
+    return rejected.unionByName(stored.select(F.lit("stored").alias("reason"), "n"))
+
+
+@register(
+    QUERIES,
+    """SELECT 'object not found' AS what, count(DISTINCT o_orderpriority) AS n FROM orders WHERE o_orderpriority < '3'
+    UNION ALL SELECT 'stored', count(*) FROM orders WHERE o_orderpriority >= '3'""",
+)
+def missing_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of notifications, two of whose objects are gone by the time it is read."""
+    orders = all_orders(spark, sf_dir)
+    path = _write_json(orders.where("o_orderpriority >= '3'"), spark, "o_orderpriority")
+    record = F.struct(F.struct(F.struct(F.lit("x").alias("name")).alias("bucket"), F.struct(F.col("key").alias("key")).alias("object")).alias("s3"))
+    here = list_objects(spark, path).where(F.col("key").endswith(".json")).select(F.url_encode("key").alias("key"))
+    gone = orders.where("o_orderpriority < '3'").select(F.concat(F.lit("gone/"), F.col("o_orderpriority")).alias("key")).distinct()
+    queue = fresh_path(spark, "queue")
+    here.union(gone).select(F.to_json(F.struct(F.array(record).alias("Records"))).alias("value")).write.text(queue)
+    config = _order_config(spark, operation="insert")
+    stream = spark.readStream.option("maxFilesPerTrigger", "3").text(queue)
+    drain_messages(stream, config, fresh_path(spark, "progress"), body="value", path_template=f"{path}%.0s/%s", schema=orders.schema)
+    rejected = spark.read.json(f"{config.target_path}/_quarantine/objects").groupBy(F.col(REASON_COLUMN).alias("what")).agg(F.count("*").alias("n"))
+    stored = VersionedTable(spark, config.target_path, config.table).snapshot().agg(F.count("*").alias("n"))
+    return rejected.unionByName(stored.select(F.lit("stored").alias("what"), "n"))

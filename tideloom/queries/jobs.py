@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import activation_state, effective_config, prepare_jobs, register_jobs, resolve_runs
+from ..plans import activation_state, effective_config, prepare_jobs, register_jobs, reject_runs, resolve_runs
 from ..plans.config import DEFAULTS
 from .fixtures import table
 from .registered import Query, register
@@ -184,3 +184,46 @@ def _default_sql(name: str) -> str:
 )
 def run_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return effective_config(resolve_runs(_requests(spark, sf_dir), _registry(spark, sf_dir)))
+
+
+@register(
+    QUERIES,
+    _JOBS_SQL
+    + """SELECT c.c_custkey, '--' || a.name AS name, CASE a.name
+        WHEN 'QUEUE_URL' THEN 'https://queues/' || j.job_name WHEN 'DLQ_QUEUE_URL' THEN 'https://dead/' || j.job_name
+        WHEN 'HUDI_RECORD_KEY' THEN 'key_' || j.nation WHEN 'HUDI_PRECOMB_KEY' THEN CAST(j.customers AS VARCHAR)
+        WHEN 'QUEUE_ARN' THEN 'arn:aws:sqs:us-east-1:000000000000:' || j.table_name || '-ingestion-queue'
+        ELSE 'arn:aws:sqs:us-east-1:000000000000:' || j.table_name || '-ingestion-queue-dlq' END AS value
+    FROM customer c JOIN jobs j ON j.table_name = c.c_mktsegment AND j.nation = c.c_nationkey
+    CROSS JOIN (VALUES ('QUEUE_URL'), ('DLQ_QUEUE_URL'), ('HUDI_RECORD_KEY'), ('HUDI_PRECOMB_KEY'), ('QUEUE_ARN'), ('DLQ_QUEUE_ARN')) a(name)
+    WHERE c.c_nationkey <> 0""",
+)
+def resolve_registered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queue addresses of the definitions reach the runs through the registry as it is written."""
+    addressed = _definitions(spark, sf_dir).withColumns(
+        {"queue_url": F.concat(F.lit("https://queues/"), "job_name"), "dead_letter_url": F.concat(F.lit("https://dead/"), "job_name")}
+    )
+    registry, _ = prepare_jobs(addressed, created_at=F.col("created_at"))
+    runs = resolve_runs(_requests(spark, sf_dir), registry)
+    return runs.select("c_custkey", F.explode("arguments").alias("name", "value"))
+
+
+@register(
+    QUERIES,
+    """SELECT c_custkey, CASE WHEN c_nationkey % 3 = 1 THEN 'unreadable payload' ELSE 'unreadable queue settings' END AS reason
+    FROM customer WHERE c_nationkey <> 0 AND c_nationkey % 3 <> 0
+    UNION ALL SELECT c_custkey, 'runs' FROM customer WHERE c_nationkey <> 0 AND c_nationkey % 3 = 0""",
+    name="reject_runs",
+)
+def broken_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs whose payload or queue settings are broken JSON do not run."""
+    nation = F.element_at(F.split("job_name", "-"), -1).cast("int")
+    registry = _registry(spark, sf_dir).withColumns(
+        {
+            "glue_payload": F.when(nation % 3 == 1, "{broken").otherwise(F.col("glue_payload")),
+            "sqs": F.when(nation % 3 == 2, "[1, 2]").otherwise(F.col("sqs")),
+        }
+    )
+    requests = _requests(spark, sf_dir)
+    rejected = reject_runs(requests, registry).select("c_custkey", "reason")
+    return rejected.unionByName(resolve_runs(requests, registry).select("c_custkey", F.lit("runs").alias("reason")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import KeySpec, expirable_by_commits, expirable_by_versions, small_file_candidates
 from ..sinks import TableSpec, VersionedTable, register_external, register_table
-from ..sinks.table import MERGE_ON_READ
+from ..sinks.table import MERGE_ON_READ, SMALL_FILES_KEPT
 from ..workspace import fresh_path
 from .fixtures import (
     GLOBAL_COMMIT,
@@ -329,3 +329,53 @@ def compact_small_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n"), F.sum("o_orderkey").alias("keys")
     )
     return totals.join(files, F.col("year") == F.col("file_year")).select("year", "n", "keys", "files")
+
+
+@register(
+    QUERIES,
+    """SELECT event_id, date_trunc('day', ts) + to_microseconds(event_id % 3) AS at,
+        CASE WHEN event_id % 3 = 1 THEN 'new' ELSE event_type END AS event_type FROM events WHERE event_id % 3 <> 2""",
+)
+def overwrite_timestamp_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions a microsecond apart: one of each three is overwritten, one dropped, one stays."""
+    part = F.expr("date_trunc('DAY', ts)").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, cast((event_id % 3) * 0.000001 AS decimal(18, 6)))")
+    events = table(spark, sf_dir, "events").select("event_id", part.alias("at"), "event_type")
+    held = _table(spark, KeySpec(("event_id",), (), ("at",)))
+    held.insert(events)
+    held.insert_overwrite(events.where("event_id % 3 = 1").withColumn("event_type", F.lit("new")))
+    held.delete_partition(events.where("event_id % 3 = 2").select("at").distinct())
+    return held.snapshot()
+
+
+@register(
+    QUERIES,
+    f"""{ORDERS_SQL}, keys AS (SELECT DISTINCT o_custkey, year FROM all_orders)
+    SELECT year, count(*) AS n, true AS bounded FROM keys GROUP BY year""",
+)
+def upsert_series_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in seven batches: the files of a partition stay few."""
+    orders = all_orders(spark, sf_dir)
+    held = _table(spark, LOCAL_COMMIT)
+    for batch in range(7):
+        held.upsert(orders.where(F.pmod(F.col("o_orderkey"), F.lit(7)) == batch))
+    live = held.file_lives().where(F.col("removed").isNull())
+    files = live.groupBy(F.get_json_object("part_key", "$.year").cast("int").alias("file_year")).agg(F.count("*").alias("files"))
+    rows = held.snapshot().groupBy("year").agg(F.count("*").alias("n"))
+    return rows.join(files, F.col("year") == F.col("file_year")).select("year", "n", (F.col("files") <= SMALL_FILES_KEPT).alias("bounded"))
+
+
+@register(
+    QUERIES,
+    f"{ORDERS_SQL} SELECT year, CAST(1 AS BIGINT) AS live, CAST(2 AS BIGINT) AS expired, count(*) AS n FROM all_orders GROUP BY year",
+)
+def expired_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of every partition, of which one is retained."""
+    orders = all_orders(spark, sf_dir)
+    held = _table(spark, LOCAL_COMMIT)
+    for _ in range(3):
+        held.insert_overwrite(orders)
+    held.expire(versions=1)
+    year = F.get_json_object("part_key", "$.year").cast("int").alias("file_year")
+    files = held.file_lives().groupBy(year).agg(F.count_if(F.col("removed").isNull()).alias("live"), F.count("expired").alias("expired"))
+    rows = held.snapshot().groupBy("year").agg(F.count("*").alias("n"))
+    return rows.join(files, F.col("year") == F.col("file_year")).select("year", "live", "expired", "n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 # Fixed value: how many removals are in flight at once.
@@ -31,6 +32,27 @@ class Storage:
         fs, at = self._at(path)
         return sorted(entry.getPath().getName() for entry in fs.listStatus(at)) if fs.exists(at) else []
 
+    def matches(self, pattern: str) -> bool:
+        """Whether a glob pattern finds anything."""
+        fs, at = self._at(pattern)
+        return bool(fs.globStatus(at))
+
+    def modified(self, path: str) -> float:
+        """When a file or folder was last changed, in seconds."""
+        fs, at = self._at(path)
+        return fs.getFileStatus(at).getModificationTime() / 1000
+
+    def create_new(self, path: str) -> bool:
+        """Create an empty file; false if it is there already."""
+        fs, at = self._at(path)
+        try:
+            fs.create(at, False).close()
+        except Py4JJavaError:
+            if fs.exists(at):
+                return False
+            raise
+        return True
+
     def remove(self, path: str) -> bool:
         fs, at = self._at(path)
         return fs.delete(at, True)

@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
@@ -66,13 +68,24 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 # row-group statistics and bloom filters can then use.
 LISTED_KEYS = 500
 
+# Small files that a partition may keep before the next write packs them, and the operations that do so.
+SMALL_FILES_KEPT = 4
+PACKING = ("upsert", "insert", "insert_if_absent", "delete")
+# How long a writer may take to write a manifest before its claim counts as abandoned.
+CLAIM_SECONDS = 3600
+# Change-log commits that a run leaves before it folds them into the base files.
+LOG_COMMITS = 5
+
 # How many separate manifests are read before they are folded.
 FOLD_AFTER = 100
 FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+# Partition types whose text is exact and does not depend on the session's time zone.
+PARTITION_TYPES = (T.IntegralType, T.DecimalType, T.StringType, T.BooleanType, T.DateType, T.TimestampNTZType)
 # Key types whose values can stand in a filter exactly as read.
 PRUNABLE = (T.IntegralType, T.DecimalType, T.StringType, T.DateType)
 COMMIT_COLUMN = "_commit"
 _FILE = "__file"
+_MARKER = f"/data/{COMMIT_COLUMN}="
 
 MANIFEST_SCHEMA = T.StructType(
     [
@@ -89,6 +102,7 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("batch_id", T.LongType()),
         T.StructField("committed_at", T.StringType()),
         T.StructField("table_schema", T.StringType()),
+        T.StructField("identity", T.StringType()),  # key, scope, partitions and type, as JSON
     ]
 )
 
@@ -129,6 +143,7 @@ class Version:
     files: list[DataFile] = field(default_factory=list)
     unique_keys: bool = True  # only operations that keep keys unique so far
     has_batch: bool = False  # the batch asked about has been applied
+    identity: str | None = None
 
     def of(self, kind: str) -> list[DataFile]:
         return [f for f in self.files if f.kind == kind]
@@ -150,6 +165,10 @@ class ConcurrentWrite(RuntimeError):
     """Two commits carry the same sequence number."""
 
 
+class TableMismatch(ValueError):
+    """A write asks for another key, partitioning or type than the table was created with."""
+
+
 class VersionExpired(ValueError):
     """Files of the requested version have been removed."""
 
@@ -172,6 +191,12 @@ class VersionedTable:
     def manifest_root(self) -> str:
         return f"{self.root}/_manifest"
 
+    @property
+    def identity(self) -> str:
+        """What every write to the table must agree on; orderings and file sizes may change."""
+        held = {"keys": self.key.keys, "parts": self.key.parts, "global": self.key.global_keys, "type": self.spec.table_type}
+        return json.dumps(held, sort_keys=True)
+
     def exists(self) -> bool:
         return self._storage.exists(self.manifest_root)
 
@@ -209,7 +234,7 @@ class VersionedTable:
         # One shuffle by folder serves the file lives, the check for whole
         # folders, and (their folder being null) the commit rows.
         entries = self.manifest(as_of).repartition("folder")
-        latest = F.max_by(F.struct("seq", "table_schema"), "seq")
+        latest = F.max_by(F.struct("seq", "table_schema", "identity"), "seq")
         repeats = F.max(F.col("operation").isin(*MAY_REPEAT_KEYS)).alias("repeats")
         seqs = F.size(F.collect_set("seq")).alias("seqs")
         gone = F.col("removed").isNotNull()
@@ -236,7 +261,7 @@ class VersionedTable:
             if not expired.where((F.col("added") <= as_of) & (F.col("removed") > as_of)).isEmpty():
                 raise VersionExpired(f"{self.root}: version {as_of} is no longer retained")
         schema = T.StructType.fromJson(json.loads(header.latest.table_schema))
-        return Version(header.latest.seq, schema, files, not header.repeats, bool(header.asked))
+        return Version(header.latest.seq, schema, files, not header.repeats, bool(header.asked), header.latest.identity)
 
     def has_batch(self, stream_id: str | None, batch_id: int | None) -> bool:
         if stream_id is None or batch_id is None:
@@ -267,7 +292,9 @@ class VersionedTable:
         return self._rows(version, version.of("base"))
 
     def changes_since(self, seq: int) -> DataFrame:
-        """Rows of the files added after a commit and still live."""
+        """Rows added after a commit, where every commit since has only added files; otherwise an error."""
+        if not self.manifest().where((F.col("seq") > seq) & (F.col("action") == "remove")).isEmpty():
+            raise ValueError(f"{self.root}: a commit after {seq} replaced files, so that they hold older rows too")
         version = self.version()
         return self._rows(version, [f for f in version.files if _seq_of(f.folder) > seq])
 
@@ -401,11 +428,11 @@ class VersionedTable:
 
         return self._apply(df, plan, batch, evolve=False)
 
-    def compact_log(self) -> int | None:
-        """Fold the change log into the base files."""
+    def compact_log(self, at_least: int = 1) -> int | None:
+        """Fold the change log into the base files, once it has so many commits."""
         version = self.version()
         log = version.of("log")
-        if not log:
+        if len({_seq_of(f.folder) for f in log}) < at_least:
             return None
         with _Work(self.spark, self._storage) as work:
             changes = self._staged(work, self._latest_changes(version, log))
@@ -446,9 +473,10 @@ class VersionedTable:
             staying = lives.join(listed.select("folder", "file"), ["folder", "file"], "left_anti")
             in_use = {r.folder for r in staying.select("folder").distinct().collect()}
             paths = {f.path if f.folder in in_use else f.folder for f in gone}
-            self._storage.remove_all(f"{self.data_root}/{path}" for path in sorted(paths))
+            # Published first: a reader is told that a version is gone before its files are.
             with _Work(self.spark, self._storage) as work:
                 self._commit(self.version(), None, removed=gone, action="expire", **work.identity("expire"))
+            self._storage.remove_all(f"{self.data_root}/{path}" for path in sorted(paths))
         return len(gone)
 
     def fold_manifests(self, at_least: int = FOLD_AFTER) -> int:
@@ -478,7 +506,9 @@ class VersionedTable:
     # ---- the steps of a write -------------------------------------------
 
     def _apply(self, df: DataFrame, plan: Callable, batch: dict, evolve: bool = True) -> int | None:
-        version = self.version(**batch)
+        version = batch.pop("version", None) or self.version(**batch)
+        if version.identity not in (None, self.identity):
+            raise TableMismatch(f"{self.root} was created as {version.identity}, not {self.identity}")
         if version.has_batch or (version.schema is None and not evolve):
             return None  # applied before, or nothing there to remove from
         if version.schema is None:
@@ -497,6 +527,10 @@ class VersionedTable:
         """Fail on rows the table could not give back: a null key, or a partition value that reads as null."""
         named = dict.fromkeys((*self.key.scope, *self.key.ordering, *self.key.parts))
         lost = [name for name in named if name not in rows.columns]
+        for name in set(self.key.parts) - set(lost):
+            kind = rows.schema[name].dataType
+            if not isinstance(kind, PARTITION_TYPES):
+                raise ValueError(f"{name}: a table cannot be partitioned by {kind.simpleString()}; cast it to a date, a zone-less timestamp, a whole number or text")
         if lost:
             raise ValueError(f"the batch lacks the columns {lost} (has {rows.columns})")
         checks = {}
@@ -529,7 +563,7 @@ class VersionedTable:
     ) -> int:
         """Rewrite the files holding rows that the batch (one row per key) replaces."""
         candidates = self._candidates(version, batch)
-        replacing, hit_paths = batch.data, set()
+        replacing, files = batch.data, []
         if candidates and batch.rows:
             found = self._lookup(version, candidates, batch)
             if store and self.key.event_time and self.key.ordering:
@@ -537,15 +571,14 @@ class VersionedTable:
                 hits = found.join(side, self.key.same_scope(_IN), "inner").select(
                     *self.key.scope, _FILE, beats_incoming(self.key).alias("__beats")
                 )
-                # A file is touched if it has a row that does not beat its incoming row.
-                hits, seen = work.stage(hits, F.collect_set(F.when(~F.col("__beats"), F.col(_FILE))).alias("files"))
+                hits, _ = work.stage(hits)
                 beaten = keyed_side(hits.where("__beats").select(*self.key.scope).distinct(), self.key)
                 replacing = surviving(batch.data, beaten, self.key)
-                hit_paths = set(seen["files"])
+                # A file is touched if it has a row that does not beat its incoming row.
+                touched = hits.where(~F.col("__beats"))
             else:
-                hits = found.join(self._key_side(batch.data, batch), self.key.same_scope(_IN), "left_semi")
-                hit_paths = {r[0] for r in hits.select(_FILE).distinct().collect()}
-        files = self._named(hit_paths, candidates)
+                touched = found.join(self._key_side(batch.data, batch), self.key.same_scope(_IN), "left_semi")
+            files = self._numbered({r[0] for r in touched.select(_FILE).distinct().collect()}, version, candidates)
         # One scan of the touched files, past a side that has one row per key.
         kept = None
         if files:
@@ -584,7 +617,8 @@ class VersionedTable:
             else:
                 scan = scan.where(F.col(lead).between(F.lit(batch.low), F.lit(batch.high)))
         narrow = dict.fromkeys((*self.key.scope, *self.key.ordering))
-        return scan.select(*[F.col(name) for name in narrow], F.col("_metadata.file_path").alias(_FILE))
+        # A number for the file: paths are longer than the keys, and would be shuffled with them.
+        return scan.select(*[F.col(name) for name in narrow], _file_number(F.col("_metadata.file_path")).alias(_FILE))
 
     def _key_side(self, rows: DataFrame, batch: Batch, with_ordering: bool = False) -> DataFrame:
         """The batch's keys as a right side, broadcast only if they measured small enough."""
@@ -597,15 +631,23 @@ class VersionedTable:
         wanted = -(-stored_bytes // self.spec.max_file_bytes)
         return wanted if wanted > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else None
 
-    def _part_key(self):
+    def _part_key(self) -> Column:
+        """A row's partition as text: exact, and the same in every session."""
         if not self.key.parts:
             return F.lit("{}")
-        return F.to_json(F.struct(*self.key.parts), {"ignoreNullFields": "false"})
-
-    def _named(self, hit_paths: set[str], candidates: Sequence[DataFile]) -> list[DataFile]:
-        marker = f"/data/{COMMIT_COLUMN}="
-        found = {unquote(path).rsplit(marker, 1)[1] for path in hit_paths}
-        return [f for f in candidates if f.path[len(COMMIT_COLUMN) + 1 :] in found]
+        return F.to_json(F.struct(*[F.col(n).cast("string").alias(n) for n in self.key.parts]), {"ignoreNullFields": "false"})
+
+    def _numbered(self, hit: set[int], version: Version, candidates: Sequence[DataFile]) -> list[DataFile]:
+        """The candidates among the files with these numbers."""
+        if not hit:
+            return []
+        paths = self._scan(version, _singly(candidates)).inputFiles()
+        named = self.spark.createDataFrame([(p,) for p in paths], "path string").where(_file_number(F.col("path")).isin(list(hit)))
+        found = {unquote(r.path).rsplit(_MARKER, 1)[1] for r in named.collect()}
+        files = [f for f in candidates if f.path[len(COMMIT_COLUMN) + 1 :] in found]
+        if len(files) != len(hit):
+            raise RuntimeError(f"{self.root}: {len(hit)} files were hit, {len(files)} of them are known")
+        return files
 
     def _commit(
         self,
@@ -621,6 +663,11 @@ class VersionedTable:
         batch_id: int | None = None,
     ) -> int:
         """Write new rows (and kept rows of rewritten files), then publish the manifest."""
+        if kind == "base" and cluster and operation in PACKING:
+            crowd = self._crowd(version, removed)
+            if crowd:
+                more = self._rows(version, _singly(crowd))
+                kept, removed = more if kept is None else kept.unionByName(more), [*removed, *crowd]
         schema = version.schema
         if schema is None and rows is not None:
             schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
@@ -637,6 +684,7 @@ class VersionedTable:
             "batch_id": batch_id,
             "committed_at": dt.datetime.now(dt.timezone.utc).isoformat(),
             "table_schema": schema.json() if schema is not None else None,
+            "identity": self.identity,
         }
         leaving = [
             {
@@ -654,18 +702,56 @@ class VersionedTable:
         manifest = self.spark.createDataFrame(pa.Table.from_pylist([header, *leaving], to_arrow_schema(MANIFEST_SCHEMA)))
         if rows is not None or kept is not None:
             manifest = manifest.unionByName(self._added(folder, schema, seq, kind), allowMissingColumns=True)
-        # A manifest is file addresses only; one output file makes its appearance atomic.
-        manifest.coalesce(1).write.json(f"{self.manifest_root}/commit={seq:010d}-{attempt}")
+        with self._claim(seq):
+            # A manifest is file addresses only; one output file makes its appearance atomic.
+            manifest.coalesce(1).write.json(f"{self.manifest_root}/commit={seq:010d}-{attempt}")
         return seq
 
+    @contextmanager
+    def _claim(self, seq: int) -> Iterator[None]:
+        """Hold a commit number while its manifest is written; the second of two writers fails and the table stays sound."""
+        claim = f"{self.root}/_claims/{seq:010d}"
+        if not self._storage.create_new(claim):
+            if time.time() - self._storage.modified(claim) < CLAIM_SECONDS:
+                raise ConcurrentWrite(f"{self.root}: another writer is publishing commit {seq}")
+            # Left by a writer that died; whether it had published shows below.
+        try:
+            published = any(_seq_of(n) >= seq for n in self._storage.children(self.manifest_root) if n.startswith("commit="))
+            if published or self.folded()[0] >= seq:
+                raise ConcurrentWrite(f"{self.root}: commit {seq} was published by another writer")
+            yield
+        finally:
+            self._storage.remove(claim)
+
+    def remove_orphans(self, hours: float = 24) -> int:
+        """Remove data folders that no manifest names, left by failed writes, once they are old enough not to be in progress."""
+        begun = [n for n in self._storage.children(self.data_root) if n.startswith(f"{COMMIT_COLUMN}=")]
+        if not begun:
+            return 0
+        named = self.manifest().where("folder IS NOT NULL").select(F.substring_index("folder", "/", 1).alias("top")).distinct()
+        known = {r.top for r in named.collect()}
+        paths = [f"{self.data_root}/{n}" for n in begun if n not in known]
+        return self._storage.remove_all(p for p in paths if time.time() - self._storage.modified(p) >= hours * 3600)
+
+    def _crowd(self, version: Version, leaving: Sequence[DataFile]) -> list[DataFile]:
+        """The small files of partitions that would keep many of them; a write packs them with its own rows."""
+        gone = {f.path for f in leaving}
+        limit = min(self.spec.small_file_bytes, self.spec.max_file_bytes // 4)
+        small: dict[str | None, list[DataFile]] = {}
+        for f in version.of("base"):
+            if f.path not in gone and f.bytes < limit:
+                small.setdefault(f.part_key, []).append(f)
+        return [f for own in small.values() if len(own) >= SMALL_FILES_KEPT for f in own]
+
     def _write_files(
         self, rows: DataFrame | None, kept: DataFrame | None, folder: str, version: Version, cluster: bool
     ) -> None:
         parts = self.key.parts
-        if rows is not None and cluster:
-            # Splits large partitions over tasks and gathers small ones.
-            rows = rows.hint("rebalance", *parts) if parts else rows.hint("rebalance")
         out = rows if kept is None else kept if rows is None else rows.unionByName(kept)
+        if cluster:
+            # Splits large partitions over tasks and gathers small ones: kept rows too, which come
+            # out of a join dealt by key or not, so that the files do not depend on the join.
+            out = out.hint("rebalance", *parts) if parts else out.hint("rebalance")
         # The writer needs its tasks sorted by partition anyway; sorted by key
         # too, a file's row groups cover narrow key ranges that lookups can skip.
         out = out.sortWithinPartitions(*parts, *(k for k in self.key.keys if k not in parts))
@@ -696,9 +782,10 @@ class VersionedTable:
             .groupBy(
                 F.col("_metadata.file_path").alias("path"),
                 F.col("_metadata.file_size").alias("bytes"),
-                self._part_key().alias("part_key"),
+                *self.key.parts,
             )
             .agg(F.count("*").alias("rows"))
+            .withColumn("part_key", self._part_key())
             .select(
                 F.lit(seq).cast("long").alias("seq"),
                 F.lit(kind).alias("kind"),
@@ -739,9 +826,14 @@ class _Work:
         """
         path = fresh_path(self._spark, "stage")
         seen = Observation()
-        df.observe(seen, *metrics).write.parquet(path)
+        (df.observe(seen, *metrics) if metrics else df).write.parquet(path)
         self._staged.append(path)
-        return self._spark.read.schema(df.schema).parquet(path), seen.get
+        return self._spark.read.schema(df.schema).parquet(path), seen.get if metrics else {}
+
+
+def _file_number(path: Column) -> Column:
+    """A number for a data file, from its address below the table's root: the schemes of paths are spelt in several ways."""
+    return F.xxhash64(F.substring_index(path, _MARKER, -1))
 
 
 def _lives(entries: DataFrame, *more) -> DataFrame:
@@ -775,14 +867,18 @@ def _row_bytes(fields: Sequence[T.StructField]):
     return size
 
 
+_CONF_LOCK = threading.RLock()  # writes of one session take turns where they need another setting
+
+
 @contextmanager
 def _conf(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+    with _CONF_LOCK:
+        before = spark.conf.get(key, None)
+        spark.conf.set(key, value)
+        try:
+            yield
+        finally:
+            if before is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, before)

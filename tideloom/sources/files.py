@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from ..operators.transform import CORRUPT_COLUMN
 # Readable formats and the batch size of a poll.
 FORMATS = ("json", "parquet")
 BATCH_CAP = 10
+# What a micro-batch reads unless a number of files is given.
+BATCH_BYTES = 1 << 30
 
 
 def _checked(fmt: str) -> str:
@@ -51,14 +54,15 @@ def read_batch(
 
 
 def read_stream(
-    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", max_files: int = BATCH_CAP
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", max_files: int | None = None, max_bytes: int = BATCH_BYTES
 ) -> DataFrame:
-    """The files below a path as a stream of micro-batches of at most ``max_files`` files."""
+    """The files below a path as a stream of micro-batches of about ``max_bytes``, or of at most ``max_files`` files."""
+    cap = ("maxFilesPerTrigger", str(max_files)) if max_files else ("maxBytesPerTrigger", str(max_bytes))
     return (
         spark.readStream.format(_checked(fmt))
         .schema(_with_corrupt(schema, fmt))
         .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", str(max_files))
+        .option(*cap)
         .option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
         .load(path)
     )
@@ -78,9 +82,12 @@ def list_objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     from ..sinks.storage import Storage
 
     columns = ("path", "key", "length", "modificationTime")
-    if not Storage(spark).exists(root):
+    # Only what begins with the prefix is listed; characters that a pattern would read otherwise are escaped.
+    where = f"{root.rstrip('/')}/{re.sub(r'([][*?{}^,])', lambda m: chr(92) + m[0], prefix)}*" if prefix else root
+    storage = Storage(spark)
+    if not (storage.matches(where) if prefix else storage.exists(root)):
         return spark.createDataFrame([], "path string, key string, length long, modificationTime timestamp")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(where)
     # Paths come back with the scheme of their file system in front.
     below = F.element_at(F.split(F.col("path"), F.concat(F.lit("\\Q"), F.lit(_bare(root) + "/"), F.lit("\\E"))), -1)
     listed = found.select("path", below.alias("key"), "length", "modificationTime").select(*columns)

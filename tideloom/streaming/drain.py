@@ -12,12 +12,18 @@ from pyspark.sql import types as T
 
 from ..plans.config import IngestConfig
 from ..plans.pipeline import IngestResult, ingest_frame, ingest_messages
-from ..sources.files import BATCH_CAP, read_stream
+from ..sources.files import read_stream
 
 
 def _drain(stream: DataFrame, checkpoint: str, handle, every: str | None) -> list[IngestResult]:
     done: list[IngestResult] = []
-    writer = stream.writeStream.foreachBatch(lambda batch, number: done.append(handle(batch, number)))
+
+    def step(batch: DataFrame, number: int) -> None:
+        # The query's id is kept in the checkpoint: a checkpoint that is begun anew is another stream.
+        stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        done.append(handle(batch, stream_id or checkpoint, number))
+
+    writer = stream.writeStream.foreachBatch(step)
     writer = writer.option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     writer.start().awaitTermination()
@@ -31,7 +37,7 @@ def drain_files(
     schema: T.StructType,
     checkpoint: str,
     fmt: str = "json",
-    max_files: int = BATCH_CAP,
+    max_files: int | None = None,
     every: str | None = None,
 ) -> list[IngestResult]:
     """Ingest all files below a path that this checkpoint has not seen.
@@ -43,7 +49,7 @@ def drain_files(
     return _drain(
         stream,
         checkpoint,
-        lambda batch, number: ingest_frame(batch, config, stream_id=checkpoint, batch_id=number),
+        lambda batch, stream_id, number: ingest_frame(batch, config, stream_id=stream_id, batch_id=number),
         every,
     )
 
@@ -59,6 +65,6 @@ def drain_messages(
     return _drain(
         messages,
         checkpoint,
-        lambda batch, number: ingest_messages(batch, config, stream_id=checkpoint, batch_id=number, **options),
+        lambda batch, stream_id, number: ingest_messages(batch, config, stream_id=stream_id, batch_id=number, **options),
         every,
     )
