@@ -31,6 +31,7 @@ from dataclasses import dataclass, field
 from urllib.parse import unquote
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -612,8 +613,8 @@ class VersionedTable:
         scan = self._scan(version, _singly(files))
         if isinstance(version.schema[lead].dataType, PRUNABLE) and batch.low is not None:
             if batch.rows <= LISTED_KEYS:
-                listed = [row[0] for row in batch.data.select(lead).distinct().limit(LISTED_KEYS).collect()]
-                scan = scan.where(F.col(lead).isin(listed))
+                listed = {row[0] for row in batch.data.select(lead).collect()}
+                scan = scan.where(F.col(lead).isin(list(listed)))
             else:
                 scan = scan.where(F.col(lead).between(F.lit(batch.low), F.lit(batch.high)))
         narrow = dict.fromkeys((*self.key.scope, *self.key.ordering))
@@ -641,9 +642,9 @@ class VersionedTable:
         """The candidates among the files with these numbers."""
         if not hit:
             return []
-        paths = self._scan(version, _singly(candidates)).inputFiles()
-        named = self.spark.createDataFrame([(p,) for p in paths], "path string").where(_file_number(F.col("path")).isin(list(hit)))
-        found = {unquote(r.path).rsplit(_MARKER, 1)[1] for r in named.collect()}
+        below = [p.rsplit(_MARKER, 1)[1] for p in self._scan(version, _singly(candidates)).inputFiles()]
+        number = lambda path: int.from_bytes(xxhash.xxh64_digest(path.encode(), 42), "big", signed=True)  # noqa: E731  as Spark's
+        found = {unquote(path) for path in below if number(path) in hit}
         files = [f for f in candidates if f.path[len(COMMIT_COLUMN) + 1 :] in found]
         if len(files) != len(hit):
             raise RuntimeError(f"{self.root}: {len(hit)} files were hit, {len(files)} of them are known")
