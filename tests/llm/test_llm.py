@@ -65,6 +65,13 @@ def test_component_roots(spark):
     assert component_roots(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql])
+def test_query_against_sql(spark, name):
+    from comparing import connect, differences
+
+    assert differences(QUERIES[name].run(spark, SF_DIR), connect(SF_DIR), QUERIES[name].sql) is None
+
+
 # 1: mixing
 
 

@@ -33,7 +33,18 @@ def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@register(QUERIES)
+@register(
+    QUERIES,
+    """WITH v AS (
+        SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.e, x.e) AS BIGINT) AS score
+        FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0
+    )
+    SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored) WHERE n <= 20""",
+)
 def op4_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.search(table(spark, sf_dir, "embeddings"))
 
@@ -45,7 +56,33 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.drop("lang"), learned).drop("text")
 
 
-@register(QUERIES)
+@register(
+    QUERIES,
+    r"""WITH RECURSIVE m AS (
+        SELECT conv_id * 1048576 + turn AS id, conv_id, turn, coalesce(text, '') AS text FROM conversations
+    ), texts AS (
+        SELECT id, conv_id, turn, replace(text, chr(10), ' ') AS t, 1 AS least FROM m
+        UNION ALL SELECT id, conv_id, turn, unnest(string_split(text, chr(10))), 12 FROM m
+    ), passages AS (
+        SELECT DISTINCT id, conv_id, turn, p
+        FROM (SELECT *, trim(regexp_replace(lower(t), '\s+', ' ', 'g')) AS p FROM texts) WHERE length(p) >= least
+    ), firsts AS (
+        SELECT p, min(id) AS parent FROM passages GROUP BY p
+    ), quoted AS (
+        SELECT m.id, v.level, q.p FROM m CROSS JOIN (VALUES (1), (2)) v(level)
+        JOIN passages q ON q.conv_id = m.conv_id AND q.turn = m.turn - v.level
+    ), best AS (
+        SELECT id, level, parent FROM (
+            SELECT q.id, q.level, f.parent, row_number() OVER (PARTITION BY q.id ORDER BY q.level, length(q.p) DESC, f.parent) AS n
+            FROM quoted q JOIN firsts f USING (p) WHERE f.parent < q.id) WHERE n = 1
+    ), chain AS (
+        SELECT id, id AS root, 0 AS depth FROM m WHERE id NOT IN (SELECT id FROM best)
+        UNION ALL SELECT b.id, c.root, c.depth + 1 FROM best b JOIN chain c ON b.parent = c.id
+    )
+    SELECT m.id AS message_id, c.root AS conversation_id, CAST(c.depth AS INTEGER) AS depth, b.parent AS parent_id,
+           CAST(b.level AS INTEGER) AS quote_level, trim(m.text) AS own_text
+    FROM m JOIN chain c ON c.id = m.id LEFT JOIN best b ON b.id = m.id""",
+)
 def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.conversations(quotations.as_quoting_mail(table(spark, sf_dir, "conversations")))
 
