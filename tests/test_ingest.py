@@ -250,3 +250,36 @@ def test_registering_and_resolving(spark):
     settings = effective_config(resolve_runs(requests, registry)).first()
     assert settings.hudi_method == "insert"
     assert settings.index_type == DEFAULTS["INDEX_TYPE"] and settings.job_name is None
+
+
+def test_a_checkpoint_begun_anew_is_another_stream(spark, path):
+    put(path, "raw/a.json", [{"customer_id": "1", "name": "x", "ts": "2024-01-05T00:00:00"}, {"name": "no key", "ts": "2024-01-05T00:00:00"}])
+    c = config(path, operation="insert")
+    for progress in ("first", "second"):
+        drain_files(spark, c, path + "/raw", SCHEMA, f"{path}/{progress}")
+    assert spark.read.json(c.target_path + "/_quarantine/rows").count() == 2
+    assert target(spark, c).snapshot().count() == 2
+
+
+def test_gone_objects_of_a_batch_are_set_aside(spark, path):
+    name = put(path, "raw/a.json", [{"customer_id": "1", "name": "x", "ts": "2024-01-05T00:00:00"}])
+    c = config(path)
+    ingest_batch(spark, c, [name, f"{path}/raw/gone.json"], schema=SCHEMA)
+    gone = spark.read.json(c.target_path + "/_quarantine/objects").collect()
+    assert [(r.path, r._reason) for r in gone] == [(f"{path}/raw/gone.json", "object not found")]
+
+
+def test_a_run_folds_the_change_log(spark, path):
+    c = config(path, table_type="MERGE_ON_READ", log_commits=2)
+    for i in range(4):
+        ingest_frame(spark.createDataFrame([("1", str(i), f"2024-01-0{i + 1}T00:00:00")], SCHEMA), c)
+    held = target(spark, c)
+    assert len(held.version().of("log")) == 1 and [r.name for r in held.snapshot().collect()] == ["3"]
+    assert [r.name for r in held.read_optimized().collect()] == ["2"]
+
+
+def test_listing_takes_prefixes_literally(spark, path):
+    for name in ("a[1]/x.json", "a1/x.json", "b/y.json"):
+        put(path, f"raw/{name}", [{"customer_id": "1"}])
+    assert [r.key for r in list_objects(spark, path + "/raw", "a[").collect()] == ["a[1]/x.json"]
+    assert list_objects(spark, path + "/raw", "zzz").count() == 0
