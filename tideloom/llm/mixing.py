@@ -24,7 +24,7 @@ BLOCK_WORDS = 64
 SEED = 7
 #: A mix names its sources; as many rows at most reach the driver and the executors, more are refused.
 MAX_SOURCES = 1_000_000
-_BUCKET_ROWS = 16384
+_BUCKET_ROWS = 4096
 _SLOTS = 65536
 _GOLDEN = np.uint64(11400714819323198485)  # 2**64 / phi
 
