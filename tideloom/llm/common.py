@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +34,14 @@ def _ship(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``mapInArrow`` whose workers, which serve many tasks, give back the memory of each."""
+
+    def freeing(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
     _ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(freeing, schema)
 
 
 def map_groups(df: DataFrame, keys: Sequence[str], function: Callable, schema: str) -> DataFrame:
