@@ -108,6 +108,14 @@ def test_mix_stretches_cover_what_is_taken(docs):
         assert r.words <= mixing.BLOCK_WORDS and r.n == 1
 
 
+@pytest.mark.parametrize("last", ["z", None])
+def test_mix_with_a_last_source_without_words(spark, last):
+    rows = [(i, "w " * 1000, "abc"[min(i // 10, 2)]) for i in range(60)] + [(60, "", last), (61, None, last)]
+    found = mixing.words_taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sum(r.taken for r in found) == pytest.approx(60_000, abs=1)
+    assert [sum(r.taken for r in found if r.doc_id in part) for part in (range(10), range(10, 20), range(20, 60))] == [10_000, 20_000, 30_000]
+
+
 def test_mix_odd(odd, empty):
     rows = mixing.words_taken(odd).collect()
     assert len(rows) == odd.count() and {r.doc_id: r["size"] for r in rows}[5] == 60_001

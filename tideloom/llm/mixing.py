@@ -65,15 +65,17 @@ def schedule(spark, quotas: Sequence[float], block: int = BLOCK_WORDS) -> DataFr
     A quarter more slots are drawn than the quotas need, and those beyond a source's quota
     are left out, so that small sources too come to theirs.
     """
-    cumulative = np.cumsum(np.array(quotas, float))
-    total = float(cumulative[-1]) if len(cumulative) else 0.0
-    needed = int(-(-total // block))
-    edges = (cumulative[:-1] / total * 2.0**64).astype(np.uint64) if total else np.empty(0, np.uint64)
+    words = np.array([round(q) for q in quotas], np.int64)
+    numbers = np.flatnonzero(words > 0).astype(np.int32)  # a source without words has no interval
+    total = int(words.sum())
+    needed = -(-total // block)
+    # Whole numbers: a quotient of floats may round up to 1, which is beyond the last point.
+    edges = np.array([(int(c) << 64) // total for c in np.cumsum(words[numbers])[:-1]], np.uint64)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots = batch.column(0).to_numpy()
-            source = np.searchsorted(edges, slots.astype(np.uint64) * _GOLDEN, "right").astype(np.int32)
+            source = numbers[np.searchsorted(edges, slots.astype(np.uint64) * _GOLDEN, "right")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(source), pa.array(slots // _SLOTS)], ["slot", "source_no", "part"])
 
     slots = map_batches(spark.range(needed + needed // 4 + 256 if total else 0), draw, "slot long, source_no int, part long")
