@@ -116,6 +116,23 @@ def test_mix_with_a_last_source_without_words(spark, last):
     assert [sum(r.taken for r in found if r.doc_id in part) for part in (range(10), range(10, 20), range(20, 60))] == [10_000, 20_000, 30_000]
 
 
+def test_first_hit_by_brute_force():
+    points = [t * int(mixing._GOLDEN) % (1 << 64) for t in range(6000)]
+    for start, low, width in [(0, 0, 1 << 54), (7, 1 << 63, 1 << 53), (500, (1 << 64) - (1 << 54), (1 << 54) - 1), (999, 12345 << 40, 1 << 55), (3, 5 << 60, 1 << 62)]:
+        assert mixing.first_hit(start, low, low + width) == next(t for t in range(start, 6000) if low <= points[t] <= low + width)
+
+
+def test_mix_takes_the_quota_of_every_small_source(spark):
+    rows = [(i, "w " * 20, f"s{i:03}") for i in range(300)] + [(300 + i, "w " * 1000, "xyz"[i % 3]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in mixing.words_taken(frame, weights=(1.0,)).collect()}
+    taken = [found[i].taken - round(found[i].target) for i in range(300)]
+    assert taken == [0] * 300 and sum(r.taken for r in found.values()) == pytest.approx(66_000, abs=301)
+    assert {r.doc_id for r in mixing.mixed(frame, weights=(1.0,)).select("doc_id").collect()} >= set(range(300))
+    slots = [r.slot for r in mixing.schedule(spark, [20] * 300 + [20_000] * 3).collect()]
+    assert len(slots) == len(set(slots))
+
+
 def test_mix_odd(odd, empty):
     rows = mixing.words_taken(odd).collect()
     assert len(rows) == odd.count() and {r.doc_id: r["size"] for r in rows}[5] == 60_001

@@ -59,11 +59,40 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, repeats
     return [(r.source, s, t) for r, s, t in zip(rows, sizes, share, strict=True)]
 
 
+def first_hit(start: int, low: int, high: int) -> int:
+    """The first slot from ``start`` on whose golden-ratio point is in ``low`` to ``high`` (of 2**64, end inclusive)."""
+    whole = 1 << 64
+    at = start * int(_GOLDEN) % whole
+    if low <= at <= high:
+        return start
+
+    def least(step: int, size: int, low: int, high: int) -> int:
+        """The least x for which x * step modulo size is in the range, by Euclid's descent."""
+        if low == 0:
+            return 0
+        if 2 * step > size:
+            return least(size - step, size, size - high, size - low)
+        x = -(-low // step)
+        if x * step <= high:
+            return x
+        return -(-(low + size * least(-size % step, step, low % step, high % step)) // step)
+
+    # The range, seen from the start's own point, does not hold 0, so that it does not wrap around.
+    return start + least(int(_GOLDEN), whole, (low - at) % whole, (high - at) % whole)
+
+
+def _named(batches: Iterator[pa.RecordBatch], numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers[batch.column(0).to_numpy()])], ["id", "source_no"])
+
+
 def schedule(spark, quotas: Sequence[float], block: int = BLOCK_WORDS) -> DataFrame:
     """``slot, source_no, rank``: the golden-ratio schedule for sources of these word quotas.
 
     A quarter more slots are drawn than the quotas need, and those beyond a source's quota
-    are left out, so that small sources too come to theirs.
+    are left out. A small source may have none or too few among them: its missing blocks
+    take the next slots whose points are in its interval, however far they are, so that
+    every source comes to its quota.
     """
     words = np.array([round(q) for q in quotas], np.int64)
     numbers = np.flatnonzero(words > 0).astype(np.int32)  # a source without words has no interval
@@ -78,8 +107,27 @@ def schedule(spark, quotas: Sequence[float], block: int = BLOCK_WORDS) -> DataFr
             source = numbers[np.searchsorted(edges, slots.astype(np.uint64) * _GOLDEN, "right")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(source), pa.array(slots // _SLOTS)], ["slot", "source_no", "part"])
 
-    slots = map_batches(spark.range(needed + needed // 4 + 256 if total else 0), draw, "slot long, source_no int, part long")
-    return running_start(staged(slots, "slots"), ["source_no"], "part", [F.col("slot")], F.lit(1), "rank").drop("part")
+    blocks = -(-words[numbers] // block)
+    drawn = needed + needed // 4 + 256 if total else 0
+
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int, int]] = []
+            for i, had in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low = int(edges[i - 1]) if i else 0
+                high = (int(edges[i]) if i < len(edges) else 1 << 64) - 1
+                slot = drawn - 1
+                for rank in range(had, int(blocks[i])):
+                    slot = first_hit(slot + 1, low, high)
+                    found.append((slot, int(numbers[i]), rank))
+            columns = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["slot", "source_no", "rank"])
+
+    slots = staged(map_batches(spark.range(drawn), draw, "slot long, source_no int, part long"), "slots")
+    ranked = running_start(slots, ["source_no"], "part", [F.col("slot")], F.lit(1), "rank").select("slot", "source_no", F.col("rank").cast("long").alias("rank"))
+    own = map_batches(spark.range(len(numbers)), lambda batches: _named(batches, numbers), "id long, source_no int")
+    had = own.join(slots.groupBy("source_no").agg(F.count("*").alias("had")), "source_no", "left").select("id", F.coalesce("had", F.lit(0)).alias("had"))
+    return ranked.unionByName(map_batches(had, further, "slot long, source_no int, rank long"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = MAX_REPEATS, block: int = BLOCK_WORDS, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> tuple[DataFrame, DataFrame]:
