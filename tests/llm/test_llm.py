@@ -389,6 +389,30 @@ def test_quotations_odd(spark, empty):
     assert quotations.conversations(spark.createDataFrame([], "message_id long, text string")).count() == 0
 
 
+def quoting(own: str, *quoted: str) -> str:
+    return "\n".join([own, *(f"{'>' * (i + 1)} {q}" for i, q in enumerate(quoted))])
+
+
+def test_quotations_of_texts_that_many_wrote(spark):
+    rows, parents = [], {}
+    for c in range(40):
+        # Ids by turn: the latest writer of an equal text is in another conversation, only the levels beyond tell.
+        turns = [f"Question number {c} of this week", "Thanks", "You are welcome", "Thanks"]
+        rows += [(t * 1000 + c, quoting(*turns[t::-1])) for t in range(4)]
+        parents |= {t * 1000 + c: (t - 1) * 1000 + c if t else None for t in range(4)}
+        # Ids by conversation: all alike, the latest writer is the one answered.
+        turns = ["Hello", "Good morning", "Hello"]
+        rows += [(10_000 + c * 10 + t, quoting(*turns[t::-1])) for t in range(3)]
+        parents |= {10_000 + c * 10 + t: 10_000 + c * 10 + t - 1 if t else None for t in range(3)}
+        # Only a line is quoted, which all wrote.
+        rows += [(20_000 + c, f"Begun for reason {c}"), (21_000 + c, quoting(f"As you like, {c}\nwith kind regards", f"Begun for reason {c}"))]
+        rows += [(22_000 + c, quoting(f"Last {c}", "with kind regards", f"Begun for reason {c}"))]
+        parents |= {20_000 + c: None, 21_000 + c: 20_000 + c, 22_000 + c: 21_000 + c}
+    found = quotations.conversations(spark.createDataFrame(rows, "message_id long, text string")).collect()
+    assert {r.message_id: r.parent_id for r in found} == parents
+    assert len({r.conversation_id for r in found}) == 120
+
+
 # 7: severity
 
 

@@ -1,21 +1,25 @@
 """Quotation linking, by DataFrame functions alone: from quoting messages to conversations without quotes.
 
 Lines are parsed into quote levels. Passages — all lines of one level together, and long
-single lines — are hashed after normalising case and white space, and joined with the first
-message that wrote the same passage as its own text. The passage of the lowest level, then the
-longest, names the message replied to. Only one row for each passage text stands on the
-originals' side of the join, so a passage that many messages wrote or quote makes no pairs.
+single lines — are hashed after normalising case and white space, alone and together with the
+levels below them, and looked up among the own passages of earlier messages with what those
+quote. The passage of the lowest level, then the longest, then the one with most levels alike
+names the message replied to; among messages alike in all of this, it is the latest earlier
+one. That is found by windows over stretches of ids, so that a passage that many messages
+wrote or quote makes no pairs and no large group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 
 #: Single lines shorter than this, normalised, link nothing; whole passages do.
 LINE_CHARS = 12
+#: Stretches of ids that are sorted on their own.
+STRETCHES = 256
 _PREFIX = r"^(?:[ \t]*>)+[ \t]?"
 _ATTRIBUTION = r"^\s*(?:On|Am|Le|El)\s.{1,300}(?:wrote|schrieb|a écrit|escribió)\s*:\s*$"
 
@@ -42,28 +46,63 @@ def _passages(lines: Column, level: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(F.array(whole), F.filter(own, lambda x: F.length(x) >= LINE_CHARS))), lambda x: x != "")
 
 
+def _chain(lines: Column, level: Column) -> Column:
+    """Hashes of the first 0, 1, 2, ... levels quoted beyond ``level``, empty ones left out."""
+    beyond = F.array_sort(F.array_distinct(F.transform(F.filter(lines, lambda x: x["level"] > level), lambda x: x["level"])))
+    text = lambda n: normal(F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == n), lambda x: normal(x["line"])), " "))
+    whole = F.filter(F.transform(beyond, text), lambda x: x != "")
+    return F.aggregate(whole, F.array(F.lit("")), lambda done, x: F.concat(done, F.array(F.md5(F.concat(F.element_at(done, -1), F.md5(x))))))
+
+
+def _mark(chain: str) -> Column:
+    return F.md5(F.concat(F.md5("passage"), F.col(chain)))
+
+
+def _latest_before(asked: DataFrame, wrote: DataFrame) -> DataFrame:
+    """``asked`` with ``parent_id``: the greatest id below its own among the rows of ``wrote`` with its ``mark``, if any.
+
+    Both have ``id``, its ``stretch`` and ``mark``. A mark may be in most rows: only those of
+    one stretch are sorted together, one row for each stretch tells what came before it.
+    """
+    both = asked.withColumn("writer", F.lit(None).cast("long")).unionByName(wrote.withColumn("writer", F.col("id")), allowMissingColumns=True)
+    # Null first: a message stands before itself as a writer, so that it is none of its own.
+    own = Window.partitionBy("mark", "stretch").orderBy("id", F.col("writer").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("near", F.max("writer").over(own)).where("writer IS NULL").drop("writer")
+    earlier = Window.partitionBy("mark").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    far = both.groupBy("mark", "stretch").agg(F.max("writer").alias("last")).withColumn("far", F.max("last").over(earlier)).drop("last").where("far IS NOT NULL")
+    return near.join(far, ["mark", "stretch"], "left").withColumn("parent_id", F.coalesce("near", "far")).drop("near", "far")
+
+
 def link(messages: DataFrame, message_id: str = "message_id", text: str = "text") -> DataFrame:
     """``message_id, parent_id, quote_level, own_text`` for every row.
 
-    ``parent_id`` is the first message (smallest id) that wrote a passage that this one
-    quotes, if its id is smaller than this one's; ``quote_level`` is the level of that quote.
-    A null or empty text has an empty own text and quotes nothing. A null id has no parent and
-    is none. Rows with one id share their quotes and get the same parent. Other columns are
-    not read; an empty table gives an empty result.
+    ``parent_id`` is a message of smaller id that wrote a passage which this one quotes:
+    the one whose own quotes agree with the levels quoted beyond the passage the furthest, and
+    the latest of those; ``quote_level`` is the level of that quote. Agreement is tried for 1, 2,
+    4, ... levels and for all. A null or empty text has an empty own text and quotes nothing. A
+    null id has no parent and is none. Rows with one id share their quotes and get the same
+    parent. Other columns are not read; an empty table gives an empty result.
     """
     source = messages.select(F.col(message_id).cast("long").alias("id"), parsed_lines(F.col(text)).alias("lines"))
     parsed = staged(
         source.withColumn("own_text", F.trim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"))), "messages"
     )
-    known = parsed.where("id IS NOT NULL")
-    wrote = known.select("id", F.explode(_passages(F.col("lines"), F.lit(0))).alias("passage"))
-    firsts = wrote.groupBy(F.md5("passage").alias("mark")).agg(F.min("id").alias("parent_id"))
-    deepest = F.array_max(F.transform("lines", lambda x: x["level"]))
-    levels = known.where(deepest > 0).select("id", "lines", F.explode(F.sequence(F.lit(1), deepest)).alias("level"))
-    quoted = levels.select("id", "level", F.explode(_passages(F.col("lines"), F.col("level"))).alias("passage"))
-    quoted = quoted.select("id", "level", F.length("passage").alias("chars"), F.md5("passage").alias("mark"))
-    found = quoted.join(firsts, "mark").where("parent_id < id")
-    best = found.groupBy("id").agg(F.min(F.struct("level", (-F.col("chars")).alias("longest"), "parent_id")).alias("best"))
+    # STRETCHES - 1 ids at most reach the driver.
+    shares = [i / STRETCHES for i in range(1, STRETCHES)]
+    splits = sorted(set(parsed.agg(F.percentile_approx("id", shares).alias("ids")).first().ids or []))
+    stretch = F.expr(f"size(filter(array({', '.join(f'{x}L' for x in splits)}), x -> x <= id))") if splits else F.lit(0)
+    known = parsed.where("id IS NOT NULL").select("id", stretch.alias("stretch"), "lines")
+    wrote = known.select("id", "stretch", _chain(F.col("lines"), F.lit(0)).alias("chain"), F.explode(_passages(F.col("lines"), F.lit(0))).alias("passage"))
+    wrote = wrote.select("id", "stretch", "passage", F.explode("chain").alias("beyond")).select("id", "stretch", _mark("beyond").alias("mark"))
+    present = F.array_distinct(F.transform(F.filter("lines", lambda x: x["level"] > 0), lambda x: x["level"]))
+    levels = known.select("id", "stretch", "lines", F.explode(present).alias("level"))
+    quoted = levels.select("id", "stretch", "level", _chain(F.col("lines"), F.col("level")).alias("chain"), F.explode(_passages(F.col("lines"), F.col("level"))).alias("passage"))
+    quoted = quoted.select("id", "stretch", "level", "passage", F.size("chain").alias("ends"), F.posexplode("chain").alias("depth", "beyond"))
+    quoted = quoted.where("depth & (depth - 1) = 0 OR depth = ends - 1")
+    asked = quoted.select("id", "stretch", "level", F.length("passage").alias("chars"), "depth", _mark("beyond").alias("mark"))
+    found = _latest_before(asked, wrote).where("parent_id IS NOT NULL")
+    choice = F.struct("level", (-F.col("chars")).alias("longest"), (-F.col("depth")).alias("deepest"), (-F.col("parent_id")).alias("latest"), "parent_id")
+    best = found.groupBy("id").agg(F.min(choice).alias("best"))
     chosen = best.select("id", F.col("best.parent_id").alias("parent_id"), F.col("best.level").alias("quote_level"))
     return parsed.join(chosen, "id", "left").select(F.col("id").alias("message_id"), "parent_id", "quote_level", "own_text")
 
