@@ -178,6 +178,24 @@ def test_battery_finds_random_runs_and_leaves_words(spark):
     assert sum(bool(hit[i]) for i in range(200, 400)) <= 10
 
 
+def test_battery_finds_secrets_beside_names_and_in_paths(spark):
+    drawn = np.random.default_rng(8)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    forms = [("AWS_SECRET_ACCESS_KEY=", "+/", ""), ("AccountKey=", "+/", "=="), ("client_id=", "-_", ""), ("/api/v1/users/", "-_", "/profile"), ("/some/path/of/words/", "", "-end_of/it")]
+    texts = []
+    for head, more, tail in forms:
+        texts += [(head, "".join(drawn.choice([*letters, *more], 40)), tail) for _ in range(60)]
+    rows = secret_scan.scan(spark.createDataFrame([(i, f"a {''.join(t)} b") for i, t in enumerate(texts)], "doc_id int, text string")).collect()
+    right = [0] * len(forms)
+    for r in rows:
+        head, token, tail = texts[r.doc_id]
+        start, end = 2 + len(head), 2 + len(head) + 40 + len(tail) * (tail == "==")
+        # Beside a name the span is exact; in a path it may take in words next to it.
+        exact = head.endswith("=")
+        right[r.doc_id // 60] += any((s.start, s.end) == (start, end) if exact else s.start <= start and s.end >= end for s in r.secrets)
+    assert min(right) >= 45, right
+
+
 def test_secrets_odd(odd, empty):
     rows = secret_scan.scan(odd).collect()
     assert len(rows) == odd.count() and all(r.secrets == [] for r in rows) and secret_scan.scan(empty).count() == 0

@@ -1,7 +1,8 @@
 """Secret scans, by DataFrame functions alone: known forms, and a battery of randomness tests for the rest.
 
-Long runs of key-like characters that are no known form get an encoding from the characters
-they use. Under it, three tests ask whether the symbols could be drawn at random: chi-squared
+Long runs of key-like characters, split at ``=`` inside them, that are no known form get an
+encoding from the characters they use; what is not taken for random as a whole is split at
+``/``, ``-`` and ``_`` and its long parts are judged likewise. Under it, three tests ask whether the symbols could be drawn at random: chi-squared
 for a uniform alphabet, the number of runs above and below the alphabet's middle, and the
 serial correlation of neighbours. The least of their p-values (times three) is a run's p.
 Random runs have p spread evenly, words have p near zero: from the counts of p over the whole
@@ -26,6 +27,12 @@ HEX = r"[0-9a-f]{24,}"
 # Every known form but ``assign`` lies within such a run.
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 
+LEAST_RUN = 20
+# A run without an inner ``=``; the pieces of others, and the parts of pieces, between separators.
+WHOLE = r"^[A-Za-z0-9+/_-]+=*$"
+PIECE = r"[A-Za-z0-9+/_-]{20,}(?:=+$)?|[A-Za-z0-9+/_-]+=+$"
+PARTS = tuple(f"[A-Za-z0-9+{kept}]{{20,}}(?:=+$)?|[A-Za-z0-9+{kept}]+=+$" for kept in ("_-", "/", ""))
+
 ALPHABETS = {
     "hex": ("^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
     "base32": ("^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
@@ -100,23 +107,50 @@ def _judged(run: str) -> str:
     return _let("rn", run, _let("en", kind, f"named_struct('encoding', en, 'band', {band}, 'p', CASE {ps} END)"))
 
 
-def _scanned(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with the base spans and, judged, the runs that no base span touches."""
+def _passing(least: dict[tuple[str, int], float]) -> str:
+    """SQL for whether ``j`` has a p to report."""
+    cases = " ".join(f"WHEN j.how.encoding = '{e}' AND j.how.band = {b} THEN j.how.p >= {p!r}D" for (e, b), p in sorted(least.items()))
+    return f"CASE {cases} ELSE false END" if cases else "false"
+
+
+def _scanned(docs: DataFrame, text: str, least: dict[tuple[str, int], float] | None = None) -> DataFrame:
+    """``docs`` with the base spans and, judged, the pieces of runs that no base span touches.
+
+    Given the thresholds of pieces, with the ``__parts`` too of those pieces that are not reported as a whole.
+    """
     value = f"regexp_extract(x.m, {_text(ASSIGN)}, 2)"
     out = docs.withColumn("__t", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     out = out.withColumn("__assign", F.expr(f"filter({_found('__t', ASSIGN)}, x -> length({value}) >= {ASSIGN_LEAST})"))
     out = out.withColumn("__runs", F.expr(_found("__t", RUN)))
     for name, pattern in (("__access", ACCESS), ("__hex", HEX)):
         out = out.withColumn(name, F.expr(f"flatten(transform(__runs, r -> {_found('r.m', pattern, 'r.start')}))"))
-    base = "concat(__assign, __access, __hex)"
-    free = f"filter(__runs, r -> NOT exists({base}, b -> b.start < r.end AND r.start < b.end))"
-    judged = f"transform({free}, r -> named_struct('start', r.start, 'end', r.end, 'how', {_judged('r.m')}))"
-    return out.withColumn("__judged", F.expr(f"filter({judged}, j -> j.how.encoding IS NOT NULL)"))
+    out = out.withColumn("__base", F.expr("concat(__assign, __access, __hex)"))
+    free = "NOT exists(__base, b -> b.start < r.end AND r.start < b.end)"
+    judged = f"r -> named_struct('start', r.start, 'end', r.end, 'how', {_judged('r.m')})"
+    split = f"filter({_found('r.m', PIECE, 'r.start')}, x -> length(x.m) >= {LEAST_RUN})"
+    out = out.withColumn("__pieces", F.expr(f"flatten(transform(__runs, r -> IF(r.m RLIKE {_text(WHOLE)}, array(r), {split})))"))
+    out = out.withColumn("__judged", F.expr(f"filter(transform(filter(__pieces, r -> {free}), {judged}), j -> j.how.encoding IS NOT NULL)"))
+    if least is None:
+        return out
+    out = out.withColumn("__kept", F.expr(f"filter(__judged, j -> {_passing(least)})"))
+    parts = ", ".join(_found("r.m", pattern, "r.start") for pattern in PARTS)
+    parts = f"filter(concat({parts}), x -> length(x.m) >= {LEAST_RUN} AND x.m <> r.m)"
+    left = "filter(__pieces, r -> NOT exists(__kept, k -> k.start = r.start))"
+    out = out.withColumn("__split", F.expr(f"array_distinct(flatten(transform({left}, r -> {parts})))"))
+    return out.withColumn("__parts", F.expr(f"filter(transform(filter(__split, r -> {free}), {judged}), j -> j.how.encoding IS NOT NULL)"))
 
 
 def thresholds(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[tuple[str, int], float]:
-    """The least p to report for each encoding and band of lengths, from the p of all runs of the corpus."""
-    runs = _scanned(docs.select(F.col(f"`{text}`").alias("text")), "text").select(F.explode("__judged").alias("j"))
+    """The least p to report for each encoding and band of lengths, from the p of all pieces of the corpus."""
+    return _least(_scanned(docs.select(F.col(f"`{text}`").alias("text")), "text").select(F.explode("__judged").alias("j")), rate)
+
+
+def part_thresholds(docs: DataFrame, whole: dict[tuple[str, int], float], text: str = "text", rate: float = RATE) -> dict[tuple[str, int], float]:
+    """The same for the parts of the pieces that are not reported by the thresholds ``whole``."""
+    return _least(_scanned(docs.select(F.col(f"`{text}`").alias("text")), "text", whole).select(F.explode("__parts").alias("j")), rate)
+
+
+def _least(runs: DataFrame, rate: float) -> dict[tuple[str, int], float]:
     counts = runs.groupBy(
         F.col("j.how.encoding").alias("encoding"), F.col("j.how.band").alias("band"), F.least(F.floor(F.col("j.how.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
     ).count()
@@ -146,15 +180,17 @@ def scan(docs: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
     results; a column already named ``secrets`` is replaced.
     """
     least = thresholds(docs, text, rate)
-    cases = " ".join(f"WHEN j.how.encoding = '{e}' AND j.how.band = {b} THEN j.how.p >= {p!r}D" for (e, b), p in sorted(least.items()))
-    kept = f"filter(__judged, j -> CASE {cases} ELSE false END)" if cases else "filter(__judged, j -> false)"
+    among = f"filter(__parts, j -> {_passing(part_thresholds(docs, least, text, rate))})"
+    # Of parts within one another, the longest; of others that overlap, the first.
+    better = "o.start < j.end AND j.start < o.end AND (o.end - o.start > j.end - j.start OR (o.end - o.start = j.end - j.start AND o.start < j.start))"
+    kept = f"concat(__kept, {_let('ps', among, f'filter(ps, j -> NOT exists(ps, o -> {better}))')})"
     named = ", ".join(
         f"transform({array}, x -> named_struct('start', x.start, 'place', {i}, 'kind', '{kind}', 'end', x.end))"
         for i, (kind, array) in enumerate(zip(KINDS, ("__assign", "__access", "__hex", kept), strict=True))
     )
     columns = [c for c in docs.columns if c != "secrets"]
     spans = f"transform(array_sort(concat({named})), x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end))"
-    return _scanned(docs.select(*[f"`{c}`" for c in columns]), text).select(*[F.col(f"`{c}`") for c in columns], F.expr(spans).alias("secrets"))
+    return _scanned(docs.select(*[f"`{c}`" for c in columns]), text, least).select(*[F.col(f"`{c}`") for c in columns], F.expr(spans).alias("secrets"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
