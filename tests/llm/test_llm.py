@@ -196,6 +196,18 @@ def test_battery_finds_secrets_beside_names_and_in_paths(spark):
     assert min(right) >= 45, right
 
 
+def test_a_lone_secret_is_found_beside_many_words(spark):
+    drawn = np.random.default_rng(11)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    keys = spark.createDataFrame([("".join(drawn.choice(letters, 40)),) for _ in range(40)], "text string")
+    judged = secret_scan._scanned(keys, "text").select("text", F.expr("__judged[0].how.p").alias("p"))
+    key = judged.where("p BETWEEN 0.15 AND 0.45").orderBy("text").first().text
+    words = ["".join(drawn.choice(["ing", "the", "tion", "er", "ound", "Re", "al"], 12)) + "Re" for _ in range(40)]
+    for beside in ([], words):
+        rows = secret_scan.scan(spark.createDataFrame([(i, t) for i, t in enumerate([key, *beside])], "doc_id int, text string")).collect()
+        assert [(s.kind, s.start, s.end) for r in rows for s in r.secrets if r.doc_id == 0] == [("random", 0, 40)]
+
+
 def test_secrets_odd(odd, empty):
     rows = secret_scan.scan(odd).collect()
     assert len(rows) == odd.count() and all(r.secrets == [] for r in rows) and secret_scan.scan(empty).count() == 0

@@ -41,8 +41,8 @@ ALPHABETS = {
 }
 BANDS = (20, 28, 40, 64, 128)
 BINS = 40
-#: Share of words admitted among reported runs; the p asked of a run where its band has too few runs to estimate.
-RATE, LONE_P, FEW = 0.05, 0.05, 20
+#: Share of words admitted among reported runs.
+RATE = 0.05
 
 
 def _text(value: str) -> str:
@@ -159,10 +159,8 @@ def _least(runs: DataFrame, rate: float) -> dict[tuple[str, int], float]:
         bins.setdefault((row.encoding, row.band), [0] * BINS)[row.bin] = row["count"]
     found = {}
     for cell, seen in bins.items():
-        if sum(seen) < FEW:
-            found[cell] = LONE_P
-            continue
-        per_bin = sum(seen[BINS // 2 :]) / (BINS - BINS // 2)  # random runs expected in each bin
+        # Random runs expected in each bin; one more than seen, so that no cell is closed to a random run.
+        per_bin = (sum(seen[BINS // 2 :]) + 1) / (BINS - BINS // 2)
         found[cell] = 2.0
         for first in range(BINS):
             above = sum(seen[first:])
