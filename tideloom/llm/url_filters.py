@@ -27,7 +27,7 @@ from .common import staged
 MOST_BYTES = 16 << 20
 #: Bits that ``bitmap_construct_agg`` gathers in one row.
 BUCKET_BITS = 32768
-LEAST_BITS = 1024
+LEAST_BITS = 64
 BLOCK, ALLOW = "block", "allow"
 
 
