@@ -1,3 +1,4 @@
+from .clustering import z_order
 from .keyspec import KeySpec
 from .merge import (
     bulk_insert,
@@ -36,4 +37,5 @@ __all__ = [
     "sql_transform",
     "surviving",
     "winners",
+    "z_order",
 ]

@@ -11,15 +11,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import conform_to, content_order, merged_schema
 from ..functions.ordering import is_later
+from .clustering import z_order
 from .keyspec import KeySpec
 from .precombine import precombine
 
 _IN = "__in_"
+_PLACE = "__place"
 _ARRIVED = "__arrived"
 
 
@@ -111,17 +113,22 @@ def insert(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return current.unionByName(incoming)
 
 
-def bulk_insert(incoming: DataFrame, spec: KeySpec, partitions: int | None = None) -> DataFrame:
-    """Lay a batch out by partition and key for an append.
+def bulk_insert(incoming: DataFrame, spec: KeySpec, partitions: int | None = None, cluster_by: Sequence[str] = ()) -> DataFrame:
+    """Lay a batch out by partition and key for an append; given ``cluster_by``, along a curve through those columns instead of by key.
 
     The row hash closes the range key, so that the rows of one frequent key or
     partition spread over several ranges.
     """
+    if cluster_by:
+        placed = z_order(incoming, cluster_by, _PLACE)
+        return _dealt(placed, [F.col(name) for name in (*spec.parts, _PLACE)], partitions).drop(_PLACE)
     sort_by = [F.col(name) for name in (*spec.parts, *(k for k in spec.keys if k not in spec.parts))]
-    if not sort_by:
-        return incoming
+    return _dealt(incoming, sort_by, partitions) if sort_by else incoming
+
+
+def _dealt(incoming: DataFrame, sort_by: Sequence[Column], partitions: int | None) -> DataFrame:
     hashable = [
-        F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f.name)
+        F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
         for f in incoming.schema.fields
         if "variant" not in f.dataType.simpleString()
     ]

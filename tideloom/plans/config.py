@@ -92,6 +92,8 @@ class IngestConfig:
     small_file_bytes: int = SMALL_FILE_BYTES
     # Change-log commits of a merge-on-read table after which a run folds them into the base files.
     log_commits: int = LOG_COMMITS
+    # Columns along whose curve a bulk insert lays out its rows.
+    cluster_by: tuple[str, ...] = ()
     quarantine_path: str | None = None
     timestamps: tuple[str, ...] = ()
     # A format of an installed connector to append to, instead of the versioned table.
@@ -169,6 +171,7 @@ class IngestConfig:
             codec=self.codec,
             max_file_bytes=self.max_file_bytes,
             small_file_bytes=self.small_file_bytes,
+            cluster_by=self.cluster_by,
         )
 
     @property

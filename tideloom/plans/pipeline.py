@@ -73,7 +73,7 @@ def ingest_frame(
             rejected = seen["corrupt"]
             if rejected:
                 lines = clean.where(F.col(CORRUPT_COLUMN).isNotNull())
-                _set_aside(lines.withColumn(REASON_COLUMN, F.lit("corrupt record")), config, (stream_id, batch_id), "lines")
+                set_aside(lines.withColumn(REASON_COLUMN, F.lit("corrupt record")), config, (stream_id, batch_id), "lines")
             clean = clean.where(F.col(CORRUPT_COLUMN).isNull()).drop(CORRUPT_COLUMN)
         shaped = sql_transform(clean, config.sql_query, function, required)
         marked = mark_invalid(shaped, config.record_key, config.partitions, config.timestamps)
@@ -81,7 +81,7 @@ def ingest_frame(
         ready, seen = staged(marked, F.count(F.lit(1)).alias("rows"), F.count(REASON_COLUMN).alias("bad"))
         if seen["bad"]:
             rejected += seen["bad"]
-            _set_aside(ready.where(F.col(REASON_COLUMN).isNotNull()), config, (stream_id, batch_id), "rows")
+            set_aside(ready.where(F.col(REASON_COLUMN).isNotNull()), config, (stream_id, batch_id), "rows")
         rows = seen["rows"] - seen["bad"]
         seq = None
         if rows and config.sink:
@@ -104,7 +104,7 @@ def ingest_frame(
     return IngestResult(seq, rows, rejected)
 
 
-def _set_aside(bad: DataFrame, config: IngestConfig, batch: tuple[str | None, int | None], label: str) -> None:
+def set_aside(bad: DataFrame, config: IngestConfig, batch: tuple[str | None, int | None], label: str) -> None:
     """Write rejected rows as JSON; a replayed micro-batch replaces its own earlier output and no other.
 
     The folder is named by the stream and its batch, or by the run outside of streams. The
@@ -131,7 +131,7 @@ def ingest_batch(
     there = [path for path in dict.fromkeys(paths) if path not in gone]
     if gone:
         rows = spark.createDataFrame([(path, GONE) for path in sorted(gone)], f"path string, {REASON_COLUMN} string")
-        _set_aside(rows, config, (options.get("stream_id"), options.get("batch_id")), "objects")
+        set_aside(rows, config, (options.get("stream_id"), options.get("batch_id")), "objects")
     if not there:
         return IngestResult(None, missing_objects=tuple(sorted(gone)))
     done = ingest_frame(read_batch(spark, there, fmt, schema), config, **options)
@@ -162,7 +162,7 @@ def ingest_messages(
         staged = spark.read.schema(messages.schema).parquet(path)
         objects, rejected = expand_messages(staged, body, path_template, decode_keys)
         if not rejected.isEmpty():
-            _set_aside(rejected, config, (options.get("stream_id"), options.get("batch_id")), "messages")
+            set_aside(rejected, config, (options.get("stream_id"), options.get("batch_id")), "messages")
         paths = [r[0] for r in filter_events(objects, prefix).select("path").distinct().collect()]
     finally:
         Storage(spark).remove(path)

@@ -231,14 +231,14 @@ def object_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     QUERIES,
-    """SELECT 'arrival=' || source || '/value=' || doc_id AS folder, source LIKE 'src1%' AS has_prefix, CAST(1 AS BIGINT) AS objects
-    FROM documents WHERE lang = 'es'""",
+    """SELECT DISTINCT 'arrival=' || source || '/value=' || (doc_id % 16) AS folder, source LIKE 'src1%' AS has_prefix, CAST(1 AS BIGINT) AS objects
+    FROM documents""",
 )
 def list_object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key of every object, and of every object below a prefix."""
+    """The key of every object, and of every object below a prefix; sixteen objects a source hold all documents."""
     path = fresh_path(spark, "raw")
-    few = table(spark, sf_dir, "documents").where("lang = 'es'").select("source", "doc_id", F.lit(1).alias("one"))
-    few.select(F.col("source").alias("arrival"), F.col("doc_id").alias("value"), "one").repartition(8, "arrival", "value").write.partitionBy("arrival", "value").json(path)
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("arrival"), (F.col("doc_id") % 16).alias("value"), "doc_id")
+    docs.repartition("arrival", "value").write.partitionBy("arrival", "value").json(path)
     folder = F.regexp_extract("key", "^(.*)/[^/]*[.]json$", 1).alias("folder")
     found = list_objects(spark, path).where(F.col("key").endswith(".json")).groupBy(folder).agg(F.count("*").alias("objects"))
     below = list_objects(spark, path, "arrival=src1").where(F.col("key").endswith(".json")).select(folder.alias("listed")).distinct()

@@ -31,7 +31,6 @@ from dataclasses import dataclass, field
 from urllib.parse import unquote
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,6 +117,8 @@ class TableSpec:
     max_file_bytes: int = MAX_FILE_BYTES
     small_file_bytes: int = SMALL_FILE_BYTES
     key_bloom: bool = True
+    # Columns along whose curve a bulk insert lays out its rows, instead of by key.
+    cluster_by: tuple[str, ...] = ()
 
     def __post_init__(self):
         if self.table_type not in (COPY_ON_WRITE, MERGE_ON_READ):
@@ -373,7 +374,7 @@ class VersionedTable:
             version = self._without_log(version)
             # Finding the ranges reads the rows a second time, so they are staged; that also tells their size.
             staged, _ = work.stage(rows, F.count(F.lit(1)).alias("rows"))
-            rows = bulk_insert(staged, self.key, self._ranges(staged))
+            rows = bulk_insert(staged, self.key, self._ranges(staged), self.spec.cluster_by)
             return self._commit(version, rows, cluster=False, **work.identity("bulk_insert"))
 
         return self._apply(df, plan, batch)
@@ -579,7 +580,7 @@ class VersionedTable:
                 touched = hits.where(~F.col("__beats"))
             else:
                 touched = found.join(self._key_side(batch.data, batch), self.key.same_scope(_IN), "left_semi")
-            files = self._numbered({r[0] for r in touched.select(_FILE).distinct().collect()}, version, candidates)
+            files = self._numbered(touched.select(_FILE).distinct(), version, candidates)
         # One scan of the touched files, past a side that has one row per key.
         kept = None
         if files:
@@ -638,13 +639,12 @@ class VersionedTable:
             return F.lit("{}")
         return F.to_json(F.struct(*[F.col(n).cast("string").alias(n) for n in self.key.parts]), {"ignoreNullFields": "false"})
 
-    def _numbered(self, hit: set[int], version: Version, candidates: Sequence[DataFile]) -> list[DataFile]:
+    def _numbered(self, hits: DataFrame, version: Version, candidates: Sequence[DataFile]) -> list[DataFile]:
         """The candidates among the files with these numbers."""
-        if not hit:
-            return []
         below = [p.rsplit(_MARKER, 1)[1] for p in self._scan(version, _singly(candidates)).inputFiles()]
-        number = lambda path: int.from_bytes(xxhash.xxh64_digest(path.encode(), 42), "big", signed=True)  # noqa: E731  as Spark's
-        found = {unquote(path) for path in below if number(path) in hit}
+        live = self.spark.createDataFrame(pa.table({"below": pa.array(below, pa.string())})).withColumn("__number", F.xxhash64("below"))
+        hit = [r.below for r in hits.join(live, F.col(_FILE) == F.col("__number"), "left").select("below").collect()]
+        found = {unquote(path) for path in hit if path is not None}
         files = [f for f in candidates if f.path[len(COMMIT_COLUMN) + 1 :] in found]
         if len(files) != len(hit):
             raise RuntimeError(f"{self.root}: {len(hit)} files were hit, {len(files)} of them are known")
@@ -755,7 +755,8 @@ class VersionedTable:
             out = out.hint("rebalance", *parts) if parts else out.hint("rebalance")
         # The writer needs its tasks sorted by partition anyway; sorted by key
         # too, a file's row groups cover narrow key ranges that lookups can skip.
-        out = out.sortWithinPartitions(*parts, *(k for k in self.key.keys if k not in parts))
+        if cluster or not self.spec.cluster_by:
+            out = out.sortWithinPartitions(*parts, *(k for k in self.key.keys if k not in parts))
         writer = out.write.option("compression", self.spec.codec)
         held_rows = sum(f.rows for f in version.files)
         held_bytes = sum(f.bytes for f in version.files)

@@ -1,3 +1,4 @@
-from .drain import drain_files, drain_messages
+from .drain import drain_files, drain_messages, drain_receipts
+from .receipts import count_receives, once
 
-__all__ = ["drain_files", "drain_messages"]
+__all__ = ["count_receives", "drain_files", "drain_messages", "drain_receipts", "once"]
