@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from ..workspace import fresh_path
 
 
+_BATCH_SIZE = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 _shipped: set[str] = set()
 
 
@@ -33,14 +36,36 @@ def _ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes, unless the session names a size.
+
+    An executor's tasks and their workers hold several batches each, outside the heap, in
+    buffers that stay once they have grown.
+    """
+    if _BATCH_SIZE not in spark.conf.getAll:
+        spark.conf.set(_BATCH_SIZE, str(BATCH_BYTES))
+
+
+def _give_back() -> None:
+    """Return what a task has freed to the system; the worker lives on and serves other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library keeps its memory
+        pass
+
+
 def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``mapInArrow`` whose workers, which serve many tasks, give back the memory of each."""
+    """``mapInArrow`` over batches of bounded size, whose workers give back the memory of each task."""
 
     def freeing(batches):
-        yield from function(batches)
-        pa.default_memory_pool().release_unused()
+        try:
+            yield from function(batches)
+        finally:
+            _give_back()
 
     _ship(df.sparkSession)
+    _bound_batches(df.sparkSession)
     return df.mapInArrow(freeing, schema)
 
 

@@ -25,6 +25,8 @@ from .common import map_batches, map_groups
 SLOTS = 128
 DIMENSIONS = 2048
 SEED = 20240531
+#: Trigrams whose vectors are in memory at once, and trigrams of texts that are counted at once.
+CHUNK_GRAMS, COUNT_GRAMS = 512, 1_000_000
 UNDETERMINED = "und"
 _GRAMS = SLOTS**3
 _tables: dict[str, np.ndarray] = {}
@@ -85,30 +87,33 @@ def prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang") -> d
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch.column(1).to_pylist()
-            for name in sorted(set(langs)):
-                total = np.zeros(_GRAMS, np.int64)
-                waiting: list[np.ndarray] = []
-                size = 0
-                for row in np.flatnonzero([x == name for x in langs]):
-                    waiting.append(trigrams(batch.column(0)[int(row)].as_py()))
-                    size += len(waiting[-1])
-                    if size > 2_000_000:
-                        total += np.bincount(np.concatenate(waiting), minlength=_GRAMS)
-                        waiting, size = [], 0
-                if waiting:
-                    total += np.bincount(np.concatenate(waiting), minlength=_GRAMS)
+        waiting: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for name in sorted(waiting):
+                total = np.bincount(np.concatenate(waiting[name]), minlength=_GRAMS)
                 seen = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen), pa.array(total[seen])], ["lang", "gram", "n"])
+            waiting.clear()
+
+        for batch in batches:
+            for value, name in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                grams = trigrams(value.as_py())
+                waiting.setdefault(name, []).append(grams)
+                size += len(grams)
+                if size > COUNT_GRAMS:
+                    yield from counted()
+                    size = 0
+        yield from counted()
 
     def bundle(key, rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(DIMENSIONS)
         grams, n = rows["gram"].to_numpy(), rows["n"].to_numpy(float)
         order = np.argsort(grams)
         grams, n = grams[order], n[order]
-        for at in range(0, len(grams), 4096):
-            total += n[at : at + 4096] @ vectors(grams[at : at + 4096])
+        for at in range(0, len(grams), CHUNK_GRAMS):
+            total += n[at : at + CHUNK_GRAMS] @ vectors(grams[at : at + CHUNK_GRAMS])
         length = float(np.linalg.norm(total))
         return pd.DataFrame({"lang": [key[0]], "vector": [(total / length if length else total).tolist()]})
 
@@ -137,7 +142,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text"
         def dots(grams: np.ndarray) -> np.ndarray:
             fresh = np.unique(grams[~known[grams]])
             if len(fresh):
-                made = [vectors(fresh[at : at + 4096]) @ matrix.T for at in range(0, len(fresh), 4096)]
+                made = [vectors(fresh[at : at + CHUNK_GRAMS]) @ matrix.T for at in range(0, len(fresh), CHUNK_GRAMS)]
                 table["row"][fresh] = len(table["dots"]) + np.arange(len(fresh))
                 table["dots"] = np.concatenate([table["dots"], *made])
                 known[fresh] = True

@@ -29,8 +29,8 @@ END_ID = 1
 #: Pieces that are packed together; groups of this size lose a few hundredths of a percent against one group.
 GROUP_ROWS = 16384
 #: Bytes of text that are encoded at once, and cached pieces for each Python worker; neither changes a result.
-SLICE_BYTES = 8_000_000
-CACHE_ENTRIES = 250_000
+SLICE_BYTES = 2_000_000
+CACHE_ENTRIES = 100_000
 
 # Code points of which the tokenizer's classes are settled; texts with others go through its whole chain.
 _PLAIN = [c for c in range(0x250) if c in (9, 10, 13) or (c >= 32 and c not in (0x7F, 0xA0, 0xAD, 0x130) and not 0x80 <= c < 0xA0)]
