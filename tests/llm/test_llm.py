@@ -419,6 +419,15 @@ def test_quotations_odd(spark, empty):
     assert quotations.conversations(spark.createDataFrame([], "message_id long, text string")).count() == 0
 
 
+def test_quotations_of_a_million_marks_and_of_deep_threads(spark):
+    deep = "\n".join(f"{'>' * level} What was said at level {level}" for level in range(300))
+    rows = [(1, "What was said at level 299"), (2, ">" * 1_000_000 + " deep"), (3, "> " * 500_000 + "x\n" + " " * 500_000), (4, deep), (5, "> What was said at level 1\n" + "\n".join(["> line of many"] * 20_000))]
+    by = {r.message_id: r for r in quotations.conversations(spark.createDataFrame(rows, "message_id long, text string")).collect()}
+    assert (by[4].parent_id, by[4].quote_level, by[4].own_text) == (1, 299, "What was said at level 0") and by[2].own_text == "" and by[5].parent_id is None
+    found = spark.createDataFrame([(">" * 100_000 + " a",), ("> > >  b",), (">>c",), (" > d",), ("e > f",)], "t string").select(quotations.parsed_lines(F.col("t"))[0].alias("x")).collect()
+    assert [(r.x.level, r.x.line) for r in found] == [(100_000, "a"), (3, " b"), (2, "c"), (1, "d"), (0, "e > f")]
+
+
 def quoting(own: str, *quoted: str) -> str:
     return "\n".join([own, *(f"{'>' * (i + 1)} {q}" for i, q in enumerate(quoted))])
 

@@ -60,21 +60,24 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     QUERIES,
     r"""WITH RECURSIVE m AS (
         SELECT conv_id * 1048576 + turn AS id, conv_id, turn, coalesce(text, '') AS text FROM conversations
-    ), texts AS (
-        SELECT id, conv_id, turn, replace(text, chr(10), ' ') AS t, 1 AS least FROM m
-        UNION ALL SELECT id, conv_id, turn, unnest(string_split(text, chr(10))), 12 FROM m
+    ), wholes AS (
+        SELECT *, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS whole FROM m
     ), passages AS (
-        SELECT DISTINCT id, conv_id, turn, p
-        FROM (SELECT *, trim(regexp_replace(lower(t), '\s+', ' ', 'g')) AS p FROM texts) WHERE length(p) >= least
-    ), firsts AS (
-        SELECT p, min(id) AS parent FROM passages GROUP BY p
+        SELECT DISTINCT id, conv_id, turn, p FROM (
+            SELECT id, conv_id, turn, whole AS p FROM wholes WHERE whole <> ''
+            UNION ALL SELECT * FROM (SELECT id, conv_id, turn, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '\s+', ' ', 'g')) AS p FROM m) WHERE length(p) >= 12)
+    ), wrote AS (
+        SELECT p.id, p.p, coalesce(nullif(a.whole, ''), nullif(b.whole, '')) AS beyond FROM passages p
+        LEFT JOIN wholes a ON a.conv_id = p.conv_id AND a.turn = p.turn - 1 LEFT JOIN wholes b ON b.conv_id = p.conv_id AND b.turn = p.turn - 2
     ), quoted AS (
-        SELECT m.id, v.level, q.p FROM m CROSS JOIN (VALUES (1), (2)) v(level)
-        JOIN passages q ON q.conv_id = m.conv_id AND q.turn = m.turn - v.level
+        SELECT m.id, v.level, q.p, b.whole AS beyond FROM m CROSS JOIN (VALUES (1), (2)) v(level)
+        JOIN passages q ON q.conv_id = m.conv_id AND q.turn = m.turn - v.level LEFT JOIN wholes b ON v.level = 1 AND b.conv_id = m.conv_id AND b.turn = m.turn - 2
+    ), found AS (
+        SELECT q.id, q.level, q.p, 0 AS agree, max(w.id) AS parent FROM quoted q JOIN wrote w ON w.p = q.p AND w.id < q.id GROUP BY ALL
+        UNION ALL
+        SELECT q.id, q.level, q.p, 1, max(w.id) FROM quoted q JOIN wrote w ON w.p = q.p AND w.beyond = q.beyond AND w.id < q.id WHERE q.beyond <> '' GROUP BY ALL
     ), best AS (
-        SELECT id, level, parent FROM (
-            SELECT q.id, q.level, f.parent, row_number() OVER (PARTITION BY q.id ORDER BY q.level, length(q.p) DESC, f.parent) AS n
-            FROM quoted q JOIN firsts f USING (p) WHERE f.parent < q.id) WHERE n = 1
+        SELECT id, level, parent FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY level, length(p) DESC, agree DESC, parent DESC) AS n FROM found) WHERE n = 1
     ), chain AS (
         SELECT id, id AS root, 0 AS depth FROM m WHERE id NOT IN (SELECT id FROM best)
         UNION ALL SELECT b.id, c.root, c.depth + 1 FROM best b JOIN chain c ON b.parent = c.id
@@ -167,7 +170,8 @@ def op12_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host, _ = url_filters.parts()
     blocklist = pages.select(host.alias("host")).distinct().where(F.col("host").rlike(LISTED_WORDS))
-    return url_filters.judged(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), blocklist)
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS rules(host, path, verdict)")
+    return url_filters.judged(pages, rules, blocklist)
 
 
 # Damage to a row, by a hash of its conversation and turn.

@@ -11,6 +11,8 @@ wrote or quote makes no pairs and no large group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ from .common import staged
 LINE_CHARS = 12
 #: Stretches of ids that are sorted on their own.
 STRETCHES = 256
-_PREFIX = r"^(?:[ \t]*>)+[ \t]?"
+# One run of marks and blanks up to the last mark: a repeated group would recurse once for each mark.
+_PREFIX = r"^[ \t>]*>[ \t]?"
 _ATTRIBUTION = r"^\s*(?:On|Am|Le|El)\s.{1,300}(?:wrote|schrieb|a écrit|escribió)\s*:\s*$"
 
 
@@ -39,19 +42,35 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def _passages(lines: Column, level: Column) -> Column:
-    """Normalised passages of one level: all its lines together, and its long single lines."""
-    own = F.transform(F.filter(lines, lambda x: x["level"] == level), lambda x: normal(x["line"]))
-    whole = normal(F.array_join(own, " "))
-    return F.filter(F.array_distinct(F.concat(F.array(whole), F.filter(own, lambda x: F.length(x) >= LINE_CHARS))), lambda x: x != "")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _levels(lines: Column) -> Column:
+    """``level, whole, passages`` of each level that has lines, in order: one sort, then a slice for each level.
+
+    Passages, all normalised: all lines of the level together, and its long single lines.
+    """
+    sort = F.array_sort(F.transform(lines, lambda x, i: F.struct(x["level"].alias("level"), i.alias("at"), normal(x["line"]).alias("text"))))
+
+    def level(own: Column) -> Column:
+        texts = F.filter(F.transform(own, lambda x: x["text"]), lambda x: x != "")
+        whole = F.array_join(texts, " ")
+        long = F.filter(texts, lambda x: F.length(x) >= LINE_CHARS)
+        return F.struct(own[0]["level"].alias("level"), whole.alias("whole"), F.array_distinct(F.filter(F.concat(F.array(whole), long), lambda x: x != "")).alias("passages"))
+
+    def cut(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["level"] != F.get(s, i - 1)["level"]))
+        return _let(starts, lambda st: F.transform(st, lambda at, k: level(F.slice(s, at + 1, F.coalesce(F.get(st, k + 1), F.size(s)) - at))))
+
+    return F.when(F.size(lines) > 0, _let(sort, cut)).otherwise(F.expr("cast(array() AS array<struct<level:int,whole:string,passages:array<string>>>)"))
 
 
-def _chain(lines: Column, level: Column) -> Column:
-    """Hashes of the first 0, 1, 2, ... levels quoted beyond ``level``, empty ones left out."""
-    beyond = F.array_sort(F.array_distinct(F.transform(F.filter(lines, lambda x: x["level"] > level), lambda x: x["level"])))
-    text = lambda n: normal(F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == n), lambda x: normal(x["line"])), " "))
-    whole = F.filter(F.transform(beyond, text), lambda x: x != "")
-    return F.aggregate(whole, F.array(F.lit("")), lambda done, x: F.concat(done, F.array(F.md5(F.concat(F.element_at(done, -1), F.md5(x))))))
+def _chain(levels: Column, beyond: Column) -> Column:
+    """Hashes of the first 0, 1, 2, ... levels from number ``beyond`` on, empty ones left out."""
+    texts = F.filter(F.transform(F.slice(levels, beyond + 1, F.size(levels)), lambda x: x["whole"]), lambda x: x != "")
+    return F.aggregate(texts, F.array(F.lit("")), lambda done, x: F.concat(done, F.array(F.md5(F.concat(F.element_at(done, -1), F.md5(x))))))
 
 
 def _mark(chain: str) -> Column:
@@ -91,13 +110,12 @@ def link(messages: DataFrame, message_id: str = "message_id", text: str = "text"
     shares = [i / STRETCHES for i in range(1, STRETCHES)]
     splits = sorted(set(parsed.agg(F.percentile_approx("id", shares).alias("ids")).first().ids or []))
     stretch = F.expr(f"size(filter(array({', '.join(f'{x}L' for x in splits)}), x -> x <= id))") if splits else F.lit(0)
-    known = parsed.where("id IS NOT NULL").select("id", stretch.alias("stretch"), "lines")
-    wrote = known.select("id", "stretch", _chain(F.col("lines"), F.lit(0)).alias("chain"), F.explode(_passages(F.col("lines"), F.lit(0))).alias("passage"))
-    wrote = wrote.select("id", "stretch", "passage", F.explode("chain").alias("beyond")).select("id", "stretch", _mark("beyond").alias("mark"))
-    present = F.array_distinct(F.transform(F.filter("lines", lambda x: x["level"] > 0), lambda x: x["level"]))
-    levels = known.select("id", "stretch", "lines", F.explode(present).alias("level"))
-    quoted = levels.select("id", "stretch", "level", _chain(F.col("lines"), F.col("level")).alias("chain"), F.explode(_passages(F.col("lines"), F.col("level"))).alias("passage"))
-    quoted = quoted.select("id", "stretch", "level", "passage", F.size("chain").alias("ends"), F.posexplode("chain").alias("depth", "beyond"))
+    # Parsed once: both sides read the levels.
+    known = staged(parsed.where("id IS NOT NULL").select("id", stretch.alias("stretch"), _levels(F.col("lines")).alias("levels")), "levels")
+    opened = known.select("id", "stretch", "levels", F.posexplode("levels").alias("number", "own"))
+    parts = opened.select("id", "stretch", F.col("own.level").alias("level"), _chain(F.col("levels"), F.col("number") + 1).alias("chain"), F.explode("own.passages").alias("passage"))
+    wrote = parts.where("level = 0").select("id", "stretch", "passage", F.explode("chain").alias("beyond")).select("id", "stretch", _mark("beyond").alias("mark"))
+    quoted = parts.where("level > 0").select("id", "stretch", "level", "passage", F.size("chain").alias("ends"), F.posexplode("chain").alias("depth", "beyond"))
     quoted = quoted.where("depth & (depth - 1) = 0 OR depth = ends - 1")
     asked = quoted.select("id", "stretch", "level", F.length("passage").alias("chars"), "depth", _mark("beyond").alias("mark"))
     found = _latest_before(asked, wrote).where("parent_id IS NOT NULL")
