@@ -78,6 +78,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name like the given one that the table does not have, whatever its case."""
+    held = {c.lower() for c in df.columns}
+    while f"__{name}".lower() in held:
+        name += "_"
+    return f"__{name}"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write to the folder all executors share and read back: later steps need no recomputation if executors are lost."""
     path = fresh_path(df.sparkSession, label)

@@ -1,22 +1,30 @@
 """Secret scans, by DataFrame functions alone: known forms, and a battery of randomness tests for the rest.
 
-Long runs of key-like characters, split at ``=`` inside them, that are no known form get an
-encoding from the characters they use; what is not taken for random as a whole is split at
-``/``, ``-`` and ``_`` and its long parts are judged likewise. Under it, three tests ask whether the symbols could be drawn at random: chi-squared
-for a uniform alphabet, the number of runs above and below the alphabet's middle, and the
-serial correlation of neighbours. The least of their p-values (times three) is a run's p.
-Random runs have p spread evenly, words have p near zero: from the counts of p over the whole
-corpus, for each encoding and band of lengths, follows the share of words among the runs above
-any p, and the least p is taken that holds this share to the rate asked for.
+One scan of the texts finds known forms and long runs of key-like characters; from there on
+every match is a row. Runs, split at ``=`` inside them, that are no known form get an encoding
+from the characters they use; what is not taken for random as a whole is split at ``/``, ``-``
+and ``_`` and its long parts are judged likewise. Under it, three tests ask whether the symbols
+could be drawn at random: chi-squared for a uniform alphabet, the number of runs above and
+below the alphabet's middle, and the serial correlation of neighbours. The least of their
+p-values (times their number) is a run's p. Random runs have p spread evenly, words have p near
+zero: from the counts of p over the whole corpus, for each encoding and band of lengths,
+follows the share of words among the runs above any p, and the least p is taken that holds this
+share to the rate asked for.
+
+Positions come from sums over the matches before, overlaps from the neighbours in order of
+position, so that the work grows with the matches of a text, not with their square.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh_name, staged
+
 KINDS = ("assign", "access", "hex", "random")
 # The known forms.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -53,18 +61,25 @@ def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-_NONE = "cast(array() AS array<struct<start:bigint,end:bigint,m:string>>)"
+def _cut(text: str, pattern: str) -> str:
+    """SQL for the matches of a pattern, each with the length of the gap before it; null if there is none."""
+    found = f"regexp_extract_all({text}, {_text(pattern)}, 0)"
+    gaps = f"transform(split({text}, {_text(pattern)}, -1), g -> length(g))"
+    return f"IF({text} RLIKE {_text(pattern)}, transform(arrays_zip({found}, {gaps}), z -> named_struct('m', z['0'], 'gap', z['1'])), NULL)"
 
 
-def _found(text: str, pattern: str, offset: str = "0L") -> str:
-    """SQL for ``start, end, m`` of the pattern's matches, from the matches and the gaps between them."""
-    step = (
-        "named_struct('at', acc.at + length(gp[n - 1]) + length(fd[n - 1]), 'out', concat(acc.out, array(named_struct("
-        "'start', acc.at + length(gp[n - 1]), 'end', acc.at + length(gp[n - 1]) + length(fd[n - 1]), 'm', fd[n - 1]))))"
-    )
-    walk = f"aggregate(sequence(1, size(fd)), named_struct('at', {offset}, 'out', {_NONE}), (acc, n) -> {step}, acc -> acc.out)"
-    gaps = _let("gp", f"split({text}, {_text(pattern)}, -1)", walk)
-    return _let("fd", f"regexp_extract_all({text}, {_text(pattern)}, 0)", f"IF(size(fd) = 0, {_NONE}, {gaps})")
+def _placed(cut: DataFrame, keys: Sequence[str], matches: str, at: str = "0") -> DataFrame:
+    """A row for each match: ``keys, start, end, m``, from a column of ``_cut`` and where its text begins."""
+    rows = cut.select(*keys, F.expr(f"cast({at} AS long)").alias("__at"), F.posexplode(matches).alias("__k", "__z")).where("__z.m IS NOT NULL")
+    before = Window.partitionBy(*keys).orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("__at") + F.sum(F.length("__z.m") + F.col("__z.gap")).over(before)
+    return rows.select(*keys, end.alias("end"), F.col("__z.m").alias("m")).select(*keys, (F.col("end") - F.length("m")).alias("start"), "end", "m")
+
+
+def _inside(rows: DataFrame, pattern: str) -> DataFrame:
+    """The pattern's matches within each row's ``m``: ``row, of`` (the start of that row), ``start, end, m``."""
+    cut = rows.where(F.expr(f"m RLIKE {_text(pattern)}")).select("row", F.col("start").alias("of"), F.expr(_cut("m", pattern)).alias("__cut"))
+    return _placed(cut, ["row", "of"], "__cut", "of")
 
 
 def _tail(z: str) -> str:
@@ -107,53 +122,85 @@ def _judged(run: str) -> str:
     return _let("rn", run, _let("en", kind, f"named_struct('encoding', en, 'band', {band}, 'p', CASE {ps} END)"))
 
 
-def _passing(least: dict[tuple[str, int], float]) -> str:
-    """SQL for whether ``j`` has a p to report."""
-    cases = " ".join(f"WHEN j.how.encoding = '{e}' AND j.how.band = {b} THEN j.how.p >= {p!r}D" for (e, b), p in sorted(least.items()))
-    return f"CASE {cases} ELSE false END" if cases else "false"
+def _passing(least: dict[tuple[str, int], float]) -> Column:
+    """Whether a judged row has a p to report."""
+    cases = " ".join(f"WHEN encoding = '{e}' AND band = {b} THEN p >= {p!r}D" for (e, b), p in sorted(least.items()))
+    return F.expr(f"CASE {cases} ELSE false END" if cases else "false")
+
 
+def _free(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """``rows`` that touch no row of ``base`` of the same text: the furthest end before them, and the next start."""
+    both = rows.withColumn("__base", F.lit(False)).unionByName(base.select("row", "start", "end").withColumn("__base", F.lit(True)), allowMissingColumns=True)
+    upto = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy("row").orderBy("start").rangeBetween(0, Window.unboundedFollowing)
+    reach, following = F.max(F.when(F.col("__base"), F.col("end"))).over(upto), F.min(F.when(F.col("__base"), F.col("start"))).over(since)
+    seen = both.withColumn("__reach", reach).withColumn("__next", following).where("NOT __base")
+    return seen.where("coalesce(__reach, -1) <= start AND coalesce(__next, end) >= end").drop("__base", "__reach", "__next")
 
-def _scanned(docs: DataFrame, text: str, least: dict[tuple[str, int], float] | None = None) -> DataFrame:
-    """``docs`` with the base spans and, judged, the pieces of runs that no base span touches.
 
-    Given the thresholds of pieces, with the ``__parts`` too of those pieces that are not reported as a whole.
+def _judged_rows(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` with ``encoding, band, p``, staged; those without an encoding have none of the three."""
+    return staged(rows.withColumn("how", F.expr(_judged("m"))).select(*rows.columns, "how.encoding", "how.band", "how.p"), label)
+
+
+def found_in(docs: DataFrame, text: str = "text", row: str = "row") -> tuple[DataFrame, DataFrame]:
+    """The base spans ``row, start, end, kind`` and the pieces ``row, start, end, m`` of runs, all as rows.
+
+    This is the one scan of the texts; texts without a match leave nothing.
     """
-    value = f"regexp_extract(x.m, {_text(ASSIGN)}, 2)"
-    out = docs.withColumn("__t", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    out = out.withColumn("__assign", F.expr(f"filter({_found('__t', ASSIGN)}, x -> length({value}) >= {ASSIGN_LEAST})"))
-    out = out.withColumn("__runs", F.expr(_found("__t", RUN)))
-    for name, pattern in (("__access", ACCESS), ("__hex", HEX)):
-        out = out.withColumn(name, F.expr(f"flatten(transform(__runs, r -> {_found('r.m', pattern, 'r.start')}))"))
-    out = out.withColumn("__base", F.expr("concat(__assign, __access, __hex)"))
-    free = "NOT exists(__base, b -> b.start < r.end AND r.start < b.end)"
-    judged = f"r -> named_struct('start', r.start, 'end', r.end, 'how', {_judged('r.m')})"
-    split = f"filter({_found('r.m', PIECE, 'r.start')}, x -> length(x.m) >= {LEAST_RUN})"
-    out = out.withColumn("__pieces", F.expr(f"flatten(transform(__runs, r -> IF(r.m RLIKE {_text(WHOLE)}, array(r), {split})))"))
-    out = out.withColumn("__judged", F.expr(f"filter(transform(filter(__pieces, r -> {free}), {judged}), j -> j.how.encoding IS NOT NULL)"))
-    if least is None:
-        return out
-    out = out.withColumn("__kept", F.expr(f"filter(__judged, j -> {_passing(least)})"))
-    parts = ", ".join(_found("r.m", pattern, "r.start") for pattern in PARTS)
-    parts = f"filter(concat({parts}), x -> length(x.m) >= {LEAST_RUN} AND x.m <> r.m)"
-    left = "filter(__pieces, r -> NOT exists(__kept, k -> k.start = r.start))"
-    out = out.withColumn("__split", F.expr(f"array_distinct(flatten(transform({left}, r -> {parts})))"))
-    return out.withColumn("__parts", F.expr(f"filter(transform(filter(__split, r -> {free}), {judged}), j -> j.how.encoding IS NOT NULL)"))
-
-
-def thresholds(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[tuple[str, int], float]:
-    """The least p to report for each encoding and band of lengths, from the p of all pieces of the corpus."""
-    return _least(_scanned(docs.select(F.col(f"`{text}`").alias("text")), "text").select(F.explode("__judged").alias("j")), rate)
-
-
-def part_thresholds(docs: DataFrame, whole: dict[tuple[str, int], float], text: str = "text", rate: float = RATE) -> dict[tuple[str, int], float]:
-    """The same for the parts of the pieces that are not reported by the thresholds ``whole``."""
-    return _least(_scanned(docs.select(F.col(f"`{text}`").alias("text")), "text", whole).select(F.explode("__parts").alias("j")), rate)
+    t = f"coalesce(cast(`{text}` AS string), '')"
+    cut = docs.select(F.col(row).alias("row"), F.expr(_cut(t, ASSIGN)).alias("assign"), F.expr(_cut(t, RUN)).alias("runs"))
+    cut = staged(cut.where("assign IS NOT NULL OR runs IS NOT NULL"), "matches")
+    assign = _placed(cut.where("assign IS NOT NULL"), ["row"], "assign").where(F.expr(f"length(regexp_extract(m, {_text(ASSIGN)}, 2)) >= {ASSIGN_LEAST}"))
+    runs = staged(_placed(cut.where("runs IS NOT NULL"), ["row"], "runs"), "runs")
+    known = [assign, _inside(runs, ACCESS).drop("of"), _inside(runs, HEX).drop("of")]
+    base = known[0].drop("m").withColumn("kind", F.lit(KINDS[0]))
+    for kind, rows in zip(KINDS[1:], known[1:], strict=False):
+        base = base.unionByName(rows.drop("m").withColumn("kind", F.lit(kind)))
+    whole = F.expr(f"m RLIKE {_text(WHOLE)}")
+    pieces = runs.where(whole).unionByName(_inside(runs.where(~whole), PIECE).drop("of").where(f"length(m) >= {LEAST_RUN}"))
+    return staged(base, "base_spans"), staged(pieces, "pieces")
+
+
+def judged_pieces(base: DataFrame, pieces: DataFrame) -> DataFrame:
+    """The pieces that touch no base span, with ``encoding, band, p``."""
+    return _judged_rows(_free(pieces, base), "judged")
+
+
+def judged_parts(base: DataFrame, pieces: DataFrame, kept: DataFrame) -> DataFrame:
+    """The parts of all pieces but the kept ones, judged: ``of`` is the piece, ``ways`` the patterns that give the part."""
+    left = pieces.join(kept.select("row", "start"), ["row", "start"], "left_anti")
+    cut = None
+    for way, pattern in enumerate(PARTS):
+        own = _inside(left, pattern).where(f"length(m) >= {LEAST_RUN}").withColumn("way", F.lit(way))
+        cut = own if cut is None else cut.unionByName(own)
+    parts = cut.groupBy("row", "of", "start", "end").agg(F.first("m").alias("m"), F.collect_set("way").alias("ways"))
+    wholes = left.select("row", F.col("start").alias("of"), "start", "end")
+    return _judged_rows(_free(parts.join(wholes, ["row", "of", "start", "end"], "left_anti"), base), "parts")
+
+
+def _longest(parts: DataFrame) -> DataFrame:
+    """Of parts within one another the longest; of others that overlap, the longer or else the first.
+
+    Parts of one pattern are apart, so that only its part over the start and its part over the
+    end of another one can be longer than that.
+    """
+    here = F.struct((F.col("end") - F.col("start")).alias("size"), (-F.col("start")).alias("first"), "start", "end")
+    by_start = Window.partitionBy("row", "of").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    by_end = Window.partitionBy("row", "of").orderBy("end").rangeBetween(0, Window.unboundedFollowing)
+    out, beaten = parts, F.lit(False)
+    for way in range(len(PARTS)):
+        own = F.when(F.array_contains("ways", way), here)
+        out = out.withColumn(f"__s{way}", F.last(own, ignorenulls=True).over(by_start)).withColumn(f"__e{way}", F.first(own, ignorenulls=True).over(by_end))
+        for name, touches in ((f"__s{way}", F.col(f"__s{way}.end") > F.col("start")), (f"__e{way}", F.col(f"__e{way}.start") < F.col("end"))):
+            other = F.struct(F.col(f"{name}.size").alias("size"), F.col(f"{name}.first").alias("first"))
+            beaten = beaten | F.coalesce(touches & (other > F.struct(here["size"].alias("size"), here["first"].alias("first"))), F.lit(False))
+    return out.where(~beaten).select(*parts.columns)
 
 
 def _least(runs: DataFrame, rate: float) -> dict[tuple[str, int], float]:
-    counts = runs.groupBy(
-        F.col("j.how.encoding").alias("encoding"), F.col("j.how.band").alias("band"), F.least(F.floor(F.col("j.how.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
-    ).count()
+    """The least p to report for each encoding and band of lengths, from the p of all rows."""
+    counts = runs.where("encoding IS NOT NULL").groupBy("encoding", "band", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count()
     bins: dict[tuple[str, int], list[int]] = {}
     for row in counts.collect():  # at most one row for each encoding, band and bin
         bins.setdefault((row.encoding, row.band), [0] * BINS)[row.bin] = row["count"]
@@ -170,25 +217,29 @@ def _least(runs: DataFrame, rate: float) -> dict[tuple[str, int], float]:
     return found
 
 
-def scan(docs: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", rate: float = RATE, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``secrets``: an array of ``start, kind, end`` in order (code points, end exclusive).
 
     Base kinds come first among equal starts, as in ``KINDS``; runs found by the battery never
     touch a base span. A null text counts as empty and has none. Repeated rows get equal
-    results; a column already named ``secrets`` is replaced.
+    results; a column already named ``secrets`` is replaced. The table is staged, so that
+    rows keep their number; without ``keep_text`` it comes back without its texts.
     """
-    least = thresholds(docs, text, rate)
-    among = f"filter(__parts, j -> {_passing(part_thresholds(docs, least, text, rate))})"
-    # Of parts within one another, the longest; of others that overlap, the first.
-    better = "o.start < j.end AND j.start < o.end AND (o.end - o.start > j.end - j.start OR (o.end - o.start = j.end - j.start AND o.start < j.start))"
-    kept = f"concat(__kept, {_let('ps', among, f'filter(ps, j -> NOT exists(ps, o -> {better}))')})"
-    named = ", ".join(
-        f"transform({array}, x -> named_struct('start', x.start, 'place', {i}, 'kind', '{kind}', 'end', x.end))"
-        for i, (kind, array) in enumerate(zip(KINDS, ("__assign", "__access", "__hex", kept), strict=True))
-    )
+    row = fresh_name(docs, "row")
     columns = [c for c in docs.columns if c != "secrets"]
-    spans = f"transform(array_sort(concat({named})), x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end))"
-    return _scanned(docs.select(*[f"`{c}`" for c in columns]), text, least).select(*[F.col(f"`{c}`") for c in columns], F.expr(spans).alias("secrets"))
+    numbered = staged(docs.select(*[F.col(f"`{c}`") for c in columns]).withColumn(row, F.monotonically_increasing_id()), "documents")
+    base, pieces = found_in(numbered, text, row)
+    judged = judged_pieces(base, pieces)
+    kept = judged.where(_passing(_least(judged, rate)))
+    parts = judged_parts(base, pieces, kept)
+    random = kept.select("row", "start", "end").unionByName(_longest(parts.where(_passing(_least(parts, rate)))).select("row", "start", "end"))
+    spans = base.unionByName(random.withColumn("kind", F.lit(KINDS[-1])))
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    own = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", place.alias("place"), "end", "kind"))).alias("found"))
+    own = own.select(F.col("row").alias(row), F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))).alias("secrets"))
+    left = [f"`{c}`" for c in columns if keep_text or c != text]
+    empty = F.expr("cast(array() AS array<struct<start:bigint,kind:string,end:bigint>>)")
+    return numbered.select(*left, row).join(own, row, "left").select(*left, F.coalesce("secrets", empty).alias("secrets"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
