@@ -36,7 +36,7 @@ def odd(spark):
         (5, LONG, "de", "a", len(LONG), 1), (6, "one two three four six", "en", "a", 1, 1), (7, "1234 !!", "en", "c", 7, 1), (8, "ﷺ İstanbul ΣΑΣ <|endoftext|> 𝒳 ①", None, "c", 7, 1),
     ]
     frame = spark.createDataFrame(rows, DOCUMENTS)
-    for name in ("row", "piece", "fp", "size", "entities", "secrets", "score", "severity", "lang_pred", "sequence_id"):
+    for name in ("__row", "__found", "__gaps", "__new", "__cut", "__t", "__text", "__sum", "__own", "__start", "__b", "__g0", "row", "piece", "fp", "size", "entities", "secrets", "score", "severity", "lang_pred", "sequence_id"):
         frame = frame.withColumn(name, F.lit("clash"))
     return frame
 
@@ -200,14 +200,39 @@ def test_a_lone_secret_is_found_beside_many_words(spark):
     drawn = np.random.default_rng(11)
     letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
     keys = spark.createDataFrame([("".join(drawn.choice(letters, 40)),) for _ in range(40)], "text string")
-    judged = secret_scan._scanned(keys, "text").select("text", F.expr("__judged[0].how.p").alias("p"))
-    key = judged.where("p BETWEEN 0.15 AND 0.45").orderBy("text").first().text
+    judged = secret_scan.judged_pieces(*secret_scan.found_in(keys.withColumn("row", F.monotonically_increasing_id())))
+    key = judged.where("p BETWEEN 0.15 AND 0.45 AND length(m) = 40").orderBy("m").first().m
     words = ["".join(drawn.choice(["ing", "the", "tion", "er", "ound", "Re", "al"], 12)) + "Re" for _ in range(40)]
     for beside in ([], words):
         rows = secret_scan.scan(spark.createDataFrame([(i, t) for i, t in enumerate([key, *beside])], "doc_id int, text string")).collect()
         assert [(s.kind, s.start, s.end) for r in rows for s in r.secrets if r.doc_id == 0] == [("random", 0, 40)]
 
 
+def test_a_text_of_many_keys(spark):
+    drawn = np.random.default_rng(13)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    lines = ["".join(row) for row in drawn.choice(letters, (20_000, 64))]
+    text = "\n".join(lines)
+    rows = secret_scan.scan(spark.createDataFrame([(1, text), (2, "key=" + "/".join(lines[:300])), (3, " ".join(f"token={x}" for x in lines[:5000]))], "doc_id int, text string")).collect()
+    found = {r.doc_id: r.secrets for r in rows}
+    assert len(found[1]) >= 15_000 and all(text[s.start : s.end] in text and s.kind == "random" for s in found[1][:100])
+    assert [s.start for s in found[1]] == sorted(s.start for s in found[1]) and len([s for s in found[3] if s.kind == "assign"]) == 5000
+
+
+def test_longest_parts_by_brute_force(spark):
+    drawn = np.random.default_rng(17)
+    rows = []
+    for row in range(40):
+        for way in range(3):
+            ends = np.sort(drawn.choice(60, 8, replace=False))
+            rows += [(row, 0, int(a), int(b), way) for a, b in zip(ends[::2], ends[1::2], strict=True)]
+    frame = spark.createDataFrame(rows, "row int, of int, start int, end int, way int").groupBy("row", "of", "start", "end").agg(F.collect_set("way").alias("ways"))
+    parts = [tuple(r)[:4] for r in frame.collect()]
+    better = lambda o, j: (o[3] - o[2], -o[2]) > (j[3] - j[2], -j[2])
+    expected = [j for j in parts if not any(o[0] == j[0] and o[2] < j[3] and j[2] < o[3] and better(o, j) for o in parts)]
+    assert sorted(tuple(r)[:4] for r in secret_scan._longest(frame).collect()) == sorted(expected)
+
+
 def test_secrets_odd(odd, empty):
     rows = secret_scan.scan(odd).collect()
     assert len(rows) == odd.count() and all(r.secrets == [] for r in rows) and secret_scan.scan(empty).count() == 0
@@ -482,6 +507,10 @@ def test_severity_orders_grades_and_odd(spark, odd, empty):
 PERSONAL = [
     "call +1 (980) 555-6268 or +1 980 555 6268 now", "mail La.75@Mail4.example.com and la.75@mail4.example.com.", "ip 173.33.203.46 and 10.0.0.1.", "card 4111 1111 1111 1111, 4111-1111-1111-1111",
     "ssn 123-45-6789", "Dear Mrs. Anna Schmidt and Mr Paul Weber, Господин Иван Петров", None, "", "version 1.2.3, 12.5 of 2024-01-02, a@b",
+]
+NAMES = [
+    "王小明@example.com łść@x.pl İI@bb.com 한국@a.kr ١٢@b.com", "Herr Ğığ und Mr Łukasz Święćki", "Mr Paul Wu", "Mr Oscar Wilde came. Oscar Wilde left, said Wilde; Oscar's and Wildenstein.",
+    "Frau Ἀνήρ Ωmega, Herr Βασίλης Παπαδόπουλος, Mme Élise", "Mr Oscar", "Mrs Wu met Mr Wu",
 ]
 
 
@@ -506,6 +535,38 @@ def test_surrogates_keep_format_and_coreference(spark):
             assert before[e.start : e.end] not in row.text or e.kind == "person"
 
 
+def test_no_name_is_left_in_its_document(spark):
+    given = NAMES + [f"Mr {a}{b} Xu" for a in "ABCDE" for b in "aeiou"] + [f"{i}.{i}.0.{i} and {i}@a.b.com and Mr {chr(65 + i % 26)}u" for i in range(256)]
+    rows = privacy.surrogated(spark.createDataFrame(list(enumerate(given)), "doc_id int, text string")).orderBy("doc_id").collect()
+    for before, row in zip(given, rows, strict=True):
+        assert row.entities
+        for e in row.entities:
+            was = before[e.start : e.end]
+            assert was != e.other and len(was) == len(e.other) or e.kind in ("ip", "person")
+            if e.kind == "person":
+                assert len(was.split()) == len(e.other.split()), (was, e.other)
+                pairs = list(zip(was.split(), e.other.split(), strict=True))
+                titled = pairs[0][0] in ("Mr", "Mrs", "Herr", "Frau", "Mme")
+                assert all(a != b for a, b in pairs[titled:]) and all(a == b for a, b in pairs[:titled]), (was, e.other)
+            else:
+                assert was not in row.text, (before, row.text)
+    texts = [r.text for r in rows]
+    assert not any(x in texts[0] for x in ("王小明", "łść", "İI", "한국", "١٢")) and texts[0].endswith(".com") and re.search(r"[\u4e00-\u9fff]{3}@", texts[0])
+    who = re.fullmatch(r"Mr (\w+) (\w+) came\. (\w+) (\w+) left, said (\w+); (\w+)'s and Wildenstein\.", texts[3]).groups()
+    assert who[0] == who[2] == who[5] and who[1] == who[3] == who[4] and who[0] in privacy._GIVEN["m", "latin"].split(",")
+    rebuilt = [(b, r) for b, r in zip(given, rows, strict=True) if sum(e.end - e.start for e in r.entities) and "Wilde" in b]
+    assert not any(re.search(r"(?<!\w)(?:Oscar|Wilde)(?!\w)", r.text) for _, r in rebuilt)
+    first, second = texts[6].split(" met ")
+    assert first.split()[1] == second.split()[1]
+
+
+def test_many_entities_in_a_text(spark):
+    text = " ".join(f"u{i}@example.com" for i in range(30_000))
+    row = privacy.surrogated(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+    assert len(row.entities) == 30_000 and all(text[e.start : e.end].startswith("u") and row.text.count("@") == 30_000 for e in row.entities[:3] + row.entities[-3:])
+    assert row.entities[-1].end == len(text) and row.entities[299].start == text.index("u299@")
+
+
 def test_surrogates_are_distinct(spark):
     rows = [(i, f"u{i}@x{i % 7}.com +1 {200 + i // 1000} 555 {i % 10000:04d} 10.0.{i // 256}.{i % 256} Herr {chr(65 + i % 26)}{'aeiou'[i % 5]}{'bcdfg'[i // 5 % 5]}{'aeiou'[i // 25 % 5]}m") for i in range(1500)]
     frame = spark.createDataFrame(rows, "doc_id int, text string")
@@ -598,9 +659,13 @@ def test_pipeline_stages(spark, odd, empty):
         if name == "language_id":
             assert kept.count() == docs.where("text RLIKE '\\\\p{L}'").count()
     packed_rightly(corpus_pipeline.STAGES[-1][1](spark, kept, SF_DIR).collect())
-    for frame in (odd.select(docs.columns), empty.select(docs.columns)):
-        for _, stage in corpus_pipeline.STAGES:
+    more = [*docs.columns, "__row", "__found", "__new"]
+    named = odd.withColumn("__lang", F.lit("clash")).withColumn("__score", F.lit("clash")).withColumn("__entities", F.lit("clash"))
+    for frame in (named.select(*more, "__lang", "__score", "__entities"), empty.select(docs.columns)):
+        columns = frame.columns
+        for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, frame, SF_DIR)
+            assert name == "pack_sequences" or out.columns == columns
             frame = spark.createDataFrame(out.collect(), out.schema)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, running_start, staged
+from .common import fresh_name, map_batches, running_start, staged
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEATS = 3
@@ -182,7 +182,8 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
     Whole documents: one that the mix cuts at the end of its source's quota stays whole.
     """
-    kept = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
-    _, placed = mix(kept, **how, row="__row")
-    turns = placed.select(F.col("row").alias("__row"), "turn").distinct().select("__row")
-    return kept.join(turns, "__row").drop("__row")
+    row = fresh_name(docs, "row")
+    kept = staged(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    _, placed = mix(kept, **how, row=row)
+    turns = placed.select(F.col("row").alias(row), "turn").distinct().select(row)
+    return kept.join(turns, row).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import component_roots, map_batches, map_groups, staged
+from .common import component_roots, fresh_name, map_batches, map_groups, staged
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -250,10 +250,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row left of each component: that of the smallest ``doc_id``, null last."""
-    kept = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
-    narrow = kept.select("__row", F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
+    row = fresh_name(docs, "row")
+    kept = staged(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    narrow = kept.select(F.col(row).alias("__row"), F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
     marked = staged(fingerprints(narrow, ("__row", "__id"), "__text"), "fingerprints")
     grouped = marked.join(_grouped(marked, "__row", radius), "fp")
     first = F.min(F.struct(F.col("__id").isNull(), "__id", "__row"))["__row"]
-    chosen = grouped.groupBy("root").agg(first.alias("__row")).select("__row")
-    return kept.join(chosen, "__row", "left_semi").drop("__row")
+    chosen = grouped.groupBy("root").agg(first.alias(row)).select(row)
+    return kept.join(chosen, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
