@@ -11,16 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideloom.llm import language, mixing, packing, privacy, simhash
-from tideloom.llm.common import staged, table
+from tideloom.llm.common import fresh_name, staged, table
 from tideloom.llm.queries import public_tokenizer
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the profiles know; those without a letter go. The language found replaces ``lang``."""
     teaching = docs.where("doc_id IS NOT NULL").where(~language.held_out(F.col("doc_id")))
-    found = language.identify(docs, language.prototypes(teaching), into=("__lang", "__score"))
-    found = found.where(F.col("__lang") != language.UNDETERMINED)
-    return found.withColumn("lang", F.col("__lang")).select(docs.columns)
+    lang, score = fresh_name(docs, "lang"), fresh_name(docs, "score")
+    found = language.identify(docs, language.prototypes(teaching), into=(lang, score))
+    found = found.where(F.col(lang) != language.UNDETERMINED)
+    return found.withColumn("lang", F.col(lang)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with surrogates for personal data."""
-    return privacy.surrogated(docs, into="__entities").select(docs.columns)
+    return privacy.surrogated(docs, into=fresh_name(docs, "entities")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
