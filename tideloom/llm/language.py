@@ -14,62 +14,75 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, map_groups
+from .common import map_batches
 
-SLOTS = 128
 DIMENSIONS = 2048
 SEED = 20240531
-#: Trigrams whose vectors are in memory at once, and trigrams of texts that are counted at once.
-CHUNK_GRAMS, COUNT_GRAMS = 512, 1_000_000
+#: Trigrams whose vectors are in memory at once, trigrams of texts that are counted at once, and letters of a text taken at once.
+CHUNK_GRAMS, COUNT_GRAMS, PIECE = 512, 1_000_000, 1 << 18
+#: Dot products that a worker keeps.
+CACHE_DOTS = 1 << 20
 UNDETERMINED = "und"
-_GRAMS = SLOTS**3
+_POINT_BITS = 21  # of a Unicode code point
 _tables: dict[str, np.ndarray] = {}
 
 
-def _slot_of() -> np.ndarray:
-    """Slot of each code point: 0 for all but letters, the common Latin letters apart, others by remainder."""
-    if "slots" not in _tables:
-        slots = np.zeros(0x110000, np.uint8)
-        for point in range(0x110000):
-            if chr(point).isalpha() or unicodedata.category(chr(point))[0] == "L":
-                if 97 <= point <= 122:
-                    slots[point] = point - 96
-                elif 0xDF <= point <= 0xFF:
-                    slots[point] = point - 0xDF + 27
-                else:
-                    slots[point] = 60 + point % (SLOTS - 60)
-        _tables["slots"] = slots
-    return _tables["slots"]
-
-
-def _letters() -> np.ndarray:
-    if "letters" not in _tables:
-        drawn = np.random.default_rng(SEED).integers(0, 2, (SLOTS, DIMENSIONS))
-        _tables["letters"] = (2 * drawn - 1).astype(np.float32)
-    return _tables["letters"]
+def _is_letter() -> np.ndarray:
+    if "letter" not in _tables:
+        points = range(0x110000)
+        _tables["letter"] = np.fromiter((unicodedata.category(chr(p))[0] == "L" for p in points), bool, len(points))
+    return _tables["letter"]
+
+
+def _letter_vectors(points: np.ndarray) -> np.ndarray:
+    """A bipolar vector for each code point, every script alike: the bits of a mixing hash of point and place."""
+    words = DIMENSIONS // 64
+    with np.errstate(over="ignore"):
+        x = (points.astype(np.uint64)[:, None] * np.uint64(words) + np.arange(words, dtype=np.uint64) + np.uint64(SEED)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    bits = np.unpackbits(np.ascontiguousarray(x.astype("<u8")).view(np.uint8), axis=1)
+    return bits.astype(np.float32) * 2 - 1
+
+
+def trigram_pieces(text: str) -> Iterator[np.ndarray]:
+    """Numbers of the trigrams of the lower-cased text, piece by piece; runs of other characters count as one space; none without a letter."""
+    lowered = text.lower()
+    held, after_letter = np.zeros(1, np.int64), False
+    for at in range(0, len(lowered), PIECE):
+        points = np.frombuffer(lowered[at : at + PIECE].encode("utf-32-le", "surrogatepass"), "<u4")
+        letter = _is_letter()[points]
+        keep = letter.copy()
+        keep[0] |= after_letter
+        keep[1:] |= letter[:-1]
+        after_letter = bool(letter[-1])
+        held = np.concatenate([held, np.where(letter, points, 0)[keep].astype(np.int64)])
+        if len(held) > 2:
+            yield _numbers(held)
+            held = held[-2:]
+    if len(held) > 1:
+        yield _numbers(np.append(held, 0))
+
+
+def _numbers(points: np.ndarray) -> np.ndarray:
+    return (points[:-2] << 2 * _POINT_BITS) | (points[1:-1] << _POINT_BITS) | points[2:]
 
 
 def trigrams(text: str) -> np.ndarray:
-    """Numbers of the trigrams of the lower-cased text, runs of other characters counting as one space; none without a letter."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    slots = _slot_of()[points]
-    keep = slots > 0
-    if not keep.any():
-        return np.empty(0, np.int64)
-    keep[1:] |= slots[:-1] > 0
-    slots = np.concatenate([[0], slots[keep], [0]]).astype(np.int64)
-    return (slots[:-2] * SLOTS + slots[1:-1]) * SLOTS + slots[2:]
+    return np.concatenate([np.empty(0, np.int64), *trigram_pieces(text)])
 
 
 def vectors(grams: np.ndarray) -> np.ndarray:
-    letters = _letters()
-    first, second, third = grams // SLOTS**2, grams // SLOTS % SLOTS, grams % SLOTS
+    mask = (1 << _POINT_BITS) - 1
+    points, at = np.unique(np.stack([grams >> 2 * _POINT_BITS, grams >> _POINT_BITS & mask, grams & mask]), return_inverse=True)
+    letters = _letter_vectors(points)
+    first, second, third = at.reshape(3, len(grams))
     return np.roll(letters, 2, axis=1)[first] * np.roll(letters, 1, axis=1)[second] * letters[third]
 
 
@@ -81,9 +94,10 @@ def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
 def prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """Unit prototype of each language, from all labelled texts.
 
-    Rows with a null text or language, and texts without letters, teach nothing. Counts of
-    trigrams are summed by Spark; what one task or the driver holds is bounded by the number
-    of trigrams and languages, never by the number of texts.
+    Rows with a null text or language, and texts without letters, teach nothing. Spark sums
+    the counts of trigrams; every partition of them bundles its own, and the bundles are
+    summed place by place, so that a task holds one vector a language, however many
+    trigrams a script has. The sums are of whole numbers, the same in any order.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,35 +106,40 @@ def prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang") -> d
 
         def counted() -> Iterator[pa.RecordBatch]:
             for name in sorted(waiting):
-                total = np.bincount(np.concatenate(waiting[name]), minlength=_GRAMS)
-                seen = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen), pa.array(total[seen])], ["lang", "gram", "n"])
+                seen, n = np.unique(np.concatenate(waiting[name]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen), pa.array(n)], ["lang", "gram", "n"])
             waiting.clear()
 
         for batch in batches:
             for value, name in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                grams = trigrams(value.as_py())
-                waiting.setdefault(name, []).append(grams)
-                size += len(grams)
-                if size > COUNT_GRAMS:
-                    yield from counted()
-                    size = 0
+                for grams in trigram_pieces(value.as_py()):
+                    waiting.setdefault(name, []).append(grams)
+                    size += len(grams)
+                    if size > COUNT_GRAMS:
+                        yield from counted()
+                        size = 0
         yield from counted()
 
-    def bundle(key, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(DIMENSIONS)
-        grams, n = rows["gram"].to_numpy(), rows["n"].to_numpy(float)
-        order = np.argsort(grams)
-        grams, n = grams[order], n[order]
-        for at in range(0, len(grams), CHUNK_GRAMS):
-            total += n[at : at + CHUNK_GRAMS] @ vectors(grams[at : at + CHUNK_GRAMS])
-        length = float(np.linalg.norm(total))
-        return pd.DataFrame({"lang": [key[0]], "vector": [(total / length if length else total).tolist()]})
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            named = batch.column(0).dictionary_encode()
+            which, grams, n = named.indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(float)
+            for i, name in enumerate(named.dictionary.to_pylist()):
+                own, times = grams[which == i], n[which == i]
+                sums = total.setdefault(name, np.zeros(DIMENSIONS))
+                for at in range(0, len(own), CHUNK_GRAMS):
+                    sums += times[at : at + CHUNK_GRAMS] @ vectors(own[at : at + CHUNK_GRAMS])
+        for name, sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS, pa.string()), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(sums)], ["lang", "place", "value"])
 
     source = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
     counts = map_batches(source, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    learned = map_groups(counts, ["lang"], bundle, "lang string, vector array<double>")
-    return {r.lang: np.array(r.vector) for r in sorted(learned.collect(), key=lambda r: r.lang)}
+    places = map_batches(counts, bundle, "lang string, place int, value double").groupBy("lang", "place").agg(F.sum("value").alias("value"))
+    learned: dict[str, np.ndarray] = {}
+    for r in sorted(places.collect()):  # DIMENSIONS rows a language
+        learned.setdefault(r.lang, np.zeros(DIMENSIONS))[r.place] = r.value
+    return {name: v / (float(np.linalg.norm(v)) or 1.0) for name, v in learned.items()}
 
 
 def identify(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -136,27 +155,38 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text"
     place = docs.columns.index(text)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.zeros(_GRAMS, bool)
-        table: dict[str, np.ndarray] = {"row": np.zeros(_GRAMS, np.int32), "dots": np.zeros((0, len(names)))}
+        limit = max(CHUNK_GRAMS, CACHE_DOTS // max(1, len(names)))
+        cache = {"grams": np.empty(0, np.int64), "dots": np.empty((0, len(names)))}
 
         def dots(grams: np.ndarray) -> np.ndarray:
-            fresh = np.unique(grams[~known[grams]])
+            """Dot products of sorted, distinct trigrams, ``limit`` at most, with all languages."""
+            fresh = np.setdiff1d(grams, cache["grams"], assume_unique=True)
             if len(fresh):
+                if len(cache["grams"]) + len(fresh) > limit:
+                    fresh, cache["grams"], cache["dots"] = grams, cache["grams"][:0], cache["dots"][:0]
                 made = [vectors(fresh[at : at + CHUNK_GRAMS]) @ matrix.T for at in range(0, len(fresh), CHUNK_GRAMS)]
-                table["row"][fresh] = len(table["dots"]) + np.arange(len(fresh))
-                table["dots"] = np.concatenate([table["dots"], *made])
-                known[fresh] = True
-            return table["dots"][table["row"][grams]].sum(axis=0)
+                held = np.concatenate([cache["grams"], fresh])
+                order = np.argsort(held)
+                cache["grams"], cache["dots"] = held[order], np.concatenate([cache["dots"], *made])[order]
+            return cache["dots"][np.searchsorted(cache["grams"], grams)]
+
+        def summed(text: str) -> np.ndarray | None:
+            total = None
+            for piece in trigram_pieces(text):
+                grams, n = np.unique(piece, return_counts=True)
+                total = np.zeros(len(names)) if total is None else total
+                for at in range(0, len(grams), limit):
+                    total += n[at : at + limit] @ dots(grams[at : at + limit])
+            return total
 
         for batch in batches:
             langs, scores = [], []
             for value in batch.column(place):
-                grams = trigrams(value.as_py() or "")
-                if not len(grams) or not names:
+                cosines = summed(value.as_py() or "") if names else None
+                if cosines is None:
                     langs.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                cosines = dots(grams)
                 best = int(np.argmax(cosines))
                 positive = float(np.maximum(cosines, 0).sum())
                 langs.append(names[best])
