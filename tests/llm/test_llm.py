@@ -377,6 +377,12 @@ def test_hashing_recall_and_scores(embeddings, spark):
     assert hashing.search(embeddings.where("vec_id < 4"), every=1).count() == 12
 
 
+def test_hashing_over_many_cells(embeddings, spark, monkeypatch):
+    monkeypatch.setattr(hashing, "CELL_ROWS", 20)
+    monkeypatch.setattr(hashing, "QUERY_BLOCK", 10)
+    test_hashing_recall_and_scores(embeddings, spark)
+
+
 def test_hashing_recall_on_the_table(spark):
     frame = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in frame.collect()]
@@ -404,6 +410,32 @@ def test_language_dots_are_those_of_bundled_vectors():
     assert bundled @ other == pytest.approx(sum(language.vectors(np.array([g]))[0] @ other for g in language.trigrams(text)))
 
 
+def test_language_pieces_are_those_of_the_whole_text(monkeypatch):
+    texts = ["Thé quick, brown fox 42 jumps!! ", "a", "", " 1 ", "ab", "x, y", "שלום עולם 你好", "a " * 50]
+    whole = [language.trigrams(t).tolist() for t in texts]
+    assert [len(w) for w in whole[1:6]] == [1, 0, 0, 2, 3]
+    for piece in (1, 2, 3, 7):
+        monkeypatch.setattr(language, "PIECE", piece)
+        assert [language.trigrams(t).tolist() for t in texts] == whole
+
+
+def test_languages_of_other_scripts(spark, monkeypatch):
+    """Scripts whose code points agree by remainder have letters of their own; small caches change nothing."""
+    plain = "the rain in spain stays mainly in the plain and the river runs to the sea"
+    moved = {f"s{shift}": "".join(chr(ord(c) - 97 + shift) if c.isalpha() else c for c in plain) for shift in (0x4E00, 0x4E00 + 68, 0x4E00 + 136, 0x5E00)}
+    frame = spark.createDataFrame([(i, t, name) for i, (name, t) in enumerate(moved.items())], "doc_id long, text string, lang string")
+    learned = language.prototypes(frame)
+    for name, vector in learned.items():
+        bundled = language.vectors(language.trigrams(moved[name])).sum(axis=0, dtype=float)
+        assert np.allclose(vector, bundled / np.linalg.norm(bundled))
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(frame, learned).collect()}
+    assert [found[i][0] for i in range(len(moved))] == list(moved) and min(score for _, score in found.values()) > 0.8
+    monkeypatch.setattr(language, "CACHE_DOTS", 1)
+    monkeypatch.setattr(language, "CHUNK_GRAMS", 3)
+    again = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(frame, learned).collect()}
+    assert all(again[i][0] == found[i][0] and again[i][1] == pytest.approx(found[i][1], abs=1e-5) for i in found)
+
+
 def test_language_odd(odd, empty):
     learned = language.prototypes(odd)
     assert set(learned) == {"de", "en"}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, staged
-from .vectors import CELL_ROWS, QUERY_BLOCK, best, clean, in_cells, matrix, sampled, stacked, top
+from .vectors import CELL_ROWS, QUERY_BLOCK, Cells, best, clean, in_cells, matrix, sampled, stacked, top
 
 BITS, SUBSTRINGS, PREFIX_BITS = 64, 4, 3
 #: Vectors that the rotation and the radius are learned from; sampled queries; share of true neighbours the radius is to hold.
@@ -112,14 +112,9 @@ def search(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", e
 
     entries = staged(map_batches(rows.select("vec_id", "v", "row"), index, "vec_id long, v array<double>, row long, code long, slot int"), "substrings")
     counts = {r.slot: r["count"] for r in entries.groupBy("slot").count().collect()}  # SUBSTRINGS x 2**PREFIX_BITS rows at most
-    first_cell, slot_of = {}, []
-    for slot in sorted(counts):
-        first_cell[slot] = len(slot_of)
-        slot_of += [slot] * -(-counts[slot] // CELL_ROWS)
-    slot_of = np.array(slot_of, int)
-    start = F.create_map(*[F.lit(x) for s in first_cell for x in (s, first_cell[s])]) if counts else F.create_map(F.lit(0), F.lit(0))
-    split = F.create_map(*[F.lit(x) for s in counts for x in (s, -(-counts[s] // CELL_ROWS))]) if counts else F.create_map(F.lit(0), F.lit(1))
-    members = entries.withColumn("cell", (start[F.col("slot")] + F.pmod(F.xxhash64("row"), split[F.col("slot")])).cast("int")).drop("slot")
+    cells = Cells(counts, CELL_ROWS)
+    members = cells.spread(entries, "slot")
+    slots = np.array(cells.slots, int)
 
     def visits(within: int):
         shares = np.array(codes.shares(within))
@@ -128,10 +123,10 @@ def search(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", e
             for batch in batches:
                 own = codes.of(units(matrix(batch.column(1), width)))
                 prefix = np.stack([codes.prefix(codes.part(own, at), at) for at in range(len(codes.cuts))], axis=1)
-                differing = np.bitwise_count(prefix[:, slot_of // prefixes] ^ (slot_of % prefixes))
-                query, cell = np.nonzero(differing <= shares[slot_of // prefixes])
+                differing = np.bitwise_count(prefix[:, slots // prefixes] ^ (slots % prefixes))
+                query, hit = np.nonzero(differing <= shares[slots // prefixes])
                 taken = pa.array(query)
-                yield pa.RecordBatch.from_arrays([*(c.take(taken) for c in batch.columns), pa.array(own.view("<i8")).take(taken), pa.array(cell, pa.int32())], ["query_id", "q", "query_row", "code", "cell"])
+                yield pa.RecordBatch.from_arrays([*(c.take(taken) for c in batch.columns), pa.array(own.view("<i8")).take(taken), pa.array(slots[hit], pa.int32())], ["query_id", "q", "query_row", "code", "slot"])
 
         return to
 
@@ -141,7 +136,7 @@ def search(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", e
         def probe(key, asking: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
             out: list[tuple] = []
             if len(asking) and len(here):
-                at = int(slot_of[int(key[0])]) // prefixes
+                at = cells.slot(int(key[0])) // prefixes
                 own = here["code"].to_numpy(np.int64).view("<u8")
                 parts = codes.part(own, at)
                 order = np.argsort(parts, kind="stable")
@@ -167,11 +162,12 @@ def search(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", e
 
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("row").alias("query_row"))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    to_visit = "query_id long, q array<double>, query_row long, code long, cell int"
+    to_visit = "query_id long, q array<double>, query_row long, code long, slot int"
+    visited = lambda asking, within: cells.of_visits(map_batches(asking, visits(within), to_visit), "slot")
     schema = "query_id long, query_row long, row long, vec_id long, score double"
-    found = staged(best(in_cells(map_batches(queries, visits(radius), to_visit), members, blocks, look(radius), schema), k), "near")
+    found = staged(best(in_cells(visited(queries, radius), members, blocks, look(radius), schema), k), "near")
     enough = found.groupBy("query_row").count().where(F.col("count") >= min(k, total - 1)).select("query_row")
     short = staged(queries.join(enough, "query_row", "left_anti").select("query_id", "q", "query_row"), "short")
-    again = best(in_cells(map_batches(short, visits(codes.bits), to_visit), members, blocks, look(codes.bits), schema), k)
+    again = best(in_cells(visited(short, codes.bits), members, blocks, look(codes.bits), schema), k)
     whole = found.join(enough, "query_row", "left_semi").unionByName(again)
     return whole.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, staged
-from .vectors import CELL_ROWS, QUERY_BLOCK, best, clean, in_cells, matrix, sampled, stacked, top
+from .vectors import CELL_ROWS, QUERY_BLOCK, Cells, best, clean, in_cells, matrix, sampled, stacked, top
 
 #: Rows aimed at per pivot, pivots at most and annuli for each; the sample that pivots are chosen from; rows that a query searches first, for each wanted.
 PIVOT_ROWS, PIVOTS, ANNULI, SAMPLE_ROWS, FIRST_ROWS = 2048, 64, 8, 4096, 100
@@ -82,23 +82,17 @@ def search(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, vec
     placed = staged(map_batches(points.select("vec_id", "v", "row"), place, "vec_id long, v array<double>, row long, annulus long, r double"), "annuli")
     # At most PIVOTS x ANNULI rows; an annulus of many rows is several cells, so that a hot one is spread.
     rings = placed.groupBy("annulus").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).orderBy("annulus").collect()
-    parts = {r.annulus: -(-r.n // CELL_ROWS) for r in rings}
-    first_cell, cells = {}, []
-    for ring in rings:
-        first_cell[ring.annulus] = len(cells)
-        cells += [(ring.annulus // ANNULI, ring.low, ring.high, ring.n / parts[ring.annulus])] * parts[ring.annulus]
-    cell_pivot = np.array([c[0] for c in cells], int)
-    low, high, held = (np.array([c[i] for c in cells], float) for i in (1, 2, 3))
-    start = F.create_map(*[F.lit(x) for a in first_cell for x in (a, first_cell[a])]) if cells else F.create_map(F.lit(0), F.lit(0))
-    split = F.create_map(*[F.lit(x) for a in parts for x in (a, parts[a])]) if cells else F.create_map(F.lit(0), F.lit(1))
-    members = placed.withColumn("cell", (start[F.col("annulus")] + F.pmod(F.xxhash64("row"), split[F.col("annulus")])).cast("int")).drop("annulus")
+    cells = Cells({r.annulus: r.n for r in rings}, CELL_ROWS)
+    members = cells.spread(placed, "annulus")
+    annuli = np.array([r.annulus for r in rings], int)
+    low, high, held = (np.array([r[name] for r in rings], float) for name in ("low", "high", "n"))
 
     def visits(again: bool):
         def to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 v = matrix(batch.column(1), width)
                 squares = (v * v).sum(axis=1)
-                far = distances(np.concatenate([v, np.zeros((len(v), 1))], axis=1), squares)[:, cell_pivot]
+                far = distances(np.concatenate([v, np.zeros((len(v), 1))], axis=1), squares)[:, annuli // ANNULI]
                 bound = np.maximum(np.maximum(low - far, far - high), 0)
                 order = np.argsort(bound, axis=1, kind="stable")
                 before = np.cumsum(held[order], axis=1) - held[order]
@@ -107,12 +101,12 @@ def search(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, vec
                 if again:
                     worst = batch.column(3).to_numpy(zero_copy_only=False)
                     reach = np.sqrt(np.maximum(squares + longest - 2 * worst, 0)) + slack
-                    query, cell = np.nonzero(~early & ~(bound > reach[:, None]))
+                    query, hit = np.nonzero(~early & ~(bound > reach[:, None]))
                 else:
-                    query, cell = np.nonzero(early)
+                    query, hit = np.nonzero(early)
                 taken = pa.array(query)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).take(taken) for i in range(4)), pa.array(far[query, cell]), pa.array(cell, pa.int32())], ["query_id", "q", "query_row", "worst", "far", "cell"]
+                    [*(batch.column(i).take(taken) for i in range(4)), pa.array(far[query, hit]), pa.array(annuli[hit])], ["query_id", "q", "query_row", "worst", "far", "annulus"]
                 )
 
         return to
@@ -138,12 +132,13 @@ def search(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, vec
 
     queries = points.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("row").alias("query_row"))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    to_visit = "query_id long, q array<double>, query_row long, worst double, far double, cell int"
+    to_visit = "query_id long, q array<double>, query_row long, worst double, far double, annulus long"
+    visited = lambda asking, again: cells.of_visits(map_batches(asking, visits(again), to_visit), "annulus")
     schema = "query_id long, query_row long, row long, vec_id long, score double"
-    early = map_batches(queries.withColumn("worst", F.lit(float("-inf"))), visits(False), to_visit)
+    early = visited(queries.withColumn("worst", F.lit(float("-inf"))), False)
     near = staged(best(in_cells(early, members, blocks, look, schema), k), "near")
     kth = near.groupBy("query_row").agg(F.min("score").alias("worst"), F.count("*").alias("n"))
     known = queries.join(kth, "query_row", "left").select("query_id", "q", "query_row", F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(float("-inf"))).alias("worst"))
-    later = in_cells(map_batches(known, visits(True), to_visit), members, blocks, look, schema)
+    later = in_cells(visited(known, True), members, blocks, look, schema)
     found = best(near.drop("rank").unionByName(later), k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.expr("try_cast(score AS bigint)").alias("score"))
