@@ -87,9 +87,12 @@ def fresh_name(df: DataFrame, name: str) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write to the folder all executors share and read back: later steps need no recomputation if executors are lost."""
+    """Write to the folder all executors share and read back: later steps need no recomputation if executors are lost.
+
+    Some steps stage whole texts, which outlive them, so that the files are packed tightly.
+    """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
