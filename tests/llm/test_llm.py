@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import os
 import re
@@ -75,13 +76,30 @@ def test_query_against_sql(spark, name):
 # 1: mixing
 
 
+def targets(sizes, weights, repeats=3):
+    """Shares by weight, stopped at the caps, the excess given out again until none is above: one source after the other."""
+    caps, stopped = [float(repeats * s) for s in sizes], set()
+    while True:
+        rest = float(sum(sizes)) - sum(caps[i] for i in stopped)
+        open_weight = sum(w for i, w in enumerate(weights) if i not in stopped)
+        shares = [c if i in stopped else rest * w / open_weight for i, (c, w) in enumerate(zip(caps, weights, strict=True))]
+        above = {i for i in range(len(sizes)) if i not in stopped and shares[i] > caps[i]}
+        if not above:
+            return shares
+        stopped |= above
+
+
+def quotas_of(spark, quotas):
+    return spark.createDataFrame(list(enumerate(quotas)), "source_no int, quota long")
+
+
 def test_mix_meets_targets(docs):
     rows = QUERIES["op1_mix_sources"].run(docs.sparkSession, SF_DIR).collect()
     texts = {r.doc_id: r for r in docs.collect()}
     assert all(r["size"] == len(words_of(texts[r.doc_id].text)) and r.taken <= 3 * r["size"] for r in rows)
     names = sorted({t.source for t in texts.values()})
     sizes = [sum(r["size"] for r in rows if texts[r.doc_id].source == n) for n in names]
-    expected = mixing.targets(sizes, [1 + i % 3 for i in range(len(names))])
+    expected = targets(sizes, [1 + i % 3 for i in range(len(names))])
     for name, size, target in zip(names, sizes, expected, strict=True):
         own = [r for r in rows if texts[r.doc_id].source == name]
         assert {(r.source_size, r.target) for r in own} == {(size, target)}
@@ -91,13 +109,49 @@ def test_mix_meets_targets(docs):
 
 
 def test_targets_reshare_the_excess():
-    assert mixing.targets([10, 100, 100], [100, 1, 1]) == [30, 90, 90]
-    assert sum(mixing.targets([1, 2, 3, 4], [1, 2, 3, 1])) == pytest.approx(10)
-    assert mixing.targets([0, 0], [1, 2]) == [0, 0]
+    assert targets([10, 100, 100], [100, 1, 1]) == [30, 90, 90]
+    assert sum(targets([1, 2, 3, 4], [1, 2, 3, 1])) == pytest.approx(10)
+    assert targets([0, 0], [1, 2]) == [0, 0]
+
+
+def test_source_targets_by_brute_force(spark):
+    sizes = {f"s{i:03}": (i * 37) % 101 * (1000 if i % 9 == 0 else 1) for i in range(120)} | {None: 40, "\U0001d4b3": 7, "\uffee": 9}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    rows = mixing.source_targets(frame, (1.0, 2.0, 3.0)).orderBy("source_no").collect()
+    names = sorted(sizes, key=lambda n: (n is None, n or ""))
+    assert [(r.source, r.source_no, r.source_size) for r in rows] == [(n, i, sizes[n]) for i, n in enumerate(names)]
+    expected = targets([sizes[n] for n in names], [1 + i % 3 for i in range(len(names))])
+    assert [r.target for r in rows] == expected and [r.quota for r in rows] == [min(3 * sizes[n], round(t)) for n, t in zip(names, expected, strict=True)]
+    for given in ([10, 100, 100], [0, 0], [5], [1, 2, 3, 4]):
+        frame = spark.createDataFrame([(chr(97 + i), s) for i, s in enumerate(given)], "source string, size long")
+        found = mixing.source_targets(frame, (100.0, 1.0, 1.0)).orderBy("source_no").collect()
+        assert [r.target for r in found] == targets(given, [(100, 1, 1)[i % 3] for i in range(len(given))])
+
+
+@pytest.mark.parametrize("quotas", [[1000, 0, 2000, 1, 70_000], [5] * 2000 + [3_000_000, 0, 1_500_000]])
+def test_schedule_by_brute_force(spark, quotas):
+    found = {(r.slot, r.source_no, r["rank"]) for r in mixing.schedule(quotas_of(spark, quotas)).collect()}
+    total, before, ends = sum(quotas), 0, []
+    for q in quotas:
+        before += q
+        ends.append((before << 64) // total)
+    needed = -(-total // 64)
+    drawn = needed + needed // 4 + 256
+    met = [bisect.bisect_right(ends, t * int(mixing._GOLDEN) % (1 << 64)) for t in range(drawn)]
+    assert [s for _, s in sorted((t, s) for t, s, _ in found if t < drawn)] == met
+    for source, quota in enumerate(quotas):
+        assert sum(1 for _, s, rank in found if s == source and rank < -(-quota // 64)) == -(-quota // 64)
+
+
+def test_mix_splits_a_bucket_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_BUCKET_ROWS", 16)
+    frame = spark.range(600).selectExpr("IF(id < 400, NULL, id) AS doc_id", "IF(id < 400, 'a b c', concat('w', id)) AS text", "'one' AS source")
+    rows = mixing.words_taken(frame, weights=(1.0,)).collect()
+    assert len(rows) == 600 and all(r.taken == r["size"] for r in rows)
 
 
 def test_schedule_has_low_discrepancy(spark):
-    slots = [r.source_no for r in mixing.schedule(spark, [1000.0, 2000.0, 3000.0], block=10).orderBy("slot").collect()]
+    slots = [r.source_no for r in mixing.schedule(quotas_of(spark, [1000, 2000, 3000]), block=10).orderBy("slot").collect()]
     for upto in range(50, 600, 37):
         assert [abs(slots[:upto].count(i) - upto * (i + 1) / 6) <= 3 for i in range(3)] == [True] * 3
 
@@ -129,7 +183,7 @@ def test_mix_takes_the_quota_of_every_small_source(spark):
     taken = [found[i].taken - round(found[i].target) for i in range(300)]
     assert taken == [0] * 300 and sum(r.taken for r in found.values()) == pytest.approx(66_000, abs=301)
     assert {r.doc_id for r in mixing.mixed(frame, weights=(1.0,)).select("doc_id").collect()} >= set(range(300))
-    slots = [r.slot for r in mixing.schedule(spark, [20] * 300 + [20_000] * 3).collect()]
+    slots = [r.slot for r in mixing.schedule(quotas_of(spark, [20] * 300 + [20_000] * 3)).collect()]
     assert len(slots) == len(set(slots))
 
 

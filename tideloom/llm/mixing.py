@@ -9,11 +9,11 @@ sources near their weights.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_name, map_batches, running_start, staged
@@ -22,9 +22,8 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEATS = 3
 BLOCK_WORDS = 64
 SEED = 7
-#: A mix names its sources; as many rows at most reach the driver and the executors, more are refused.
-MAX_SOURCES = 1_000_000
-_BUCKET_ROWS = 4096
+_BUCKET_ROWS, _FULL = 4096, 4
+_BANDS, _BAND_WORDS = 1 << 15, 1 << 20
 _SLOTS = 65536
 _GOLDEN = np.uint64(11400714819323198485)  # 2**64 / phi
 
@@ -34,29 +33,36 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float], repeats: int = MAX_REPEATS) -> list[float]:
-    """Shares of the total by weight; a target stops at ``repeats`` times its size, the excess goes to the others by weight."""
-    total, caps = float(sum(sizes)), [float(repeats * s) for s in sizes]
-    stopped = [False] * len(sizes)
+def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
+    """``source, source_no, source_size, target, quota`` for each source, numbered by code point, null last.
+
+    The weights repeat in this order. Shares of the total go by weight; a target stops at
+    ``repeats`` times its source's size, and the excess goes to the others by weight, round by
+    round, until none is above. A round sends the driver one row of sums for each weight, so
+    that there may be any number of sources. The quota is the target in whole words.
+    """
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # Parts are ranges of sources in order, so that numbering them takes no single task.
+    parts = staged(sums.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
+    numbered = running_start(parts, [], "part", [F.col("source").asc_nulls_last()], F.lit(1), "source_no").drop("part")
+    listed = F.array(*[F.lit(float(w)) for w in weights])
+    numbered = numbered.withColumn("turn", F.pmod("source_no", F.lit(len(weights)))).withColumn("weight", listed[F.col("turn")])
+    sources = staged(numbered.withColumn("cap", F.col("source_size") * repeats), "sources")
+    stopped, before = F.lit(False), -1
     while True:
-        rest = total - sum(c for c, s in zip(caps, stopped, strict=True) if s)
-        weight = sum(w for w, s in zip(weights, stopped, strict=True) if not s)
-        shares = [c if s else rest * w / weight for c, w, s in zip(caps, weights, stopped, strict=True)]
-        above = [not s and share > c for share, c, s in zip(shares, caps, stopped, strict=True)]
-        if not any(above):
-            return shares
-        stopped = [s or a for s, a in zip(stopped, above, strict=True)]
-
-
-def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = MAX_REPEATS) -> list[tuple]:
-    """``(source, source_size, target)`` by code point of the source, null last; the weights repeat in this order."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows.sort(key=lambda r: (r.source is None, r.source or ""))
-    sizes = [int(r["size"]) for r in rows]
-    share = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], repeats) if rows else []
-    return [(r.source, s, t) for r, s, t in zip(rows, sizes, share, strict=True)]
+        rows = sources.groupBy("turn").agg(
+            F.sum("source_size").alias("size"), F.sum(F.when(stopped, F.col("cap")).otherwise(0)).alias("kept"), F.count_if(stopped).alias("stopped"), F.count_if(~stopped).alias("open"),
+        ).orderBy("turn").collect()
+        rest, weight = float(sum(r["size"] - r.kept for r in rows)), float(sum(r.open * weights[r.turn] for r in rows))
+        found = sum(r.stopped for r in rows)
+        share = F.lit(rest) * F.col("weight") / F.lit(weight or 1.0)
+        if found == before or not weight:
+            break
+        # The share of a weight only rises, so that a source which stops stays stopped.
+        before, stopped = found, share > F.col("cap")
+    target = F.when(stopped, F.col("cap").cast("double")).otherwise(share)
+    quota = F.least("cap", F.bround(target).cast("long"))
+    return staged(sources.select("source", F.col("source_no").cast("int").alias("source_no"), "source_size", target.alias("target"), quota.alias("quota")), "targets")
 
 
 def first_hit(start: int, low: int, high: int) -> int:
@@ -81,53 +87,86 @@ def first_hit(start: int, low: int, high: int) -> int:
     return start + least(int(_GOLDEN), whole, (low - at) % whole, (high - at) % whole)
 
 
-def _named(batches: Iterator[pa.RecordBatch], numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers[batch.column(0).to_numpy()])], ["id", "source_no"])
-
-
-def schedule(spark, quotas: Sequence[float], block: int = BLOCK_WORDS) -> DataFrame:
-    """``slot, source_no, rank``: the golden-ratio schedule for sources of these word quotas.
+def _intervals(sources: DataFrame, total: int, block: int) -> DataFrame:
+    """``source_no, blocks, low, high`` (end inclusive) of the sources with words; points are of 2**64, less 2**63.
 
-    A quarter more slots are drawn than the quotas need, and those beyond a source's quota
-    are left out. A small source may have none or too few among them: its missing blocks
-    take the next slots whose points are in its interval, however far they are, so that
-    every source comes to its quota.
+    Whole numbers: a quotient of floats may round up to 1, which is beyond the last point.
     """
-    words = np.array([round(q) for q in quotas], np.int64)
-    numbers = np.flatnonzero(words > 0).astype(np.int32)  # a source without words has no interval
-    total = int(words.sum())
-    needed = -(-total // block)
-    # Whole numbers: a quotient of floats may round up to 1, which is beyond the last point.
-    edges = np.array([(int(c) << 64) // total for c in np.cumsum(words[numbers])[:-1]], np.uint64)
+    held = sources.where("quota > 0").withColumn("part", F.expr(f"source_no div {_SLOTS}"))
+    laid = running_start(held, [], "part", [F.col("source_no")], F.col("quota"), "before").select("source_no", "quota", "before")
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = batch.column(0).to_numpy()
-            source = numbers[np.searchsorted(edges, slots.astype(np.uint64) * _GOLDEN, "right")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(source), pa.array(slots // _SLOTS)], ["slot", "source_no", "part"])
+            numbers, quotas, before = (batch.column(i).to_pylist() for i in range(3))
+            low = [(b << 64) // total - (1 << 63) for b in before]
+            high = [((b + q) << 64) // total - 1 - (1 << 63) for b, q in zip(before, quotas, strict=True)]
+            columns = [pa.array(numbers, pa.int32()), pa.array([-(-q // block) for q in quotas], pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["source_no", "blocks", "low", "high"])
 
-    blocks = -(-words[numbers] // block)
-    drawn = needed + needed // 4 + 256 if total else 0
+    return staged(map_batches(laid, cut, "source_no int, blocks long, low long, high long"), "intervals")
+
+
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        slots = batch.column(0).to_numpy()
+        points = (slots.astype(np.uint64) * _GOLDEN ^ np.uint64(1 << 63)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points)], ["slot", "at"])
 
-    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _further(drawn: int) -> Callable:
+    """The blocks that a source lacks, in the next slots of its interval."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[int, int, int]] = []
-            for i, had in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                low = int(edges[i - 1]) if i else 0
-                high = (int(edges[i]) if i < len(edges) else 1 << 64) - 1
+            for number, blocks, low, high, had in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 slot = drawn - 1
-                for rank in range(had, int(blocks[i])):
-                    slot = first_hit(slot + 1, low, high)
-                    found.append((slot, int(numbers[i]), rank))
+                for rank in range(had, blocks):
+                    slot = first_hit(slot + 1, low + (1 << 63), high + (1 << 63))
+                    found.append((slot, number, rank))
             columns = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["slot", "source_no", "rank"])
 
-    slots = staged(map_batches(spark.range(drawn), draw, "slot long, source_no int, part long"), "slots")
+    return place
+
+
+def schedule(sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """``slot, source_no, rank``: the golden-ratio schedule for sources of these word quotas (``source_no, quota``).
+
+    A slot's point meets the interval that begins last at or before it: points and beginnings
+    are sorted together in bands of the points' range, an interval beginning anew in each band
+    it reaches, so that neither a table of sources nor a join by range is needed. A band has
+    some 16,000 points and as many beginnings as it has words at most; there are 65,536 bands
+    at most. A quarter more slots are drawn than the quotas need, and those beyond a source's
+    quota are left out. A small source may have none or too few among them: its missing blocks
+    take the next slots whose points are in its interval, however far they are, so that
+    every source comes to its quota.
+    """
+    spark = sources.sparkSession
+    total = sources.agg(F.sum(F.when(F.col("quota") > 0, F.col("quota")))).first()[0] or 0
+    intervals = _intervals(sources, total, block)
+    needed = -(-total // block)
+    drawn = needed + needed // 4 + 256 if total else 0
+    bits = max(1, min(_BANDS, total // _BAND_WORDS).bit_length())
+    band = lambda name: F.shiftright(name, 64 - bits)
+    begins = intervals.select("source_no", "low", F.explode(F.sequence(band("low"), band("high"))).alias("band"))
+    begins = begins.select("band", F.greatest("low", F.shiftleft("band", 64 - bits)).alias("at"), F.lit(None).cast("long").alias("slot"), "source_no")
+    points = map_batches(spark.range(drawn), _drawn, "slot long, at long").select(band("at").alias("band"), "at", "slot", F.lit(None).cast("int").alias("source_no"))
+    so_far = Window.partitionBy("band").orderBy("at", F.col("slot").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    met = begins.unionByName(points).withColumn("source_no", F.last("source_no", ignorenulls=True).over(so_far)).where("slot IS NOT NULL")
+    slots = staged(met.select("slot", "source_no", F.expr(f"slot div {_SLOTS}").alias("part")), "slots")
     ranked = running_start(slots, ["source_no"], "part", [F.col("slot")], F.lit(1), "rank").select("slot", "source_no", F.col("rank").cast("long").alias("rank"))
-    own = map_batches(spark.range(len(numbers)), lambda batches: _named(batches, numbers), "id long, source_no int")
-    had = own.join(slots.groupBy("source_no").agg(F.count("*").alias("had")), "source_no", "left").select("id", F.coalesce("had", F.lit(0)).alias("had"))
-    return ranked.unionByName(map_batches(had, further, "slot long, source_no int, rank long"))
+    had = intervals.join(slots.groupBy("source_no").agg(F.count("*").alias("had")), "source_no", "left")
+    had = had.select("source_no", "blocks", "low", "high", F.coalesce("had", F.lit(0)).alias("had"))
+    return ranked.unionByName(map_batches(had, _further(drawn), "slot long, source_no int, rank long"))
+
+
+def _even(sized: DataFrame) -> DataFrame:
+    """Buckets with many times their rows, as repeated rows have, in parts by a hash of the row."""
+    full = staged(sized.groupBy("source_no", "bucket").count().where(F.col("count") > _FULL * _BUCKET_ROWS), "full")
+    split = full.select("source_no", "bucket", F.expr(f"`count` div {_BUCKET_ROWS}").alias("split"))
+    part = F.pmod(F.xxhash64("row"), F.coalesce("split", F.lit(1)))
+    return sized.join(split, ["source_no", "bucket"], "left").withColumn("bucket", F.struct("bucket", part.alias("part"))).drop("split")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = MAX_REPEATS, block: int = BLOCK_WORDS, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -147,14 +186,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = MAX_
         word_count(F.col(text)).alias("size"), shuffle_key.alias("key"),
     )
     rows = staged(rows, "sizes")
-    named = source_targets(rows, weights, repeats)
-    quotas = [min(repeats * size, round(target)) for _, size, target in named]
-    schema = "source string, source_no int, source_size long, target double, quota long"
-    about = spark.createDataFrame([(s, i, size, t, q) for i, ((s, size, t), q) in enumerate(zip(named, quotas, strict=True))], schema)
-    # One row for each source, of which source_targets allows MAX_SOURCES.
-    sized = rows.withColumnRenamed("source", "own").join(F.broadcast(about), F.col("own").eqNullSafe(F.col("source"))).drop("own", "source")
+    sources = source_targets(rows, weights, repeats)
+    # Spark broadcasts the sources if their staged files are small, else it shuffles and splits a hot source.
+    sized = rows.withColumnRenamed("source", "own").join(sources, F.col("own").eqNullSafe(F.col("source"))).drop("own", "source")
     buckets = max(1, -(-rows.count() // _BUCKET_ROWS))
-    sized = sized.withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    sized = _even(sized.withColumn("bucket", F.pmod("key", F.lit(buckets))))
     order = [F.col("key"), F.col("doc_id"), F.col("size"), F.col("row")]
     laid = staged(running_start(sized, ["source_no"], "bucket", order, F.col("size"), "start"), "laid")
     turns = laid.where("size > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
@@ -166,7 +202,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = MAX_
         (F.greatest("from", F.col("rank") * block) - F.col("from")).alias("first"),
         (F.least("to", (F.col("rank") + 1) * block) - F.col("from")).alias("last"),
     )
-    placed = schedule(spark, quotas, block).join(stretch, ["source_no", "rank"]).select("slot", "source_no", "row", "doc_id", "turn", "first", "last")
+    placed = schedule(sources, block).join(stretch, ["source_no", "rank"]).select("slot", "source_no", "row", "doc_id", "turn", "first", "last")
     return laid.select("row", "doc_id", "size", "source_size", "target"), placed
 
 
