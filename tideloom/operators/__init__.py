@@ -14,6 +14,7 @@ from .merge import (
 from .notifications import expand_messages, filter_events
 from .precombine import precombine
 from .retention import expirable_by_commits, expirable_by_versions, small_file_candidates
+from .temporal import in_force, within
 from .transform import mark_invalid, preview, split_valid, sql_transform
 
 __all__ = [
@@ -25,6 +26,7 @@ __all__ = [
     "expirable_by_commits",
     "expirable_by_versions",
     "filter_events",
+    "in_force",
     "insert",
     "insert_if_absent",
     "mark_invalid",
@@ -37,5 +39,6 @@ __all__ = [
     "sql_transform",
     "surviving",
     "winners",
+    "within",
     "z_order",
 ]

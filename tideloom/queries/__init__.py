@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import conformance, delivery, ingest, jobs, tables, writes
+from . import conformance, delivery, ingest, jobs, tables, temporal, writes
 from .registered import Query
 
-_MODULES = (writes, tables, ingest, delivery, jobs, conformance)
+_MODULES = (writes, tables, ingest, delivery, temporal, jobs, conformance)
 
 
 def all_queries() -> dict[str, Query]:
