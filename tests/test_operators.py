@@ -199,3 +199,24 @@ def test_known_totals(spark):
     }
     totals = {name: tuple(df.agg(F.count("*"), F.sum("o_orderkey")).first()) for name, df in results.items()}
     assert totals == KNOWN
+
+
+@pytest.mark.parametrize("event_time", [False, True])
+def test_a_hot_key_is_split_over_tasks(spark, event_time):
+    """Half of the rows have one key: the join's partition is read by several tasks, and the rows stay right."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        spec = KeySpec(("k",), ("t",), global_keys=True, event_time=event_time)
+        current = spark.range(0, 200_000, 1, 8).selectExpr("if(id % 2 = 0, 0L, id) AS k", "id AS t", "sha2(string(id), 256) AS v")
+        merged = merge_upsert(current, current.where("k = 0 OR k = 7").withColumn("t", F.col("t") + 1_000_000), spec)
+        assert len({r.k for r in merged.collect()}) == 100_001 == merged.count()
+        assert "skew=true" in merged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

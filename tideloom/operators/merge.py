@@ -1,10 +1,10 @@
 """Keyed merges of a current table and an incoming batch.
 
 None of them gathers the rows of a key. Most are a semi or anti join that
-streams the current rows past at most one incoming row per key, so adaptive
-execution can split the shuffle partition of a key that holds a large share of
-the table. Where only the latest row of a key counts, each task keeps one row
-per key before the shuffle.
+streams the current rows past at most one incoming row per key. An upsert deals
+both sides anew for that join, so adaptive execution can split the shuffle
+partition of a key that holds a large share of the table. Where only the latest
+row of a key counts, each task keeps one row per key before the shuffle.
 """
 
 from __future__ import annotations
@@ -45,6 +45,19 @@ def beats_incoming(spec: KeySpec):
     return is_later(mine, theirs)
 
 
+def _matched(spec: KeySpec, small: bool = False) -> Column:
+    """``same_scope`` that does not take over the shuffle of a side's window, unless a side is broadcast anyway.
+
+    Adaptive execution splits a large partition (or broadcasts the other side) only where
+    both sides come straight out of a shuffle of their own. The scope as one value, equal
+    where its columns are, is a key that no side is dealt by yet.
+    """
+    if small:
+        return spec.same_scope(_IN)
+    mine, theirs = (F.struct(*[F.col(prefix + name).alias(name) for name in spec.scope]) for prefix in ("", _IN))
+    return spec.same_scope(_IN) & (mine == theirs)
+
+
 def surviving(current: DataFrame, keys: DataFrame, spec: KeySpec) -> DataFrame:
     """Current rows whose key is not among ``keys`` (made by ``keyed_side``)."""
     return current.join(keys, spec.same_scope(_IN), "left_anti")
@@ -62,7 +75,7 @@ def winners(current: DataFrame, incoming: DataFrame, spec: KeySpec, small_incomi
     side = _hinted(keyed_side(incoming, spec, with_ordering=True), small_incoming)
     beaten = (
         current.select(*narrow)
-        .join(side, spec.same_scope(_IN) & beats_incoming(spec), "left_semi")
+        .join(side, _matched(spec, small_incoming) & beats_incoming(spec), "left_semi")
         .select(*spec.scope)
         .distinct()
     )
@@ -94,7 +107,8 @@ def merge_upsert(
     batch = incoming if unique_incoming else precombine(incoming, spec)
     stored = winners(current, batch, spec, small_incoming)
     replaced = _hinted(keyed_side(stored, spec), small_incoming)
-    return surviving(current, replaced, spec).unionByName(stored)
+    kept = current.join(replaced, _matched(spec, small_incoming), "left_anti")
+    return kept.unionByName(stored)
 
 
 def _latest_of_both(current: DataFrame, incoming: DataFrame, spec: KeySpec) -> DataFrame:
