@@ -205,3 +205,23 @@ def test_clustered_files_are_narrow_in_every_column(spark, path):
     assert by_key.n == along.n == 16 and along.w < 0.5 * by_key.w and along.k < 0.5 * 2000
     hot = frame.withColumn("k", F.lit(1).cast("long")).withColumn("w", F.lit(1).cast("long"))
     assert widths(bulk_insert(hot, spec, 16, ("k", "w")), "hot").n == 16
+
+
+def test_messages_share_the_state_of_a_bucket(spark, path, monkeypatch):
+    """Three hundred messages, four calls a micro-batch; each is counted and forgotten on its own."""
+    monkeypatch.setattr("tideloom.streaming.receipts.BUCKETS", 4)
+    batches = [[(f"m{i}", "", 1 + i / 100) for i in range(300)], [(f"m{i}", "", 6) for i in range(0, 300, 3)], [("z", "", 14)], [(f"m{i}", "", 15) for i in range(300)]]
+    seen, kept = [], []
+    for rows in batches:
+        arrive(spark, f"{path}/in", rows)
+        stream = count_receives(spark.readStream.schema(RECEIPTS).parquet(f"{path}/in"), "message_id", "at", limit=2, keep="10 hours")
+        query = stream.writeStream.foreachBatch(lambda b, n: seen.extend(b.collect())).option("checkpointLocation", f"{path}/progress")
+        query = query.trigger(availableNow=True).start()
+        query.awaitTermination()
+        kept.append(query.recentProgress[-1].stateOperators[0].numRowsTotal)
+    found = {}
+    for r in seen:
+        found.setdefault(r.message_id, []).append(r.receives)
+    # After fifteen hours only what came five hours or more after the start is still the same message.
+    assert found == {"z": [1]} | {f"m{i}": [1, 2, 3] if i % 3 == 0 else [1, 2 if 15 - (1 + i / 100) <= 10 else 1] for i in range(300)}
+    assert max(kept) <= 4

@@ -7,6 +7,7 @@ left behind is dropped, so that it grows with the messages of that time, not wit
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +19,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 # What a queue allows before it gives a message up, and how long it keeps one.
 MAX_RECEIVES = 1
 RETENTION = "4 days"
+# State of so many buckets of messages; never change it under a checkpoint.
+BUCKETS = 1024
 DELIVER, DEAD_LETTER, GONE = "deliver", "dead letter", "gone"
 
 _IDENTITY, _TIME = "__message", "__time"
@@ -66,29 +69,41 @@ def count_receives(
     Receipts of one micro-batch are counted in order of ``at``; those older than the watermark
     (the latest time seen, less ``late``) are dropped, as in any windowed stream.
 
-    A task holds the receipts that one message has in one micro-batch; the cap of the source bounds them.
+    Messages are dealt to buckets, whose state stands together: a call for each message would
+    take most of the time. A task holds the receipts that one bucket has in one micro-batch, with
+    what is kept of its messages; the cap of the source and ``keep`` bound them.
     """
     span = int(receipts.sparkSession.sql(f"SELECT CAST(INTERVAL '{keep}' AS INTERVAL DAY TO SECOND) AS i").first().i.total_seconds() * 1_000_000)
     columns = list(receipts.columns)
 
+    def store(state: GroupState, held: dict) -> None:
+        """Keep the messages that the watermark has not left behind, until it leaves the next one."""
+        passed = state.getCurrentWatermarkMs()
+        held = {message: seen for message, seen in held.items() if (seen[1] + span) // 1000 >= passed}
+        if held:
+            state.update((json.dumps(held),))
+            state.setTimeoutTimestamp(min(last + span for _, last in held.values()) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+
     def count(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {}
         if state.hasTimedOut:
-            state.remove()
+            store(state, held)
             return
         rows = pd.concat(list(frames)).sort_values(["__at", *columns[:1]], kind="stable")
-        receives, last = state.get if state.exists else (0, None)
         counted = []
-        for now in rows["__at"].tolist():
+        for message, now in zip(rows[_IDENTITY].tolist(), rows["__at"].tolist()):
+            receives, last = held.get(message, (0, None))
             receives = 1 if last is None or now - last > span else receives + 1
-            last = now if last is None else max(now, last)
+            held[message] = (receives, now if last is None else max(now, last))
             counted.append(receives)
-        state.update((receives, last))
-        state.setTimeoutTimestamp(max((last + span) // 1000, state.getCurrentWatermarkMs()) + 1)
+        store(state, held)
         rows["receives"] = counted
         rows["action"] = [DELIVER if n <= limit else DEAD_LETTER if n == limit + 1 else GONE for n in counted]
         yield rows[[*columns, "receives", "action"]]
 
     named = _identified(receipts, message_id, body).withColumn(_TIME, _time(at)).withWatermark(_TIME, late).withColumn("__at", F.unix_micros(_TIME))
     schema = T.StructType([*receipts.schema.fields, T.StructField("receives", T.LongType()), T.StructField("action", T.StringType())])
-    held = "receives long, last long"
-    return named.groupBy(_IDENTITY).applyInPandasWithState(count, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = named.withColumn("__bucket", F.pmod(F.xxhash64(_IDENTITY), F.lit(BUCKETS)))
+    return dealt.groupBy("__bucket").applyInPandasWithState(count, schema, "held string", "append", GroupStateTimeout.EventTimeTimeout)
