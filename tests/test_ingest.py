@@ -9,6 +9,7 @@ from tideloom.plans import IngestConfig, ingest_batch, ingest_frame, ingest_mess
 from tideloom.plans import activation_state, effective_config, prepare_jobs, register_jobs, resolve_runs
 from tideloom.plans.config import DEFAULTS
 from tideloom.plans.registry import JOB_SCHEMA
+from tideloom.queries.ingest import QUERIES
 from tideloom.sinks import VersionedTable
 from tideloom.sources import list_objects, read_batch
 from tideloom.streaming import drain_files, drain_messages
@@ -283,3 +284,11 @@ def test_listing_takes_prefixes_literally(spark, path):
         put(path, f"raw/{name}", [{"customer_id": "1"}])
     assert [r.key for r in list_objects(spark, path + "/raw", "a[").collect()] == ["a[1]/x.json"]
     assert list_objects(spark, path + "/raw", "zzz").count() == 0
+
+
+def test_every_document_is_an_object(spark, path):
+    rows = [(i, f"src{i % 3}") for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(f"{path}/documents.parquet")
+    found = QUERIES["list_object_keys"].run(spark, path).collect()
+    assert sorted(r.folder for r in found) == sorted(f"arrival={source}/value={i}" for i, source in rows)
+    assert all(r.objects == 1 and r.has_prefix == r.folder.startswith("arrival=src1/") for r in found)

@@ -161,6 +161,8 @@ def split_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- file sources ---------------------------------------------------------------
 
 _NTZ = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+# Tasks that write an object for each row.
+_OBJECT_TASKS = 64
 
 
 def _write_json(df: DataFrame, spark: SparkSession, folders: str) -> str:
@@ -231,14 +233,15 @@ def object_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     QUERIES,
-    """SELECT DISTINCT 'arrival=' || source || '/value=' || (doc_id % 16) AS folder, source LIKE 'src1%' AS has_prefix, CAST(1 AS BIGINT) AS objects
+    """SELECT DISTINCT 'arrival=' || source || '/value=' || doc_id AS folder, source LIKE 'src1%' AS has_prefix, CAST(1 AS BIGINT) AS objects
     FROM documents""",
 )
 def list_object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key of every object, and of every object below a prefix; sixteen objects a source hold all documents."""
+    """The key of every object, and of every object below a prefix; each document is an object of its own."""
     path = fresh_path(spark, "raw")
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("arrival"), (F.col("doc_id") % 16).alias("value"), "doc_id")
-    docs.repartition("arrival", "value").write.partitionBy("arrival", "value").json(path)
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("arrival"), F.col("doc_id").alias("value"), "doc_id")
+    # A number of tasks of its own: objects take long to write, few bytes as they are.
+    docs.repartition(_OBJECT_TASKS, "arrival", "value").write.partitionBy("arrival", "value").json(path)
     folder = F.regexp_extract("key", "^(.*)/[^/]*[.]json$", 1).alias("folder")
     found = list_objects(spark, path).where(F.col("key").endswith(".json")).groupBy(folder).agg(F.count("*").alias("objects"))
     below = list_objects(spark, path, "arrival=src1").where(F.col("key").endswith(".json")).select(folder.alias("listed")).distinct()
