@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import os
 
@@ -13,6 +14,7 @@ from tideloom.queries.ingest import QUERIES
 from tideloom.sinks import VersionedTable
 from tideloom.sources import list_objects, read_batch
 from tideloom.streaming import drain_files, drain_messages
+from tideloom.workspace import setting
 
 SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("customer_id", "name", "ts")])
 DATES = "SELECT *, year(try_to_timestamp(ts)) AS year, month(try_to_timestamp(ts)) AS month FROM temp;"
@@ -292,3 +294,23 @@ def test_every_document_is_an_object(spark, path):
     found = QUERIES["list_object_keys"].run(spark, path).collect()
     assert sorted(r.folder for r in found) == sorted(f"arrival={source}/value={i}" for i, source in rows)
     assert all(r.objects == 1 and r.has_prefix == r.folder.startswith("arrival=src1/") for r in found)
+
+
+def test_batches_of_files_need_no_single_task(spark, path, monkeypatch):
+    """The files of ``stream_batch_counts`` are dealt over tasks, one priority to a file."""
+    from tideloom.queries import ingest
+
+    rows = [(i, i % 7, "O", 1.0, dt.datetime(2024, 1, 1), f"{i % 5 + 1}-P") for i in range(100)]
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{path}/orders.parquet")
+    tasks = []
+    write = ingest._write_json
+
+    def noted(df, *more):
+        tasks.append(df.select(F.spark_partition_id()).distinct().count())
+        return write(df, *more)
+
+    monkeypatch.setattr(ingest, "_write_json", noted)
+    with setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        assert [tuple(r) for r in QUERIES["stream_batch_counts"].run(spark, path).collect()] == [(3, 2, 100)]
+    assert tasks[0] > 1
