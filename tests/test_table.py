@@ -460,3 +460,16 @@ def test_partition_values_keep_their_type_and_spelling(spark, path):
     assert sorted_rows(table.snapshot()) == sorted([(1, 2, "007", day), (2, 1, "1e3", day), (3, 2, None, None)], key=repr)
     table.delete_partition(make([(0, 0, "1e3", day), (0, 0, None, None)]))
     assert sorted_rows(table.snapshot()) == [(1, 2, "007", day)]
+
+
+def test_a_writing_task_gets_a_bounded_share(spark, path, monkeypatch):
+    """One partition is written by several tasks, however large a file may be; their files are not packed again."""
+    monkeypatch.setattr("tideloom.sinks.table.WRITE_BYTES", 100_000)
+    monkeypatch.setattr("tideloom.sinks.table.PACKED_BYTES", 6_000)
+    table = VersionedTable(spark, path, spec())
+    wide = spark.range(0, 20_000, 1, 8).selectExpr("int(id) AS k", "1 AS o", "'a' AS p", "sha2(string(id), 256) AS v")
+    table.insert(wide)
+    files = {f.path for f in table.version().files}
+    assert len(files) > 4
+    table.insert(frame(spark, [(-1, 1, "a", "x")]))
+    assert files < {f.path for f in table.version().files} and table.snapshot().count() == 20_001

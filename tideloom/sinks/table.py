@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -41,7 +40,7 @@ from ..operators.keyspec import KeySpec
 from ..operators.merge import _IN, beats_incoming, bulk_insert, keyed_side, merge_upsert, surviving
 from ..operators.precombine import precombine
 from ..operators.retention import expirable_by_commits, expirable_by_versions, small_file_candidates
-from ..workspace import fresh_path
+from ..workspace import fresh_path, setting
 from .storage import Storage
 
 # Table types, operations and file sizes.
@@ -64,12 +63,17 @@ SMALL_FILE_BYTES = 104857600
 
 # A side of a join is broadcast up to this size, measured on the rows themselves.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# What a writing task gets to sort, in bytes as shuffled (Spark's own default): in memory they
+# are several times as many.
+WRITE_BYTES = 64 * 1024 * 1024
 # Up to this many distinct keys the key lookup lists them in its filter, which
 # row-group statistics and bloom filters can then use.
 LISTED_KEYS = 500
 
 # Small files that a partition may keep before the next write packs them, and the operations that do so.
+# A file that a full writing task made does not count: packing would write it again as it is.
 SMALL_FILES_KEPT = 4
+PACKED_BYTES = WRITE_BYTES // 16
 PACKING = ("upsert", "insert", "insert_if_absent", "delete")
 # How long a writer may take to write a manifest before its claim counts as abandoned.
 CLAIM_SECONDS = 3600
@@ -199,6 +203,10 @@ class VersionedTable:
         held = {"keys": self.key.keys, "parts": self.key.parts, "global": self.key.global_keys, "type": self.spec.table_type}
         return json.dumps(held, sort_keys=True)
 
+    @property
+    def _write_bytes(self) -> int:
+        return min(self.spec.max_file_bytes, WRITE_BYTES)
+
     def exists(self) -> bool:
         return self._storage.exists(self.manifest_root)
 
@@ -628,9 +636,9 @@ class VersionedTable:
         return F.broadcast(side) if batch.bytes <= BROADCAST_BYTES else side
 
     def _ranges(self, staged: DataFrame) -> int | None:
-        """Number of ranges that keeps files below their limit, if the session's default would not."""
+        """Number of ranges that keeps files, and what a task sorts, below their limits, if the session's default would not."""
         stored_bytes = int(staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        wanted = -(-stored_bytes // self.spec.max_file_bytes)
+        wanted = -(-stored_bytes // self._write_bytes)
         return wanted if wanted > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else None
 
     def _part_key(self) -> Column:
@@ -737,7 +745,7 @@ class VersionedTable:
     def _crowd(self, version: Version, leaving: Sequence[DataFile]) -> list[DataFile]:
         """The small files of partitions that would keep many of them; a write packs them with its own rows."""
         gone = {f.path for f in leaving}
-        limit = min(self.spec.small_file_bytes, self.spec.max_file_bytes // 4)
+        limit = min(self.spec.small_file_bytes, self.spec.max_file_bytes // 4, PACKED_BYTES)
         small: dict[str | None, list[DataFile]] = {}
         for f in version.of("base"):
             if f.path not in gone and f.bytes < limit:
@@ -769,7 +777,7 @@ class VersionedTable:
                     writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
         if parts:
             writer = writer.partitionBy(*parts)
-        with _conf(out.sparkSession, "spark.sql.adaptive.advisoryPartitionSizeInBytes", str(self.spec.max_file_bytes)):
+        with setting(out.sparkSession, "spark.sql.adaptive.advisoryPartitionSizeInBytes", str(self._write_bytes)):
             writer.parquet(folder)
 
     def _added(self, folder: str, schema: T.StructType, seq: int, kind: str) -> DataFrame:
@@ -867,20 +875,3 @@ def _row_bytes(fields: Sequence[T.StructField]):
         if not isinstance(f.dataType, FIXED_WIDTH):
             size = size + F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0))
     return size
-
-
-_CONF_LOCK = threading.RLock()  # writes of one session take turns where they need another setting
-
-
-@contextmanager
-def _conf(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    with _CONF_LOCK:
-        before = spark.conf.get(key, None)
-        spark.conf.set(key, value)
-        try:
-            yield
-        finally:
-            if before is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, before)
