@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tideloom.functions.columns import SchemaConflict
 from tideloom.operators import KeySpec
 from tideloom.sinks import TableSpec, VersionedTable, register_table
-from tideloom.sinks.table import MERGE_ON_READ, ConcurrentWrite, TableMismatch, VersionExpired
+from tideloom.sinks.table import MERGE_ON_READ, Batch, ConcurrentWrite, TableMismatch, VersionExpired
 
 COLUMNS = "k int, o int, p string, v string"
 
@@ -473,3 +473,9 @@ def test_a_writing_task_gets_a_bounded_share(spark, path, monkeypatch):
     assert len(files) > 4
     table.insert(frame(spark, [(-1, 1, "a", "x")]))
     assert files < {f.path for f in table.version().files} and table.snapshot().count() == 20_001
+
+
+def test_large_key_sides_do_not_pass_through_the_driver(spark, path):
+    table = VersionedTable(spark, path, spec())
+    hinted = lambda need: "hint" in table._key_side(frame(spark, []), Batch(frame(spark, []), 0, need, None, None, frozenset()))._jdf.queryExecution().analyzed().toString().lower()
+    assert hinted(1 << 20) and not hinted(16 << 20)

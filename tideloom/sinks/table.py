@@ -61,8 +61,9 @@ MAY_REPEAT_KEYS = ("insert", "bulk_insert", "insert_overwrite", "insert_overwrit
 MAX_FILE_BYTES = 512 * 1024 * 1024
 SMALL_FILE_BYTES = 104857600
 
-# A side of a join is broadcast up to this size, measured on the rows themselves.
-BROADCAST_BYTES = 64 * 1024 * 1024
+# A side of a join is broadcast up to this size, measured on the rows themselves. It passes
+# through the driver, where its hash table takes several times as much.
+BROADCAST_BYTES = 8 * 1024 * 1024
 # What a writing task gets to sort, in bytes as shuffled (Spark's own default): in memory they
 # are several times as many.
 WRITE_BYTES = 64 * 1024 * 1024
