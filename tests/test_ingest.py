@@ -14,7 +14,6 @@ from tideloom.queries.ingest import QUERIES
 from tideloom.sinks import VersionedTable
 from tideloom.sources import list_objects, read_batch
 from tideloom.streaming import drain_files, drain_messages
-from tideloom.workspace import setting
 
 SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("customer_id", "name", "ts")])
 DATES = "SELECT *, year(try_to_timestamp(ts)) AS year, month(try_to_timestamp(ts)) AS month FROM temp;"
@@ -311,6 +310,10 @@ def test_batches_of_files_need_no_single_task(spark, path, monkeypatch):
         return write(df, *more)
 
     monkeypatch.setattr(ingest, "_write_json", noted)
-    with setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+    # Set without a lock: the stream's own thread writes with other settings.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
         assert [tuple(r) for r in QUERIES["stream_batch_counts"].run(spark, path).collect()] == [(3, 2, 100)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert tasks[0] > 1
