@@ -11,7 +11,7 @@ from tideloom.plans import activation_state, effective_config, prepare_jobs, reg
 from tideloom.plans.config import DEFAULTS
 from tideloom.plans.registry import JOB_SCHEMA
 from tideloom.queries.ingest import QUERIES
-from tideloom.sinks import VersionedTable
+from tideloom.sinks import VersionedTable, write_objects
 from tideloom.sources import list_objects, read_batch
 from tideloom.streaming import drain_files, drain_messages
 
@@ -295,6 +295,64 @@ def test_every_document_is_an_object(spark, path):
     assert all(r.objects == 1 and r.has_prefix == r.folder.startswith("arrival=src1/") for r in found)
 
 
+def test_objects_are_laid_out_as_a_partitioned_write(spark, path):
+    """On a local disk without a checksum file beside each object; elsewhere by Spark's writer."""
+    names = ["a b", "a/b", "x=1", "", None, "50%", "__HIVE_DEFAULT_PARTITION__", "[q]{z}", "t\tu:v"]
+    rows = [(name, i, i) for i, name in enumerate(names)] * 2 + [("s", None, None)]
+    df = spark.createDataFrame(rows, "arrival string, value long, doc_id long")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.objects.link./at", f"file://{path}")
+
+    def found(folder):
+        lines = spark.read.option("recursiveFileLookup", "true").text(folder).select("_metadata.file_path", "value").collect()
+        return sorted((r.file_path.split(folder.rpartition("/")[2] + "/")[1].rpartition("/")[0], r.value) for r in lines)
+
+    df.repartition("arrival", "value").write.partitionBy("arrival", "value").json(f"{path}/spark")
+    write_objects(df, f"{path}/own", ("arrival", "value"), 4)
+    write_objects(df, "viewfs://objects/at/far", ("arrival", "value"), 4)
+    assert found(f"{path}/own") == found(f"{path}/spark") == found(f"{path}/far") and len(found(f"{path}/own")) == len(rows)
+    beside = [f for _, _, files in os.walk(f"{path}/own") for f in files if f.startswith(".")]
+    assert beside == []
+
+
+def test_a_listing_goes_in_groups(spark, path, monkeypatch):
+    """The same objects in one group and in many, by few tasks, whatever the folders hold."""
+    from tideloom.sources import files
+
+    names = [f"a{i % 3}/b={i}/{'c/' * (i % 2)}x.json" for i in range(40)] + ["top.json", "a1/odd[1]{2}, \\d.json", "a1/_hidden/x.json", "a1/.x.json", "a1/_k=1/x.json"]
+    for name in names:
+        put(path, f"raw/{name}", [{"customer_id": "1"}])
+    os.makedirs(f"{path}/raw/empty/below")
+    shown = sorted(n for n in names if "_hidden" not in n and "/." not in n)
+
+    def keys(prefix=""):
+        return sorted(r.key for r in list_objects(spark, path + "/raw", prefix).collect())
+
+    for many, group in ((256, 32768), (4, 7), (1, 1000), (256, 5)):
+        monkeypatch.setattr(files, "MANY", many)
+        monkeypatch.setattr(files, "GROUP", group)
+        assert keys() == shown
+        assert keys("a1") == [n for n in shown if n.startswith("a1")] and keys("a1/odd[1]") == ["a1/odd[1]{2}, \\d.json"]
+    listed = list_objects(spark, path + "/raw")
+    assert listed.columns == ["path", "key", "length", "modificationTime"] and list_objects(spark, f"{path}/raw/empty").isEmpty()
+
+
+def test_objects_in_many_folders_are_read_by_few_tasks(spark, path):
+    rows = [(i, f"src{i % 3}") for i in range(600)]
+    write_objects(spark.createDataFrame(rows, "value long, arrival string"), f"{path}/raw", ("arrival", "value"), 4)
+    group = f"objects-{path[-12:]}"
+    spark.sparkContext.setJobGroup(group, "a listing")
+    try:
+        found = list_objects(spark, f"{path}/raw")
+        assert found.count() == 600
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= 3 * spark.sparkContext.defaultParallelism
+
+
 def test_batches_of_files_need_no_single_task(spark, path, monkeypatch):
     """The files of ``stream_batch_counts`` are dealt over tasks, one priority to a file."""
     from tideloom.queries import ingest

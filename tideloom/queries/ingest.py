@@ -12,7 +12,7 @@ from ..operators.transform import CORRUPT_COLUMN, REASON_COLUMN
 from ..plans import IngestConfig, ingest_batch
 from ..plans.config import EVENT_TIME, GLOBAL_INDEX
 from ..operators.keyspec import KeySpec
-from ..sinks import VersionedTable
+from ..sinks import VersionedTable, write_objects
 from ..sources import list_objects, read_batch, with_provenance
 from ..streaming import drain_files, drain_messages
 from ..workspace import fresh_path, setting
@@ -245,7 +245,7 @@ def list_object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "raw")
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("arrival"), F.col("doc_id").alias("value"), "doc_id")
     # A number of tasks of its own: objects take long to write, few bytes as they are.
-    docs.repartition(_OBJECT_TASKS, "arrival", "value").write.partitionBy("arrival", "value").json(path)
+    write_objects(docs, path, ("arrival", "value"), _OBJECT_TASKS)
     folder = F.regexp_extract("key", "^(.*)/[^/]*[.]json$", 1).alias("folder")
     found = list_objects(spark, path).where(F.col("key").endswith(".json")).groupBy(folder).agg(F.count("*").alias("objects"))
     below = list_objects(spark, path, "arrival=src1").where(F.col("key").endswith(".json")).select(folder.alias("listed")).distinct()

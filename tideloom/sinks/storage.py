@@ -32,10 +32,27 @@ class Storage:
         fs, at = self._at(path)
         return sorted(entry.getPath().getName() for entry in fs.listStatus(at)) if fs.exists(at) else []
 
-    def matches(self, pattern: str) -> bool:
-        """Whether a glob pattern finds anything."""
+    def local(self, path: str) -> str | None:
+        """The path on a local disk; none on any other file system."""
+        fs, at = self._at(path)
+        return at.toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+    def entries(self, path: str) -> list[str]:
+        """Full paths of the entries of a folder, or of a file itself."""
+        fs, at = self._at(path)
+        return self._paths(fs.listStatus(at))
+
+    def matching(self, pattern: str) -> list[str]:
+        """Full paths of what a glob pattern finds."""
         fs, at = self._at(pattern)
-        return bool(fs.globStatus(at))
+        return self._paths(fs.globStatus(at))
+
+    def _paths(self, statuses) -> list[str]:
+        if statuses is None or not len(statuses):
+            return []
+        # As one text, since a call for each path would take long; no path has a zero in it.
+        paths = self._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(statuses)
+        return self._jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(paths).mkString("\0").split("\0")
 
     def modified(self, path: str) -> float:
         """When a file or folder was last changed, in seconds."""
